@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, exact_dedup, packing, sharding, simhash, warc
+from tessera.llm import decontaminate, exact_dedup, licenses, packing, quality, secrets, sharding, simhash, warc
 from tessera.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,21 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(secrets.candidates(table(spark, sf_dir, "documents")))
+    count = lambda kind: F.size(F.filter("base", lambda c: c["kind"] == kind)).cast("long")
+    said = lambda verdict: F.size(F.filter("all", lambda c: c["kind"] == verdict)).cast("long")
+    return found.withColumn("all", secrets.all_spans()).select(
+        "doc_id",
+        *(count(k).alias(f"n_{k}") for k in secrets.LEAST),
+        F.sha2(secrets.spelled(F.col("base")), 256).alias("base_sha256"),
+        secrets.spelled(F.col("all")).alias("spans"),
+        said("live").alias("n_live"),
+        said("example").alias("n_example"),
+    )
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -96,3 +111,28 @@ WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id ASC NULLS LAST)
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.deduplicate(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.with_scores(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), F.col(quality.SCORE).alias("score"), (F.col(quality.SCORE) >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    starts = F.flatten(F.transform("places", lambda p: p["starts"]))
+    base = F.transform("places", lambda p: p["label"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(starts).cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"),
+        F.array_max(starts).cast("long").alias("last_word"),
+        F.concat_ws(",", F.array_sort(F.array_distinct(base))).alias("base_labels"),
+        F.concat_ws(",", F.array_sort(F.array_union(base, "linked"))).alias("labels"),
+        F.when(F.size(starts) > 0, F.lit(1.0)).otherwise(F.col("share")).alias("score"),
+        "n_links",
+    )
