@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, exact_dedup, licenses, packing, quality, secrets, sharding, simhash, warc
+from tessera.llm import decontaminate, exact_dedup, html, licenses, packing, quality, secrets, sharding, simhash, warc
 from tessera.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,9 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.size(starts) > 0, F.lit(1.0)).otherwise(F.col("share")).alias("score"),
         "n_links",
     )
+
+
+@query
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
