@@ -17,9 +17,12 @@ repeated rows are packed each; an empty table gives no rows; other columns of th
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,17 +34,54 @@ from tessera.shared import materialize
 #: Tokens of a sequence, the token that ends a document, tokens of a histogram unit.
 LENGTH, END, UNIT = 4096, 2, 16
 #: Ranking buckets of each length.
-BUCKETS = 512
-#: Words that a worker remembers, and the longest that it does, in bytes.
+BUCKETS = 128
+#: Words that a worker remembers of each generation, and the longest that it does.
 REMEMBERED, LONGEST = 400_000, 48
+# The vocabulary's pre-tokenizer, for lower-case texts of code points below LATIN.
+SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\t-\r \x85\xa0]|_)+")
+#: Below this code point texts are their own normal form.
+LATIN = "\u0250"
+BEYOND = re.compile(f"[{LATIN}-\U0010ffff]")
 PIECES = "doc_id long, doc_tokens long, start long, length long, ids_crc32 long, ids array<int>"
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else one from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in printable)
+    rank = {b: n for n, b in enumerate(others)}
+    return [chr(b) if b in printable else chr(256 + rank[b]) for b in range(256)]
+
+
+class Remembered(dict):
+    """A dictionary in two generations: what is used stays, and its size is bounded."""
+
+    def __init__(self) -> None:
+        self.old: dict = {}
+
+    def lacks(self, keys: set) -> list:
+        """Those of keys that are new; the others are made ready."""
+        keys = keys - self.keys()
+        if self.old:
+            self.update((k, self.old[k]) for k in keys & self.old.keys())
+            keys -= self.old.keys()
+        return list(keys)
+
+    def age(self, long: list) -> None:
+        """After a batch: long keys go, and a full generation becomes the old one."""
+        for key in long:
+            del self[key]
+        if len(self) > REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
-    """Token ids of texts as little-endian bytes.
+    """Token ids of texts as little-endian bytes, equal to the tokenizer's.
 
-    The vocabulary's pre-tokenizer never joins what white space separates, so a text's ids are those
-    of its blank-separated parts; a worker remembers the parts that it has met.
+    Its pre-tokenizer splits texts to words, whose ids do not depend on their neighbours. A worker
+    remembers words; new ones go to the tokenizer's model. Texts with special tokens or letters
+    beyond Latin go through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,23 +89,31 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.words = Remembered()
+        self.letters = dict(enumerate(byte_letters()))
+        self.special = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()})
+
+    def learn(self, split: list[list[str]]) -> list[bytes]:
+        """The ids of each list of words."""
+        new = self.words.lacks(set(chain.from_iterable(split)))
+        tokenize, letters, words = self.tokenizer.model.tokenize, self.letters, self.words
+        for word in new:
+            spelled = word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(letters)
+            words[word] = array("I", [t.id for t in tokenize(spelled)]).tobytes()
+        known = words.__getitem__
+        out = [b"".join(map(known, s)) for s in split]
+        words.age([w for w in new if len(w) > LONGEST])
+        return out
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        parts = [(t or "").encode().split() for t in texts]
-        get = self.known.get
-        found = [list(map(get, p)) for p in parts]
-        missing = list({w for p, f in zip(parts, found, strict=True) if None in f for w, g in zip(p, f, strict=True) if g is None})
-        if missing:
-            encoded = self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)
-            new = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(missing, encoded, strict=True)}
-            for p, f in zip(parts, found, strict=True):
-                if None in f:
-                    f[:] = [new[w] if g is None else g for w, g in zip(p, f, strict=True)]
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-            self.known.update((w, i) for w, i in new.items() if len(w) <= LONGEST)
-        return [b"".join(f) for f in found]
+        texts = [t or "" for t in texts]
+        whole = [k for k, t in enumerate(texts) if (not t.isascii() and BEYOND.search(t)) or any(s in t for s in self.special)]
+        if not whole:
+            return self.learn([SPLIT.findall(t.lower()) for t in texts])
+        out = self.learn([[] if k in set(whole) else SPLIT.findall(t.lower()) for k, t in enumerate(texts)])
+        for k, found in zip(whole, self.tokenizer.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False), strict=True):
+            out[k] = array("I", found.ids).tobytes()
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -77,9 +125,9 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, length: int, end: int, wi
     encode, last = encoder(path), np.array([end], "<u4").tobytes()
     for batch in batches:
         ids_column, text_column = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for at in range(0, len(text_column), 256):
+        for at in range(0, len(text_column), 512):
             out: list[tuple] = []
-            for doc_id, ids in zip(ids_column[at : at + 256], encode(text_column[at : at + 256]), strict=True):
+            for doc_id, ids in zip(ids_column[at : at + 512], encode(text_column[at : at + 512]), strict=True):
                 ids += last
                 tokens = len(ids) // 4
                 for start in range(0, tokens, length):
