@@ -33,9 +33,10 @@ from tessera.shared import materialize
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Fingerprints that fit the tree at most, fingerprints that a shard should own, and levels at most.
-SAMPLE, SHARD, LEVELS = 1 << 16, 768, 14
+#: Visits grow with each level, comparisons within a shard are cheap: shards are rather large.
+SAMPLE, SHARD, LEVELS = 1 << 16, 2048, 14
 #: A shard that owns more than this is split into blocks.
-BLOCK = 2048
+BLOCK = 4096
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
