@@ -1,9 +1,8 @@
-"""The registered queries: (spark, sf_dir) -> DataFrame."""
+"""All registered queries; importing the plan modules fills the registry."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tessera.plans import dialogue, evaluation, retrieval, stores, training, verdicts  # noqa: F401
+from tessera.plans.registry import QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+__all__ = ["QUERIES"]

@@ -1,5 +1,8 @@
-"""DuckDB SQL that states the registered queries' results."""
+"""DuckDB SQL of all registered queries that have one."""
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+from tessera.plans import catalogue  # noqa: F401
+from tessera.plans.registry import SQL
+
+__all__ = ["SQL"]
