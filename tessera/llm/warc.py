@@ -22,6 +22,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -39,6 +40,8 @@ FILE_BYTES = 256 << 20
 #: Bytes that one reading task scans.
 RANGE_BYTES = 16 << 20
 MAGIC = b"\x1f\x8b\x08"
+#: Bytes that are decoded at once: enough to tell a record from other data.
+CHUNK = 16 << 10
 #: Further bytes to fetch for a record that crosses the end of its range.
 TAIL_BYTES = 1 << 20
 ID, DATE = "<urn:page:%d>", "1970-01-01T00:00:00Z"
@@ -135,22 +138,19 @@ def decode_at(data: bytes, at: int, more: Iterator[bytes]) -> tuple[dict[str, st
 
     more yields what follows data; only a little is decoded before the candidate must look like a record.
     """
-    z = zlib.decompressobj(31)
+    z, parts, size, used = zlib.decompressobj(31), [], 0, 0
     try:
-        first = z.decompress(memoryview(data)[at : at + 4096], 4096)
-        if not first.startswith(b"WARC/1."):
-            return None
-        parts, used = [first], min(4096, len(data) - at)
-        if not z.eof:
-            rest = z.unconsumed_tail + data[at + used :]
-            used = len(data) - at
-            parts.append(z.decompress(rest))
-        while not z.eof:
-            chunk = next(more, b"")
-            if not chunk:
-                return None
+        view = memoryview(data)
+        for chunk in chain((view[k : k + CHUNK] for k in range(at, len(data), CHUNK)), more):
             used += len(chunk)
             parts.append(z.decompress(chunk))
+            size += len(parts[-1])
+            if size >= 7 and not b"".join(parts[:8])[:7] == b"WARC/1.":
+                return None
+            if z.eof:
+                break
+        else:
+            return None
     except zlib.error:
         return None
     found = parse(b"".join(parts))
@@ -227,8 +227,10 @@ def read(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES, tasks
     types = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("digest_ok", pa.bool_()), ("offset", pa.int64()), ("path", pa.string())])
     try:
         found = ranges(spark, folder, range_bytes)
-    except AnalysisException:  # no folder: nothing was written
-        return spark.createDataFrame([], READ)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], READ)  # nothing was written
     spread = found.repartition(tasks or 4 * spark.sparkContext.defaultParallelism, "path", "start")
     return spread.mapInArrow(partial(_read, types=types), READ)
 
