@@ -36,7 +36,7 @@ LENGTH, END, UNIT = 4096, 2, 16
 #: Ranking buckets of each length.
 BUCKETS = 128
 #: Words that a worker remembers of each generation, and the longest that it does.
-REMEMBERED, LONGEST = 400_000, 48
+REMEMBERED, LONGEST = 600_000, 48
 # The vocabulary's pre-tokenizer, for lower-case texts of code points below LATIN.
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\t-\r \x85\xa0]|_)+")
 #: Below this code point texts are their own normal form.
@@ -125,9 +125,9 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, length: int, end: int, wi
     encode, last = encoder(path), np.array([end], "<u4").tobytes()
     for batch in batches:
         ids_column, text_column = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for at in range(0, len(text_column), 512):
+        for at in range(0, len(text_column), 1024):
             out: list[tuple] = []
-            for doc_id, ids in zip(ids_column[at : at + 512], encode(text_column[at : at + 512]), strict=True):
+            for doc_id, ids in zip(ids_column[at : at + 1024], encode(text_column[at : at + 1024]), strict=True):
                 ids += last
                 tokens = len(ids) // 4
                 for start in range(0, tokens, length):
