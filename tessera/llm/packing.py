@@ -166,6 +166,24 @@ def best_pattern(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[
     return float(worth[capacity]), pattern
 
 
+def invert(matrix: np.ndarray) -> np.ndarray:
+    """The inverse, by Gauss-Jordan steps in plain array operations.
+
+    The driver forks to start Spark, after which a threaded linear-algebra library may wait for
+    threads that are gone; nothing here calls one.
+    """
+    n = len(matrix)
+    both = np.concatenate([matrix, np.eye(n)], axis=1)
+    for k in range(n):
+        pivot = k + int(np.abs(both[k:, k]).argmax())
+        both[[k, pivot]] = both[[pivot, k]]
+        both[k] /= both[k, k]
+        factors = both[:, k].copy()
+        factors[k] = 0
+        both -= factors[:, None] * both[k]
+    return both[:, n:]
+
+
 def solve(demand: dict[int, int], capacity: int, within: float = 5e-4) -> list[tuple[dict[int, int], int]]:
     """Patterns (copies of each size) and how often to use each, so that all demand is met exactly.
 
@@ -178,13 +196,13 @@ def solve(demand: dict[int, int], capacity: int, within: float = 5e-4) -> list[t
     if len(sizes):
         need = np.array([demand[int(s)] for s in sizes], float)
         basis = np.diag(capacity // sizes).astype(float)
-        inverse, x = np.linalg.inv(basis), need / np.diag(basis)
+        inverse, x = np.diag(1 / np.diag(basis)), need / np.diag(basis)
         for turn in range(1, 50 * len(sizes) + 1):
             prices = inverse.sum(axis=0)
             worth, pattern = best_pattern(sizes, np.maximum(prices, 0), capacity)
             if worth <= 1 + within:
                 break
-            d = inverse @ pattern
+            d = (inverse * pattern).sum(axis=1)
             ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
             out = int(ratio.argmin())
             basis[:, out] = pattern
@@ -193,11 +211,11 @@ def solve(demand: dict[int, int], capacity: int, within: float = 5e-4) -> list[t
             x[out] = step
             if turn % 100:
                 row = inverse[out] / d[out]
-                inverse -= np.outer(d, row)
+                inverse -= d[:, None] * row
                 inverse[out] = row
             else:
-                inverse = np.linalg.inv(basis)
-                x = np.maximum(inverse @ need, 0)
+                inverse = invert(basis)
+                x = np.maximum((inverse * need).sum(axis=1), 0)
         for k in range(len(sizes)):
             pattern = {int(s): int(a) for s, a in zip(sizes, basis[:, k], strict=True) if a}
             times = min([int(x[k] + 1e-9), *(left[s] // a for s, a in pattern.items())])
