@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import substrings, text, vectors
+from tessera.functions import text, vectors
+from tessera.operators import lexical
 from tessera.plans.registry import query
 from tessera.plans.verdicts import PAIRS_SQL, WORDS_SQL, pairs, q
 from tessera.shared import table
@@ -29,21 +30,8 @@ once AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY item_id, h
 SELECT item_id, doc_id, score, row_number() OVER w AS rank FROM once
 WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= {TOP}""")
 def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents with most of an item's words, one of each head of 120 characters.
-
-    Words are sought once for all items, which are a stated query set; what a document has of them
-    joins the items' words by equality, so no item is paired with a document that has none.
-    """
-    items = table(spark, sf_dir, "benchmark")
-    words = items.select("item_id", F.explode(text.content_words(F.col("text"))).alias("w"))
-    vocabulary = sorted(r.w for r in words.select("w").distinct().toLocalIterator())
-    docs = table(spark, sf_dir, "documents").where(F.length("text") >= LEAST).select("doc_id", F.substring("text", 1, 120).alias("head"), F.lower("text").alias("low"))
-    hits = substrings.occurring(docs, "low", vocabulary).select("doc_id", "head", F.explode("occurring").alias("w"))
-    scored = hits.join(words, "w").groupBy("item_id", "doc_id", "head").agg(F.count(F.lit(1)).alias("score"))
-    best = Window.partitionBy("item_id", "head").orderBy(F.desc("score"), "doc_id")
-    once = scored.withColumn("n", F.row_number().over(best)).where("n = 1")
-    order = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
-    return once.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= TOP).select("item_id", "doc_id", "score", "rank")
+    """The documents with most of an item's words, one of each head of 120 characters."""
+    return lexical.top_k(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), TOP, LEAST)
 
 
 @query(f"SELECT doc_id, unnest(range(0, len(s))) AS n, unnest(s) AS sentence FROM (SELECT doc_id, {split_sql('text', '.!?;')} AS s FROM documents)")
