@@ -261,7 +261,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", windo
     context = docs.sparkSession.sparkContext
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in FIELDS)])
     out, again = docs, False
-    for block in (b for n, b in enumerate([*_or_empty(blocks(benchmark, window=window, block_bytes=block_bytes))])):
+    for block in _or_empty(blocks(benchmark, window=window, block_bytes=block_bytes)):
         seen = context.broadcast(block)
         out = out.mapInArrow(lambda it, seen=seen, again=again: _search(it, seen, text_column, again, shard_bytes), schema)
         again = True
