@@ -14,7 +14,7 @@ CASES = {
     "weak signal": ([(S, 0.55, "d1.org")], verdict.INSUFFICIENT, 0.0),
     "dominance": ([(R, 0.95, "d1.org"), (R, 0.90, "d2.org"), (S, 0.65, "d3.org")], verdict.REFUTED, 0.74),
     "real conflict": ([(S, 0.85, "es.wikipedia.org"), (R, 0.80, "politifact.com"), (S, 0.9, "viral1.com"), (S, 0.9, "viral2.com")], verdict.CONFLICTING, 1.0),
-    "web noise": ([(S, 0.97 - i / 100, f"viral{i}.com") for i in range(5)] + [(R, 0.95, "politifact.com")], verdict.REFUTED, 0.614),
+    "web noise": ([(S, p, f"viral{i}.com") for i, p in enumerate((0.97, 0.96, 0.95, 0.95, 0.94))] + [(R, 0.95, "politifact.com")], verdict.REFUTED, 0.614),
     "weak tie": ([(S, 0.85, "d1.org"), (S, 0.7, "d3.org"), (R, 0.80, "d2.org")], verdict.SUPPORTED, 0.66),
     "copies": ([(S, 0.9, "copiaspam.com")] * 100 + [(R, 0.9, "fuente1.org"), (R, 0.9, "fuente2.org")], verdict.REFUTED, 0.667),
     "one voice": ([(S, 0.78, "chequeado.com"), (R, 0.95, "chequeado.com")], verdict.REFUTED, 0.333),
