@@ -142,3 +142,31 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html.main_text(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def _op9_sql() -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = "regexp_extract_all({0}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    told = ", ".join(f"({n}, '{label}', {own}, {need})" for n, label, own, need in licenses.template_sets())
+    starts = []
+    for phrase, label in licenses.PHRASES.items():
+        same = " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(phrase.split()))
+        starts.append(f"list_transform(list_filter(range(len(w)), lambda i: {same}), lambda i: {{'s': i, 'l': '{label}'}})")
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{upper}', '{upper.lower()}') AS t FROM documents),
+w AS (SELECT r, doc_id, {words.format('t')} AS w FROM t),
+p AS (SELECT r, doc_id, len(w) AS n_words, list_concat({', '.join(starts)}) AS p FROM w),
+templates AS (SELECT * FROM (VALUES {told}) x(n, label, own, need)),
+lines AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM t),
+blocks AS (SELECT r, list_distinct({words.format('line')}) AS b FROM lines),
+links AS (SELECT r, label, len(list_intersect(b, own)) / len(own) AS share FROM blocks, templates WHERE len(list_intersect(b, own)) >= need),
+linked AS (SELECT r, count(*) AS n_links, list(DISTINCT label) AS ls, max(share) AS share FROM links GROUP BY r)
+SELECT doc_id, n_words, len(p) AS n_base,
+  list_min(list_transform(p, lambda x: x.s)) AS first_word, list_max(list_transform(p, lambda x: x.s)) AS last_word,
+  array_to_string(list_sort(list_distinct(list_transform(p, lambda x: x.l))), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(list_transform(p, lambda x: x.l), coalesce(ls, [])))), ',') AS labels,
+  CASE WHEN len(p) > 0 THEN 1.0 ELSE coalesce(share, 0) END::DOUBLE AS score, coalesce(n_links, 0) AS n_links
+FROM p LEFT JOIN linked USING (r)"""
+
+
+SQL["op9_licenses"] = _op9_sql()
