@@ -170,3 +170,31 @@ FROM p LEFT JOIN linked USING (r)"""
 
 
 SQL["op9_licenses"] = _op9_sql()
+
+
+def _op3_sql() -> str:
+    found = []
+    for rank, (kind, pattern) in enumerate({"assign": secrets.ASSIGN, "access": secrets.ACCESS, "hex": secrets.HEX}.items()):
+        p = "'" + pattern.replace("'", "''") + "'"
+        value = f"regexp_extract_all(t, {p}, 2)" if kind == "assign" else f"regexp_extract_all(t, {p})"
+        found.append(f"""SELECT r, doc_id, source, {rank} AS rank, '{kind}' AS kind, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS match, unnest({value}) AS value, parts, m
+  FROM (SELECT *, regexp_extract_all(t, {p}) AS m, string_split_regex(t, {p}) AS parts FROM t)""")
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+every AS ({' UNION ALL '.join(found)}),
+placed AS (SELECT *, (list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start FROM every),
+base AS (SELECT r, doc_id, source, rank, kind, start, start + length(match) AS stop, value FROM placed
+  WHERE length(value) >= CASE kind WHEN 'assign' THEN 8 WHEN 'access' THEN 16 ELSE 32 END),
+owned AS (SELECT value, count(DISTINCT coalesce(source, '')) AS owners FROM base GROUP BY value),
+told AS (SELECT b.*, CASE WHEN owners >= {secrets.EXAMPLE_OWNERS} THEN 'example' WHEN owners = 1 AND len(list_distinct(string_split(value, ''))) >= {secrets.LIVE_CHARACTERS} THEN 'live' ELSE '' END AS verdict FROM base b JOIN owned USING (value)),
+spans AS (SELECT r, rank, kind, start, stop FROM base UNION ALL SELECT DISTINCT r, CASE verdict WHEN 'live' THEN 3 ELSE 4 END, verdict, start, stop FROM told WHERE verdict <> ''),
+joined AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 3) AS b,
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop) AS a,
+  count(*) FILTER (kind = 'live') AS n_live, count(*) FILTER (kind = 'example') AS n_example FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256,
+  coalesce(a, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM t LEFT JOIN joined USING (r)"""
+
+
+SQL["op3_secrets"] = _op3_sql()
