@@ -85,6 +85,12 @@ def pack(text: Column, most: int = 600) -> Column:
     return F.aggregate(sentences(text, ".!?"), empty, step, lambda acc: F.when(acc["now"] == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["now"]))))
 
 
+def answering(text: Column) -> Column:
+    """Sentences of 25 to 300 characters that ask nothing; the first 220 characters if there is none."""
+    found = F.filter(sentences(text, ".!?»"), lambda s: F.length(s).between(25, 300) & ~s.endswith("?"))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(strip(F.substring(text, 1, 220))))
+
+
 def content_words(text: Column, least: int = 4) -> Column:
     """Distinct lower-case words of at least `least` letters."""
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"(?U)\w{{{least},}}"), F.lit(0)))
