@@ -40,6 +40,12 @@ STOPWORDS = (
     "solo sola nuevo nueva mediante general gran cada otro otra misma mismo"
 ).split()
 
+# Words of a request that name no topic.
+GENERIC = (
+    "tienes tendrias dame muestrame ensename ponme hazme puedes podrias sabes muestras ensenas pones haces ejemplo ejemplos codigo muestra "
+    "caso casos demo otro otra otros otras have could show give tell example examples code sample another"
+).split()
+
 # How questions, requests to the agent, rejections of an answer and follow-ups begin.
 ASKS = r"^\s*(¿|qu[eé]\b|qui[eé]n|d[oó]nde|cu[aá]ndo|cu[aá]l|cu[aá]nt[oa]s?\b|c[oó]mo\b|por qu[eé]|para qu[eé]|what\b|who\b|where\b|when\b|which\b|how\b|why\b)"
 REQUEST = r"^\s*¿?\s*(tienes|tendr[ií]as|dame|mu[eé]strame|ens[eé][ñn]ame|ponme|hazme|me (das|puedes|podr[ií]as|muestras|ense[ñn]as|pones|haces)|puedes|podr[ií]as|sabes|do you have|can you|could you|show me|give me|tell me)\b"
@@ -91,6 +97,36 @@ def answering(text: Column) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(strip(F.substring(text, 1, 220))))
 
 
+def chunks(text: Column, most: int = 1500, tail: int = 400) -> Column:
+    """Passages of about `most` characters, without a last one of `tail` or fewer."""
+    packed = pack(text, most)
+    short = F.length(F.try_element_at(packed, F.lit(-1))) <= tail
+    return F.when(short, F.slice(packed, 1, F.size(packed) - 1)).otherwise(packed)
+
+
+def paragraphs(text: Column, most: int = 800, least: int = 40) -> Column:
+    """Paragraphs, white space collapsed, packed into pieces of about `most` characters; pieces under `least` go."""
+    each = F.filter(F.transform(F.split(text, "\n\n"), lambda p: strip(F.regexp_replace(p, r"\s+", " "))), lambda p: p != "")
+    none = F.lit([]).cast("array<string>")
+    start = F.struct(none.alias("out"), none.alias("now"), F.lit(0).alias("size"))
+
+    def step(acc: Column, paragraph: Column) -> Column:
+        full = (acc["size"] + F.length(paragraph) > most) & (F.size(acc["now"]) > 0)
+        out = F.when(full, F.concat(acc["out"], F.array(F.array_join(acc["now"], "\n")))).otherwise(acc["out"])
+        now = F.when(full, F.array(paragraph)).otherwise(F.concat(acc["now"], F.array(paragraph)))
+        return F.struct(out.alias("out"), now.alias("now"), (F.when(full, 0).otherwise(acc["size"]) + F.length(paragraph)).alias("size"))
+
+    pieces = F.aggregate(each, start, step, lambda acc: F.concat(acc["out"], F.array(F.array_join(acc["now"], "\n"))))
+    return F.filter(pieces, lambda p: F.length(p) >= least)
+
+
+def composed(claim: Column, text: Column) -> Column:
+    """No single sentence of text has all but one of the claim's words of five letters; short claims are not composed."""
+    words = content_words(claim, 5)
+    copied = F.exists(F.split(F.lower(text), r"(?<=[.!?])\s+"), lambda s: F.size(F.filter(words, lambda w: F.contains(s, w))) >= F.size(words) - 1)
+    return (F.size(words) >= 3) & ~copied
+
+
 def content_words(text: Column, least: int = 4) -> Column:
     """Distinct lower-case words of at least `least` letters."""
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"(?U)\w{{{least},}}"), F.lit(0)))
@@ -139,11 +175,25 @@ def is_question(text: Column) -> Column:
     return F.when(clean.endswith("?"), True).when(acronym, False).when(clean.rlike(f"(?iU){REQUEST}") & short, True).otherwise(clean.rlike(f"(?iU){ASKS}") & short & ~clean.endswith("."))
 
 
+def key_terms(text: Column, most: int = 4) -> Column:
+    """The first distinct words of four letters or more that name a topic, as they are written."""
+    words = F.regexp_extract_all(text, F.lit(r"(?U)\w{4,}"), F.lit(0))
+    lower = F.transform(words, F.lower)
+    kept = F.filter(words, lambda w, i: (F.array_position(lower, F.lower(w)) == i + 1) & ~F.lower(w).isin(STOPWORDS))
+    return F.slice(kept, 1, most)
+
+
+def elliptic(text: Column) -> Column:
+    """A short request that names no topic of its own."""
+    bare = lambda w: F.translate(F.lower(w), "áéíóúüñ", "aeiouun")
+    return (F.length(text) < 60) & text.rlike(f"(?iU){REQUEST}") & F.forall(key_terms(text), lambda w: bare(w).isin(GENERIC))
+
+
 def dialogue_act(text: Column) -> Column:
     """social, rejection, follow_up, question or claim, in this order."""
     clean = strip(text)
     size = F.length(clean)
-    follow = clean.rlike(f"(?iU){CONNECTOR}") | ((size < 60) & clean.rlike(f"(?iU){DEICTIC}"))
+    follow = clean.rlike(f"(?iU){CONNECTOR}") | ((size < 60) & clean.rlike(f"(?iU){DEICTIC}")) | elliptic(clean)
     return (
         F.when((size <= 40) & clean.rlike(f"(?iU){SOCIAL}"), "social")
         .when((size < 40) & clean.rlike(f"(?iU){REJECTION}"), "rejection")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import FUNCTION_WORDS, STOPWORDS
+from tessera.functions.text import FUNCTION_WORDS, key_terms
+
+__all__ = ["antecedents", "greedy_groups", "key_terms", "languages"]
 
 
 def languages(rows: DataFrame, key: str, column: str, default: str = "es") -> DataFrame:
@@ -27,14 +29,6 @@ def languages(rows: DataFrame, key: str, column: str, default: str = "es") -> Da
     return rows.select(key).join(judged, key, "left").select(key, F.coalesce("detected", F.lit(default)).alias("detected"))
 
 
-def key_terms(text: Column, most: int = 4) -> Column:
-    """The first distinct words of four letters or more that name a topic, as they are written."""
-    words = F.regexp_extract_all(text, F.lit(r"(?U)\w{4,}"), F.lit(0))
-    lower = F.transform(words, F.lower)
-    kept = F.filter(words, lambda w, i: (F.array_position(lower, F.lower(w)) == i + 1) & ~F.lower(w).isin(STOPWORDS))
-    return F.slice(kept, 1, most)
-
-
 def antecedents(words: DataFrame, group: str, turn: str, word: str) -> DataFrame:
     """For each turn the earlier one with the most weight of shared words; a word weighs 1 / its turns."""
     rare = words.withColumn("v", 1.0 / F.count(F.lit(1)).over(Window.partitionBy(group, word)))
