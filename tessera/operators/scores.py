@@ -37,3 +37,18 @@ def calibration_error(rows: DataFrame, conf: str = "conf", right: str = "right",
     bucket = F.ceil(F.round(F.col(conf) * bins, 9))
     per = rows.where(F.col(conf) > 0).groupBy(bucket.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(right).cast("double")).alias("acc"), F.avg(conf).alias("mean"))
     return per.agg(F.sum(F.col("n") * F.abs(F.col("acc") - F.col("mean"))).alias("gap"), F.sum("n").alias("n")).select((F.col("gap") / F.col("n")).alias("ece"), "n")
+
+
+def temperature(rows: DataFrame, logit: str, truth: str, grid: list[float]) -> DataFrame:
+    """temperature with the least mean log loss of the scaled logits, its nll, and before: that of temperature 1."""
+    sign = F.when(F.col(truth), -F.col(logit)).otherwise(F.col(logit))
+    losses = rows.agg(*(F.avg(F.ln(1 + F.exp(sign / t))).alias(f"l{n}") for n, t in enumerate([1.0, *grid])))
+    tried = F.array(*(F.struct(F.round(f"l{n}", 9).alias("nll"), F.lit(t).alias("t")) for n, t in enumerate(grid, 1)))
+    return losses.select(F.array_min(tried).alias("best"), F.col("l0").alias("before")).select(F.col("best.t").alias("temperature"), "best.nll", "before")
+
+
+def joined_checked(dump: DataFrame, data: DataFrame, key: str, label: str) -> DataFrame:
+    """key and label of both sides' rows; the job fails where their labels differ."""
+    met = dump.join(data.withColumnRenamed(label, "_label"), key)
+    same = F.when(F.col(label).eqNullSafe(F.col("_label")), F.col(label)).otherwise(F.raise_error(F.concat(F.lit(f"{label} differs at "), F.col(key).cast("string"))))
+    return met.select(key, same.alias(label))
