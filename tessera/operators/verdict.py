@@ -66,7 +66,7 @@ def voices(pairs: DataFrame, keys: tuple[str, ...] = ("fact_id",), signal: Colum
     """One voice for each domain: its strongest signal of either side, the first one on ties."""
     strong = pairs.where((F.col("label") != NEUTRAL) & (F.col("prob") >= (F.lit(SIGNAL) if signal is None else signal)))
     order = Window.partitionBy(*keys, "domain").orderBy(F.desc(F.round(F.col("prob") * F.col("weight"), 9)), "pos")
-    return strong.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
+    return strong.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
 
 
 def decide(facts: DataFrame, spoken: DataFrame, keys: tuple[str, ...] = ("fact_id",), dominance: Column | None = None, full: Column | None = None) -> DataFrame:
