@@ -9,7 +9,7 @@ from tessera.functions import text
 from tessera.operators import sampling, scores
 from tessera.plans.evaluation import CLASSES, PRF_SQL, predictions
 from tessera.plans.registry import query
-from tessera.plans.retrieval import split_sql
+from tessera.plans.retrieval import TOPK_SQL, nearest, split_sql
 from tessera.plans.verdicts import q
 from tessera.shared import table
 
@@ -168,3 +168,19 @@ def file_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = F.struct(F.lit(action).alias("action"), F.regexp_extract(said, f"(?i){pattern}", 1).alias("origin"), target.alias("target"))
         out = F.when((F.length(said) <= 160) & said.rlike(f"(?i){pattern}"), found).otherwise(out)
     return spark.createDataFrame([(n, row[0]) for n, row in enumerate(SAID)], "id int, said string").select("id", out.alias("o")).select("id", "o.action", "o.origin", "o.target")
+
+
+#: Scores of neighbours that are near but not the same: the tables' vectors are further apart than those of texts (0.78 to 0.90).
+BAND = (0.25, 0.45)
+
+
+@query(rf"""WITH {TOPK_SQL}, words AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\pL\pN_]{{5,}}')) AS w FROM documents),
+met AS (SELECT query_id, id, rank FROM ranked JOIN words a ON a.doc_id = query_id JOIN words b ON b.doc_id = id WHERE rank <= 20 AND score >= {BAND[0]} AND score < {BAND[1]} AND (len(a.w) = 0 OR len(list_intersect(a.w, b.w)) / len(a.w) <= 0.4))
+SELECT query_id, id, rank FROM met QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) = 1""")
+def other_event_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each query the first near neighbour whose text has few of its words: a claim beside evidence of another event."""
+    band = nearest(spark, sf_dir, 20).where((F.col("score") >= BAND[0]) & (F.col("score") < BAND[1]))
+    words = table(spark, sf_dir, "documents").select("doc_id", text.content_words(F.col("text"), 5).alias("w"))
+    met = band.join(words.select(F.col("doc_id").alias("query_id"), F.col("w").alias("own")), "query_id").join(words.select(F.col("doc_id").alias("id"), "w"), "id")
+    apart = (F.size("own") == 0) | (F.size(F.array_intersect("own", "w")) / F.greatest(F.size("own"), F.lit(1)) <= 0.4)
+    return met.where(apart).groupBy("query_id").agg(F.min_by(F.struct("id", "rank"), "rank").alias("x")).select("query_id", "x.*")
