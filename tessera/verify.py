@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import judges, quantities, replies, text
@@ -37,9 +37,29 @@ def facts_of(claims: DataFrame) -> DataFrame:
     return claims.select("claim_id", F.posexplode(text.facts(F.col("text"))).alias("n", "fact"))
 
 
-def gathered(facts: DataFrame, found: DataFrame) -> DataFrame:
-    """found with its facts: probative passages, the first of each domain and head of 120 characters."""
-    met = found.join(facts, FACT).where(text.probative(F.col("fact"), F.col("text")))
+def from_store(passages: DataFrame, most: int = 25, least: int = 20, head: int = 120) -> Retriever:
+    """A retriever over each claim's own passages (claim_id, pos, text, domain): those with most of the query's words.
+
+    One passage of each head counts. A claim's passages meet its queries by an equal key; heads are reduced before the ranking.
+    """
+    rows = passages.where(F.length("text") >= least).select("claim_id", "pos", "text", "domain")
+    query = [*FACT, "angle"]
+
+    def retrieve(asked: DataFrame) -> DataFrame:
+        met = asked.select(*query, text.content_words(F.col("query")).alias("words")).join(rows, "claim_id")
+        worse = (-text.relevance(F.col("words"), F.col("text"))).alias("worse")
+        first = F.min(F.struct(worse, F.col("pos"), F.col("domain"), F.col("text"))).alias("e")
+        once = met.groupBy(*query, F.substring("text", 1, head).alias("head")).agg(first).select(*query, "e.*")
+        ranked = once.withColumn("_rank", F.row_number().over(Window.partitionBy(*query).orderBy("worse", "pos"))).where(F.col("_rank") <= most)
+        return ranked.select(*query, "pos", "text", "domain", F.lit("knowledge-store").alias("source"))
+
+    return retrieve
+
+
+def gathered(facts: DataFrame, found: DataFrame, gate: bool = True) -> DataFrame:
+    """found with its facts: probative passages (all without the gate), the first of each domain and head of 120 characters."""
+    met = found.join(facts, FACT)
+    met = met.where(text.probative(F.col("fact"), F.col("text"))) if gate else met
     head = F.substring("text", 1, 120).alias("head")
     first = F.min_by(F.struct("angle", "pos", "text", "source"), F.struct("angle", "pos")).alias("e")
     return met.groupBy(*FACT, "domain", head).agg(first).select(*FACT, "domain", "head", "e.*")
@@ -61,11 +81,11 @@ def concluded(facts: DataFrame, pairs: DataFrame, level: int) -> Report:
     return Report(facts, pairs, fact_verdicts, verdict.roll_up(fact_verdicts), level)
 
 
-def verify(claims: DataFrame, retrieve: Retriever, judge: judges.Judge = judges.rule) -> Report:
+def verify(claims: DataFrame, retrieve: Retriever, judge: judges.Judge = judges.rule, gate: bool = True) -> Report:
     """Verdicts on claims (claim_id, text); a claim whose facts have no evidence is insufficient."""
     facts = materialize(facts_of(claims), "facts")
     asked = facts.select(*FACT, F.lit(0).alias("angle"), F.col("fact").alias("query"))
-    evidence = gathered(facts, retrieve(asked)).join(facts, FACT).withColumnRenamed("fact", "hypothesis").withColumn("inverted", F.lit(False))
+    evidence = gathered(facts, retrieve(asked), gate).join(facts, FACT).withColumnRenamed("fact", "hypothesis").withColumn("inverted", F.lit(False))
     return concluded(facts, materialize(judged(facts, evidence, judge, 0), "pairs"), 0)
 
 

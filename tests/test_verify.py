@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tessera.functions import judges, replies
 from tessera.operators import answers, scores, verdict
 from tessera.sources import payloads, sinks
-from tessera.verify import disagreement, investigate, verify
+from tessera.verify import disagreement, from_store, investigate, verify
 
 STORE = [
     ("El agua hierve a cien grados", "El agua hierve a cien grados al nivel del mar.", "a.org"),
@@ -42,6 +42,17 @@ def test_investigate_judges_the_negation_of_weak_facts(spark):
     assert verify(claims, retrieve).pairs.count() == 3
 
 
+def test_store_of_each_claim(spark):
+    claims, _ = setup(spark)
+    rows = [(1, k, t, d) for k, (_, t, d) in enumerate(STORE)] + [(1, 90, "corto agua hierve", "x.org"), (3, 0, STORE[0][1], "other.org"), (1, 91, None, "y.org")]
+    passages = spark.createDataFrame(rows, "claim_id long, pos int, text string, domain string")
+    asked = spark.createDataFrame([(1, 0, 0, "El agua hierve a cien grados")], "claim_id long, n int, angle int, query string")
+    found = from_store(passages, most=3)(asked).orderBy("pos").collect()
+    assert [(r.pos, r.domain, r.source) for r in found] == [(0, "a.org", "knowledge-store"), (1, "b.org", "knowledge-store"), (3, "c.org", "knowledge-store")]
+    report = verify(claims, from_store(passages), gate=False)
+    assert {(r.claim_id, r.n): r.verdict for r in report.fact_verdicts.collect()}[1, 0] == verdict.SUPPORTED
+
+
 def test_verify_without_claims_or_evidence(spark):
     claims, retrieve = setup(spark)
     none = verify(claims.limit(0), retrieve)
