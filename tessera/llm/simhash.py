@@ -10,7 +10,7 @@ its links, never all pairs; the forests are joined to components by rounds of co
 
 Edge cases: null and word-less texts have the fingerprint zero and link like any other; equal
 fingerprints are one node, so copies are never compared; null ids count only if a component has no
-other (its id is then null); repeated rows all come out; an empty table gives no rows; other columns
+other (its id is then null, but it stays a component of its own); repeated rows all come out; an empty table gives no rows; other columns
 of the input are ignored.
 """
 
@@ -251,16 +251,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(prints: DataFrame) -> DataFrame:
-    """fp and component_id (the smallest doc_id of all linked documents) for each distinct fp of prints (doc_id, fp)."""
+    """fp, root (the same fingerprint for all that are linked) and component_id (the smallest doc_id of all linked
+    documents) for each distinct fp of prints (doc_id, fp). Only root names a component: ids may be null or repeated."""
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     roots = components(links(classes))
     rooted = materialize(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return materialize(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"), "components")
+    return materialize(rooted.select("fp", "root").join(least, "root").select("fp", "root", "component_id"), "components")
 
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, fp and component_id for each row of docs, and the columns in keep."""
+    """doc_id, fp, root and component_id for each row of docs, and the columns in keep."""
     prints = with_fingerprints(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), *keep), "text")
     prints = materialize(prints.select("doc_id", F.col(f"{OWN}fp").alias("fp"), *keep), "prints")
     return prints.join(near_duplicates(prints), "fp")
@@ -272,5 +273,5 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column
     found = materialize(deduplicate(docs, id_column, text_column, (key,)), "near")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", key))
     # Components may be large, so the row that stays comes from an aggregate, not from a window.
-    stays = found.groupBy("component_id").agg(first.alias("first")).select(F.col(f"first.{key}").alias(key))
+    stays = found.groupBy("root").agg(first.alias("first")).select(F.col(f"first.{key}").alias(key))
     return docs.join(stays, key, "left_semi").drop(key)

@@ -269,6 +269,16 @@ def test_simhash(docs, rows, empty):
     assert left.columns == docs.columns and left.count() == len(set(_components([p for _, p in prints]).values()))
 
 
+def test_simhash_keeps_each_component_whatever_its_ids(spark):
+    """Unrelated texts with null ids or one repeated id are components of their own; copies of one still fold."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice([f"w{n}" for n in range(5000)], 80)) for _ in range(12)]
+    rows = [(None, t) for t in texts[:6]] + [(7, t) for t in texts[6:]] + [(None, texts[0]), (7, texts[6]), (8, texts[7])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = simhash.drop_near_duplicates(keyed(docs)).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in left) == collections.Counter(rows[:12])
+
+
 def _components(prints):
     distinct = sorted(set(prints))
     root = {p: p for p in distinct}
