@@ -7,6 +7,12 @@ block of enough words (length filter), and enough words left on both sides after
 one (positional filter). What remains is verified by intersection. Words that no template has can
 be in no intersection, so blocks keep the others only; their frequencies order the join.
 
+A notice that wraps stands in no line. A template also links to a window of consecutive words across
+line ends, a quarter longer than the template so that comment marks made of letters fit in, that
+contains the same share of its words. Windows that overlap are one link; one that touches a line
+which links by itself is that line's. Only texts with enough of a template's words anywhere (length
+filter) are searched, from each of the template's words on, in the pass that cuts the blocks.
+
 All of it is DataFrame functions. The templates are fixed values, so their side is broadcast.
 
 Edge cases: a null text counts as empty, without words, places or labels; repeated rows each get
@@ -17,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +52,9 @@ TEMPLATES = [
 
 #: The share of a template's words that a block must contain.
 CONTAINED = 0.8
+#: Words of a window over the words of its template, at most.
+WIDER = 1.25
+WRAPPED = "array<struct<label:string,n:int,share:double>>"
 #: What separates words, in a lower-case text.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -79,22 +89,63 @@ def phrase_starts(norm: Column, phrase: str) -> Column:
     return F.when(norm.contains(f" {phrase} "), found).otherwise(F.lit([]).cast("array<int>"))
 
 
-def words_and_blocks(docs: DataFrame, sets: list, id_column: str = "doc_id", text_column: str = "text", phrases: dict[str, str] | None = None) -> DataFrame:
-    """Narrow rows, written once: id, word count, phrase places by label, and blocks of template words."""
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn(value), with value computed once even where fn names it in a lambda."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def wrapped(text: Column, lines: Column, sets: list, widths: list[int]) -> Column:
+    """label, n and share of each template that windows across the line ends of text link to.
+
+    lines: the template words of each line of text.
+    """
+    if not sets:
+        return F.lit([]).cast(WRAPPED)
+    told = F.array(*(F.struct(F.lit(label).alias("label"), F.lit(words).alias("words"), F.lit(need).alias("need"), F.lit(wide).alias("wide")) for (_, label, words, need), wide in zip(sets, widths, strict=True)))
+    overlap = lambda words, t: F.size(F.array_intersect(words, t["words"]))
+    may = let(F.array_distinct(F.flatten(lines)), lambda own: F.filter(told, lambda t: overlap(own, t) >= t["need"]))
+    split = F.transform(F.split(text, "\n", -1), lambda l, n: F.transform(F.filter(F.split(F.regexp_replace(l, GAP, " "), " "), lambda w: w != ""), lambda w: F.struct(n.alias("line"), w.alias("word"))))
+    tokens = F.transform(F.flatten(split), lambda x, at: F.struct(at.alias("at"), x["line"].alias("line"), x["word"].alias("word")))
+
+    def window(span: Column, t: Column) -> Column:
+        first, last = F.element_at(span, 1), F.element_at(span, -1)
+        held = F.transform(span, lambda x: x["word"])
+        return F.struct(first["at"].alias("start"), last["at"].alias("end"), first["line"].alias("first"), last["line"].alias("last"), overlap(held, t).alias("overlap"))
+
+    def links(own: Column, t: Column) -> Column:
+        windows = F.transform(own, lambda x, n: let(F.filter(F.slice(own, n + 1, t["wide"]), lambda y: y["at"] < x["at"] + t["wide"]), lambda span: window(span, t)))
+        told_by_line = lambda w: F.exists(F.slice(lines, w["first"] + 1, w["last"] - w["first"] + 1), lambda l: overlap(l, t) >= t["need"])
+        found = F.filter(windows, lambda w: (w["overlap"] >= t["need"]) & (w["first"] < w["last"]) & ~told_by_line(w))
+        none = F.struct(F.lit(-1).alias("end"), F.lit(0).alias("n"), F.lit(0).alias("overlap"))
+        step = lambda acc, w: F.struct(F.greatest(acc["end"], w["end"]).alias("end"), (acc["n"] + (w["start"] > acc["end"]).cast("int")).alias("n"), F.greatest(acc["overlap"], w["overlap"]).alias("overlap"))
+        return F.aggregate(found, none, step, lambda acc: F.struct(t["label"].alias("label"), acc["n"].alias("n"), (acc["overlap"] / F.size(t["words"])).alias("share")))
+
+    def search(ts: Column) -> Column:
+        every = let(tokens, lambda all_: F.transform(ts, lambda t: let(F.filter(all_, lambda x: F.array_contains(t["words"], x["word"])), lambda own: links(own, t))))
+        return F.when(F.size(ts) > 0, F.filter(every, lambda f: f["n"] > 0)).otherwise(F.lit([]).cast(WRAPPED))
+
+    return let(may, search)
+
+
+def words_and_blocks(docs: DataFrame, sets: list, id_column: str = "doc_id", text_column: str = "text", phrases: dict[str, str] | None = None, widths: list[int] | None = None) -> DataFrame:
+    """Narrow rows, written once: id, word count, phrase places by label, blocks of template words and wrapped links."""
     phrases = PHRASES if phrases is None else phrases
     rows = docs.select(F.col(id_column).alias("doc_id"), lowered(F.coalesce(F.col(text_column), F.lit(""))).alias("text"))
     rows = rows.withColumn("norm", F.trim(F.regexp_replace("text", GAP, " ")))
     vocabulary = F.lit(sorted({w for _, _, words, _ in sets for w in words}))
     least = min((c for *_, c in sets), default=1)
     lines = F.transform(F.split("text", "\n", -1), lambda l: F.array_intersect(F.split(F.regexp_replace(l, GAP, " "), " "), vocabulary))
+    rows = rows.withColumn("lines", lines)
+    widths = [math.ceil(WIDER * len(words)) for *_, words, _ in sets] if widths is None else widths
     rows = rows.select(
         "doc_id",
         F.when(F.col("norm") == "", 0).otherwise(F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).cast("long").alias("n_words"),
         F.concat(F.lit(" "), "norm", F.lit(" ")).alias("norm"),
-        F.filter(lines, lambda b: F.size(b) >= least).alias("blocks"),
+        F.filter("lines", lambda b: F.size(b) >= least).alias("blocks"),
+        wrapped(F.col("text"), F.col("lines"), sets, widths).alias("wrapped"),
     )
     starts = [phrase_starts(F.col("norm"), p).alias(f"p{n}") for n, p in enumerate(phrases)]
-    return materialize(rows.select("doc_id", "n_words", "blocks", *starts, F.monotonically_increasing_id().alias("row")), "blocks")
+    return materialize(rows.select("doc_id", "n_words", "blocks", "wrapped", *starts, F.monotonically_increasing_id().alias("row")), "blocks")
 
 
 def word_order(rows: DataFrame) -> dict[str, int]:
@@ -127,10 +178,11 @@ def join(rows: DataFrame, sets: list) -> DataFrame:
 
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", phrases: dict[str, str] | None = None, templates: list[tuple[str, str]] | None = None, contained: float = CONTAINED) -> DataFrame:
-    """doc_id, n_words, places (starts and label of each phrase found), links, linked labels and the best share."""
+    """doc_id, n_words, places (starts and label of each phrase found); links of lines, their labels and best share; wrapped links."""
     phrases = PHRASES if phrases is None else phrases
     sets = template_sets(templates, contained)
-    rows = words_and_blocks(docs, sets, id_column, text_column, phrases)
+    widths = [math.ceil(WIDER * len([w for w in re.split(GAP, text.lower()) if w])) for _, text in (TEMPLATES if templates is None else templates)]
+    rows = words_and_blocks(docs, sets, id_column, text_column, phrases, widths)
     linked = join(rows, sets).groupBy("row").agg(F.count(F.lit(1)).alias("n_links"), F.collect_set("label").alias("linked"), F.max("share").alias("share"))
     places = F.filter(F.array(*(F.struct(F.lit(label).alias("label"), F.col(f"p{n}").alias("starts")) for n, label in enumerate(phrases.values()))), lambda p: F.size(p["starts"]) > 0)
-    return rows.join(linked, "row", "left").select("doc_id", "n_words", places.alias("places"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("linked", F.lit([]).cast("array<string>")).alias("linked"), F.coalesce("share", F.lit(0.0)).alias("share"))
+    return rows.join(linked, "row", "left").select("doc_id", "n_words", places.alias("places"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("linked", F.lit([]).cast("array<string>")).alias("linked"), F.coalesce("share", F.lit(0.0)).alias("share"), "wrapped")

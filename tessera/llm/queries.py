@@ -132,9 +132,9 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_min(starts).cast("long").alias("first_word"),
         F.array_max(starts).cast("long").alias("last_word"),
         F.concat_ws(",", F.array_sort(F.array_distinct(base))).alias("base_labels"),
-        F.concat_ws(",", F.array_sort(F.array_union(base, "linked"))).alias("labels"),
-        F.when(F.size(starts) > 0, F.lit(1.0)).otherwise(F.col("share")).alias("score"),
-        "n_links",
+        F.concat_ws(",", F.array_sort(F.array_union(F.array_union(base, "linked"), F.transform("wrapped", lambda w: w["label"])))).alias("labels"),
+        F.when(F.size(starts) > 0, F.lit(1.0)).otherwise(F.aggregate("wrapped", F.col("share"), lambda most, w: F.greatest(most, w["share"]))).alias("score"),
+        F.aggregate("wrapped", F.col("n_links"), lambda n, w: n + w["n"]).alias("n_links"),
     )
 
 

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -369,6 +370,19 @@ def test_licenses_join_is_exact_for_other_templates(spark):
             assert found[k] == (len(links), sorted(set(links)))
 
 
+def test_licenses_of_wrapped_notices(spark, tmp_path):
+    """Every template wrapped at a few widths, with comment marks, gives its label and one link, as on one line."""
+    cases = [(label, t, width, mark) for label, t in licenses.TEMPLATES for width in (28, 45, 70) for mark in ("", " * ", "# ", "rem ")]
+    fold = lambda t, width, mark: "\n".join(mark + line for line in textwrap.wrap(t, width, break_on_hyphens=False))
+    texts = [f"int x;\n{fold(t, width, mark)}\nint main() {{}}" for _, t, width, mark in cases]
+    apart = ["\n".join(w + " filler" * 30 for w in t.split()) for _, t in licenses.TEMPLATES]
+    spark.createDataFrame(list(enumerate([*texts, *apart])), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in queries.QUERIES["op9_licenses"](spark, str(tmp_path)).collect()}
+    for n, (label, t, width, mark) in enumerate(cases):
+        assert label in found[n].labels.split(",") and found[n].n_links == 1 and found[n].score >= 0.8, (label, width, mark)
+    assert all(found[len(cases) + n].n_links == 0 for n in range(len(apart)))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var t="</p>";</script></head><body class="has-sidebar"><header><h2>Site</h2></header>
 <nav><ul><li><a href="/a">a</a></li></ul></nav><div class="ad">buy</div><{0}><h1>Head &amp; {1}</h1><p><b>First {1}.<br><p>Second&nbsp;x  <i>y</i>z</p>
 <div class="share-buttons">share</div><section id="comments"><p>reader</p></section><form><p>mail</p></form></{0}><aside>side</aside><footer>&copy; f</footer></body></html>"""
