@@ -401,6 +401,16 @@ def test_html(spark):
     assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_reads_every_article(spark):
+    """Articles of different classes, and an article beside a main, all give their text, on any host."""
+    teaser, lead, body = "<article class='teaser'><p>teaser {0}</p></article>", "<article class='lead'><p>lead {0}</p></article>", "<div><article class='post'><h1>Title {0}</h1><p>body {0}</p></article></div>"
+    made = [teaser + body, body, lead + body, "<article><p>aside {0}</p></article><main><p>main {0}</p></main>", "<main><h1>Over {0}</h1>" + body + "</main>"]
+    want = ["teaser {0}\nTitle {0}\nbody {0}", "Title {0}\nbody {0}", "lead {0}\nTitle {0}\nbody {0}", "aside {0}\nmain {0}", "Over {0}\nTitle {0}\nbody {0}"]
+    pages = [(n, f"http://one.example/{n}", f"<html><body>{made[n % 5].format(n)}</body></html>") for n in range(20)]
+    found = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert found == {n: want[n % 5].format(n) for n in range(20)}
+
+
 def test_wrapper_alignment():
     wrapper = html.infer(["<body><h1>A</h1><p>x</p></body>", "<body><h1>A</h1><div>o</div><p>y</p><p>z</p></body>"])
     body = wrapper.parts[0]
