@@ -411,6 +411,22 @@ def test_html_reads_every_article(spark):
     assert found == {n: want[n % 5].format(n) for n in range(20)}
 
 
+def test_html_constants_come_from_all_pages(spark):
+    """Neither a layout of a few pages nor a passage of a few decides; three pages are enough; copies count once."""
+    page = "<html><body><div>Welcome</div>{2}<div class='x'><p>story {0}{1}</p><p>more {0}{1}</p></div></body></html>"
+    pages = [("big", n, page.format("b", n, "<section>rare</section>" if n % 4 == 0 else "") if n % 10 else f"<html><body><div>Other {n}</div><p>odd {n}</p></body></html>") for n in range(200)]
+    for k in range(12):  # hosts of three pages, whatever buckets these fall into
+        pages += [(f"three{k}", n, page.format(k, n, "")) for n in range(3)]
+    pages += [("copies", n, page.format("c", 0, "").replace("<body>", f"<body><!-- {n} -->")) for n in range(9)] + [("two", n, page.format("t", n, "")) for n in range(2)]
+    rows = [(k, f"http://{h}.example/{n}", t) for k, (h, n, t) in enumerate(pages)]
+    found = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    for r in found:
+        h, n, _ = pages[r.page_id]
+        lines = r.text.split("\n")
+        assert ("Welcome" in lines) == (h in ("copies", "two")), (h, n)
+        assert any(x.startswith(("story", "odd")) for x in lines) and ("rare" in lines) == (h == "big" and n % 4 == 0 and n % 10 > 0), (h, n)
+
+
 def test_wrapper_alignment():
     wrapper = html.infer(["<body><h1>A</h1><p>x</p></body>", "<body><h1>A</h1><div>o</div><p>y</p><p>z</p></body>"])
     body = wrapper.parts[0]
