@@ -427,6 +427,17 @@ def test_html_constants_come_from_all_pages(spark):
         assert any(x.startswith(("story", "odd")) for x in lines) and ("rare" in lines) == (h == "big" and n % 4 == 0 and n % 10 > 0), (h, n)
 
 
+def test_html_constants_within_articles(spark):
+    """A line that an article has on every page of a host goes, an optional one too; slots and other hosts' lines stay."""
+    page = "<html><body><article><h1>Title {0}</h1><p>story {0}</p><p>same word</p><p>more {0}</p><div>Join our letter</div>{1}<ul><li>Print</li></ul><p>end {0}</p></article></body></html>"
+    pages = [(n, f"http://a.example/{n}", page.format(n, "<section>Part of a series</section>" if n % 10 else "")) for n in range(40)]
+    pages += [(100, "http://b.example/", page.format(100, ""))]
+    found = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()}
+    for n in range(40):
+        assert found[n] == f"Title {n}\nstory {n}\nsame word\nmore {n}\nend {n}"
+    assert found[100] == "Title 100\nstory 100\nsame word\nmore 100\nJoin our letter\nPrint\nend 100"
+
+
 def test_wrapper_alignment():
     wrapper = html.infer(["<body><h1>A</h1><p>x</p></body>", "<body><h1>A</h1><div>o</div><p>y</p><p>z</p></body>"])
     body = wrapper.parts[0]
