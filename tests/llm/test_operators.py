@@ -438,6 +438,17 @@ def test_html_constants_within_articles(spark):
     assert found[100] == "Title 100\nstory 100\nsame word\nmore 100\nJoin our letter\nPrint\nend 100"
 
 
+@pytest.mark.parametrize("mark", ["content has-sidebar", "no-comments", "ad-free", "notice-of-motion"])
+def test_html_layout_containers_are_no_boilerplate(mark):
+    article, teaser = "<article><h1>Title</h1><p>the story of it</p></article>", "<div class='related'><article>teaser</article></div>"
+    thread = "<div class='comments'><article class='comment'>reader</article></div>"
+    for inner in (article, f"<div class='{mark}'>{article}</div>", article + teaser + thread):
+        assert html.extract(f"<body><div class='ad'>buy</div><div class='{mark}'>{inner}</div></body>") == "Title\nthe story of it"
+    assert html.extract(f"<body><div class='ad'>buy</div><div class='{mark}'><p>the story of it</p><div class='share'>send</div></div></body>") == "the story of it"
+    assert html.extract(f"<body>{article}<div class='{mark}'>send</div></body>") == "Title\nthe story of it"
+    assert html.extract(f"<body><p>the story of it</p><div class='{mark}'>send</div><div class='ad' hidden><p>{'far more text ' * 9}</p></div></body>") == "the story of it"
+
+
 def test_wrapper_alignment():
     wrapper = html.infer(["<body><h1>A</h1><p>x</p></body>", "<body><h1>A</h1><div>o</div><p>y</p><p>z</p></body>"])
     body = wrapper.parts[0]
