@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import OWN, append_columns
+from tessera.shared import materialize
 
 #: Bytes of a compressed block and of a dictionary; zstandard's level.
 BLOCK, DICTIONARY, LEVEL = 512, 256 << 10, 3
@@ -81,16 +82,31 @@ def sample(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str,
     known = known.withColumn("order", F.xxhash64(F.col("id").cast("string")))
     chosen = known.where("label = 1").orderBy("order", "id").limit(rows).unionByName(known.where("label = 0").orderBy("order", "id").limit(rows))
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    # 2 * rows ids are broadcast, and as many rows come back until their bytes reach the bound.
-    found = texts.join(F.broadcast(chosen), "id").orderBy("order", "id").select("text", "label")
+    # 2 * rows ids are broadcast, and as many rows come back, the longest cut so that the bytes of all fit the bound.
+    data = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    found = materialize(texts.join(F.broadcast(chosen), "id").select("order", "id", data.alias("data"), "label"), "labelled")
+    sizes = found.groupBy(F.length(F.bin(F.octet_length("data").cast("long"))).alias("bits")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("data")).alias("bytes"))
+    head = cut([(r.bits, r.n, r.bytes) for r in sizes.collect()], most)  # one row for each power of two
     out, size = [], 0
-    for row in found.toLocalIterator():
-        if (size := size + len(row.text or "")) > most:
+    for row in found.orderBy("order", "id").select(F.substring("data", 1, head).alias("data"), "label").toLocalIterator():
+        if (size := size + len(row.data)) > most:  # only where rows of one repeated id are more than the bound has blocks
             break
-        out.append((row.text or "", row.label))
+        out.append((bytes(row.data).decode("utf-8", "ignore"), row.label))
     return out
 
 
+def cut(sizes: list[tuple[int, int, int]], most: int) -> int:
+    """The length in bytes to cut texts at so that all fit in most; sizes: bits of a length, how many texts, their bytes."""
+    above, below = 0, sum(b for *_, b in sizes)
+    if below <= most:
+        return (1 << 31) - 1
+    for bits, n, own in sorted(sizes, reverse=True):
+        above, below = above + n, below - own
+        if (head := (most - below) // above) >= 1 << (bits - 1):
+            return max(BLOCK, head)
+    return BLOCK
+
+
 def train(rows: list[tuple[str, int]], share: float, seed: int = 7) -> Model:
     """Dictionaries from four fifths of rows, the curve from the others; share: the share of good labels of all."""
     rng = random.Random(seed)

@@ -340,6 +340,19 @@ def test_quality_separates_held_out_rows(spark):
     assert quality.with_scores(docs.where("false"), quality.fit(docs, truth)).count() == 0
 
 
+@pytest.mark.parametrize("long", [range(0, 1), range(0, 200, 40), range(0, 200)])
+def test_quality_sample_keeps_rows_beside_long_texts(spark, long):
+    """Wherever long texts stand in the order, all rows are in the sample and their bytes in the bound."""
+    ids = [n for n in range(400) if zlib.crc32(str(n).encode()) % 5][:200]
+    ids = [r.id for r in spark.createDataFrame([(n,) for n in ids], "id long").orderBy(F.xxhash64(F.col("id").cast("string"))).collect()]
+    texts = [f"é{n} " + ("long é " * 20_000 if k in long else "words " * 90) for k, n in enumerate(ids)]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(n, n % 2) for n in ids], "doc_id long, quality int")
+    found = quality.sample(docs, labels, "doc_id", "text", "quality", most=150_000)
+    whole = {t for k, t in enumerate(texts) if k not in long}
+    assert len(found) == 200 and whole <= {t for t, _ in found} and sum(len(t.encode()) for t, _ in found) <= 150_000
+
+
 def test_licenses(docs, rows, empty):
     sets = [(label, set(WORD.findall(lower(t)))) for label, t in licenses.TEMPLATES]
     found = collections.Counter((r.doc_id, r.n_words, tuple((p.label, tuple(p.starts)) for p in r.places), r.n_links, tuple(sorted(r.linked))) for r in licenses.scan(docs).collect())
