@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -45,14 +48,39 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Working tables made within scratch(), innermost last.
+_made: list[list[str]] = []
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A path below shared_dir that nothing has used yet."""
-    return f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
+
+
+def discard(path: str) -> None:
+    """Delete a folder of the shared one, if it is there."""
+    fs, root = pafs.FileSystem.from_uri(path)
+    if fs.get_file_info(root).type == pafs.FileType.Directory:
+        fs.delete_dir(root)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """On leaving, the folders that shared_path() gave within are deleted; what reads them must be written elsewhere by then."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            discard(path)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, fixes generated row ids."""
     spark = df.sparkSession
-    path = shared_path(spark, label)
+    path = path or shared_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
