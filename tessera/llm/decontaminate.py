@@ -8,34 +8,42 @@ suffix positions, and overlapping occurrences merge into removal spans.
 Words that no benchmark text has cannot lie inside an occurrence, so the index holds only the runs
 of benchmark words that are as long as the shortest window; nothing is lost by that.
 
-The benchmark is read in blocks of bounded size, each broadcast and searched in one more narrow pass
-over the same rows, so that a larger benchmark costs passes and not memory.
+Tasks turn the benchmark into blocks of a bounded number of windows and write them to the shared
+folder; the driver knows their paths alone. A shard is read once, and each block after the other is
+searched in it, so that a larger benchmark costs time and not memory.
 
 Edge cases: null and word-less texts have no words and no hits; a benchmark text without words gives
 no window, one with a null id marks words but is no item; equal windows of several items count for
-each; an empty table on either side gives no rows or no hits; other columns pass through untouched.
+each; a very long text is split to words in slices and is a shard of its own, a very long benchmark
+text is cut into blocks that share the words at their ends; an empty table on either side gives no
+rows or no hits; other columns pass through untouched.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
+from functools import lru_cache, partial
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import OWN
+from tessera.llm.common import OWN, small_batches
+from tessera.shared import materialize, shared_path
 
 #: Words of a window.
 WINDOW = 13
-#: Bytes of text in a shard, and of benchmark text in a block.
-SHARD_BYTES, BLOCK_BYTES = 24 << 20, 32 << 20
+#: Bytes of text in a shard, windows in a block of the benchmark, and bytes of a text split to words at once.
+SHARD_BYTES, BLOCK_WINDOWS, SLICE = 16 << 20, 200_000, 1 << 20
 #: Every so many text positions the suffix array is kept.
 SAMPLED = 8
 #: A word is a run of letters and digits, and of anything outside ASCII.
@@ -52,44 +60,100 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()
 
 
+def numbers(text: str | None, number: Callable[[bytes], int]) -> np.ndarray:
+    """The number of each word."""
+    data, parts, at = (text or "").encode("utf-8", "surrogatepass").translate(FOLD), [], 0
+    while at < len(data) or not parts:
+        end = data.find(b" ", at + SLICE)
+        own = data[at : end if end >= 0 else len(data)].split()
+        parts.append(np.fromiter(map(number, own), np.int32, len(own)))
+        at = end if end >= 0 else len(data)
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
+def numbering() -> defaultdict[bytes, int]:
+    """Numbers words from 1 as they come."""
+    return defaultdict(count(1).__next__)
+
+
 @dataclass
 class Block:
-    """Windows of some benchmark texts: numbers of their words, windows by length, and each window's items."""
+    """Windows of some benchmark texts: their words (numbered from 1), windows by length, and each window's items.
+
+    items has, by length, the places in `numbers` at which each window's items begin, and the items' numbers.
+    """
 
-    vocabulary: dict[bytes, int] = field(default_factory=dict)
+    words: list[bytes] = field(default_factory=list)
     windows: dict[int, np.ndarray] = field(default_factory=dict)
-    items: dict[int, list[tuple[str, ...]]] = field(default_factory=dict)
-
-
-def blocks(benchmark: DataFrame, id_column: str = "item_id", text_column: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Blocks of the benchmark; the driver holds one at a time."""
-    found: dict[tuple[bytes, ...], set[str]] = {}
-    size = 0
-    rows = benchmark.select(F.col(id_column).cast("string").alias("item"), F.col(text_column).alias("text"))
-    for row in rows.toLocalIterator():
-        own = words(row.text)
-        for i in range(max(1, len(own) - window + 1) if own else 0):
-            found.setdefault(tuple(own[i : i + window]), set()).update([row.item] if row.item is not None else [])
-        size += sum(map(len, own))
-        if size > block_bytes:
-            yield _block(found)
-            found, size = {}, 0
-    if found:
-        yield _block(found)
-
-
-def _block(found: dict[tuple[bytes, ...], set[str]]) -> Block:
-    block = Block()
-    for w in found:
-        for x in w:
-            block.vocabulary.setdefault(x, len(block.vocabulary) + 1)
-    for n in sorted({len(w) for w in found}):
-        own = [w for w in found if len(w) == n]
-        block.windows[n] = np.array([[block.vocabulary[x] for x in w] for w in own], np.int64).reshape(len(own), n)
-        block.items[n] = [tuple(sorted(found[w])) for w in own]
+    items: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+    names: list[str] = field(default_factory=list)
+
+
+def _block(texts: list[tuple[str | None, np.ndarray]], words: list[bytes], window: int) -> Block:
+    block = Block(words, names=sorted({item for item, _ in texts if item is not None}))
+    known = {name: n for n, name in enumerate(block.names)}
+    by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for item, own in texts:
+        n = min(window, len(own))
+        by_length.setdefault(n, []).append((known.get(item, -1), np.lib.stride_tricks.sliding_window_view(own, n)))
+    for n, found in sorted(by_length.items()):
+        every = np.concatenate([w for _, w in found])
+        items = np.repeat([item for item, _ in found], [len(w) for _, w in found])
+        order = np.lexsort((items, *every.T))
+        every, items = every[order], items[order]
+        new = np.concatenate([[True], (every[1:] != every[:-1]).any(axis=1)])
+        number = np.cumsum(new) - 1
+        told = (items >= 0) & (new | np.concatenate([[True], items[1:] != items[:-1]]))
+        block.windows[n] = every[new].astype(np.int64)
+        block.items[n] = np.searchsorted(number[told], np.arange(number[-1] + 2)), items[told]
     return block
 
 
+def _write_blocks(batches: Iterator[pa.RecordBatch], folder: str, window: int, most: int) -> Iterator[pa.RecordBatch]:
+    task = TaskContext.get()
+    fs, root = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(root, recursive=True)
+    paths: list[str] = []
+    texts, numbered, size = [], numbering(), 0
+
+    def flush() -> None:
+        nonlocal texts, numbered, size
+        name = f"{task.partitionId():06d}-{len(paths):04d}-{task.taskAttemptId()}"
+        with fs.open_output_stream(f"{root}/{name}") as out:
+            out.write(pickle.dumps(_block(texts, list(numbered), window)))
+        paths.append(f"{folder}/{name}")
+        texts, numbered, size = [], numbering(), 0
+
+    for batch in batches:
+        for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own = words(text)
+            windows = max(1, len(own) - window + 1) if own else 0
+            for first in range(0, windows, most):
+                here = own[first : first + min(most, windows - first) + window - 1]
+                texts.append((item, np.fromiter(map(numbered.__getitem__, here), np.int32, len(here))))
+                size += len(here)
+                if size >= most:
+                    flush()
+    if texts:
+        flush()
+    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], names=["path"])
+
+
+def blocks(benchmark: DataFrame, id_column: str = "item_id", text_column: str = "text", window: int = WINDOW, most: int = BLOCK_WINDOWS) -> list[str]:
+    """Paths of the benchmark's blocks, of fewer than twice `most` windows each, in the shared folder."""
+    rows = small_batches(benchmark.select(F.col(id_column).cast("string"), F.col(text_column).cast("string")))
+    folder = shared_path(benchmark.sparkSession, "benchmark")
+    made = materialize(rows.mapInArrow(partial(_write_blocks, folder=folder, window=window, most=most), "path string"), "blocks")
+    return sorted(r.path for r in made.collect())  # a path for each `most` windows
+
+
+@lru_cache(maxsize=1)
+def load(path: str) -> Block:
+    fs, name = pafs.FileSystem.from_uri(path)
+    with fs.open_input_file(name) as file:
+        return pickle.loads(file.read())
+
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """By prefix doubling. The last symbol must be smaller than all others."""
     rank, n, k = np.unique(text, return_inverse=True)[1].astype(np.int64), len(text), 1
@@ -184,7 +248,7 @@ def occurrences(symbols: np.ndarray, block: Block) -> Iterator[tuple[int, np.nda
     place = np.arange(lengths.sum()) + np.repeat(starts - first, lengths)
     text = np.concatenate([symbols, [0]])[place].astype(np.int64)
     text[first + lengths - 1] = 0
-    index = FMIndex(text, len(block.vocabulary))
+    index = FMIndex(text, len(block.words))
     for n, patterns in block.windows.items():
         low, high = index.search(patterns)
         counts = high - low
@@ -193,21 +257,24 @@ def occurrences(symbols: np.ndarray, block: Block) -> Iterator[tuple[int, np.nda
         yield n, window, place[index.locate(rows)]
 
 
-def _marked(symbols: np.ndarray, ends: np.ndarray, block: Block, spans_before: list | None, items_before: list | None) -> tuple[np.ndarray, list, list]:
-    """Hit words, item lists and spans of each document; documents end at `ends` in symbols."""
+def _marked(symbols: np.ndarray, ends: np.ndarray, known: dict[bytes, int], paths: tuple[str, ...]) -> tuple[np.ndarray, list, list]:
+    """Hit words, item lists and spans of each document; documents end at `ends` in symbols, whose words are `known`."""
     edge = np.zeros(len(symbols) + 1, np.int64)
-    items: list[set[str]] = [set(x or ()) for x in items_before] if items_before else [set() for _ in ends]
+    items: list[set[str]] = [set() for _ in ends]
     starts = np.concatenate([[0], ends[:-1]])
-    for n, window, place in occurrences(symbols, block):
-        np.add.at(edge, place, 1)
-        np.add.at(edge, place + n, -1)
-        pairs = np.unique(np.searchsorted(ends, place, "right") * np.int64(len(block.items[n])) + window)
-        for doc, w in zip((pairs // len(block.items[n])).tolist(), (pairs % len(block.items[n])).tolist(), strict=True):
-            items[doc].update(block.items[n][w])
-    for doc, own in enumerate(spans_before or ()):
-        for s in own or ():
-            edge[starts[doc] + s["start"]] += 1
-            edge[starts[doc] + s["end"]] -= 1
+    for path in paths:
+        block = load(path)
+        # From the shard's numbers of words to the block's; other words and breaks are 0.
+        own = np.zeros(len(known) + 1, np.int32)
+        own[np.fromiter(map(known.get, block.words, repeat(0)), np.int64, len(block.words))] = np.arange(1, len(block.words) + 1)
+        own[0] = 0
+        for n, window, place in occurrences(own[symbols], block):
+            np.add.at(edge, place, 1)
+            np.add.at(edge, place + n, -1)
+            first, told = block.items[n]
+            pairs = np.unique(np.searchsorted(ends, place, "right") * np.int64(len(first)) + window)
+            for doc, w in zip((pairs // len(first)).tolist(), (pairs % len(first)).tolist(), strict=True):
+                items[doc].update(block.names[k] for k in told[first[w] : first[w + 1]])
     hit = np.cumsum(edge)[:-1] > 0
     total = np.concatenate([[0], np.cumsum(hit)])
     n_hit = total[ends] - total[starts]
@@ -218,63 +285,39 @@ def _marked(symbols: np.ndarray, ends: np.ndarray, block: Block, spans_before: l
     return n_hit, [sorted(x) for x in items], spans
 
 
-def _search(batches: Iterator[pa.RecordBatch], seen: Broadcast, column: str, again: bool, shard_bytes: int) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]] = []
-    size = 0
+def _search(batches: Iterator[pa.RecordBatch], paths: tuple[str, ...], column: str, shard_bytes: int) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[pa.RecordBatch, list[np.ndarray]]] = []
+    size, known, stop = 0, numbering(), np.zeros(1, np.int32)
 
     def flush() -> Iterator[pa.RecordBatch]:
-        block: Block = seen.value
         # A break after each document, so that no occurrence crosses from one into the next.
-        counts = np.concatenate([n for _, _, n in held]).astype(np.int64)
-        symbols = np.concatenate([s for _, s, _ in held])
-        ends = np.cumsum(counts + 1)
-        before = [[x for b, _, _ in held for x in b.column(b.schema.get_field_index(c)).to_pylist()] for c in (SPANS, ITEMS)] if again else [None, None]
-        n_hit, items, spans = _marked(symbols, ends, block, *before)
+        counts = np.array([len(x) for _, own in held for x in own], np.int64)
+        symbols = np.concatenate([x for _, own in held for s in own for x in (s, stop)])
+        n_hit, items, spans = _marked(symbols, np.cumsum(counts + 1), known, paths)
         at = 0
-        for batch, _, n in held:
-            here = slice(at, at + len(n))
-            kept = [c for c in batch.schema.names if c not in (N_WORDS, N_HIT, ITEMS, SPANS)] if again else batch.schema.names
-            arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            arrays += [pa.array(v, t) for v, t in zip((counts[here], n_hit[here], items[here], spans[here]), ARROW, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *(f for f, _ in FIELDS)])
-            at += len(n)
-        held.clear()
-
-    get = seen.value.vocabulary.get
+        for batch, own in held:
+            here = slice(at, at + len(own))
+            arrays = [pa.array(v, t) for v, t in zip((counts[here], n_hit[here], items[here], spans[here]), ARROW, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *(f for f, _ in FIELDS)])
+            at += len(own)
+
     for batch in batches:
-        found = [words(t) for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
-        lengths = np.array([len(w) for w in found], np.int64)
-        symbols = np.fromiter((x for w in found for x in (*map(get, w, repeat(0)), 0)), np.int32, int(lengths.sum()) + len(found))
-        if not len(found):
-            continue
-        held.append((batch, symbols, lengths))
-        size += batch.nbytes
+        if batch.num_rows:
+            texts = batch.column(batch.schema.get_field_index(column))
+            held.append((batch, [numbers(t.as_py(), known.__getitem__) for t in texts]))
+            size += batch.nbytes
         if size >= shard_bytes:
             yield from flush()
-            size = 0
+            held, size, known = [], 0, numbering()
     if held:
         yield from flush()
 
 
-def find(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """docs with the words, hit words, items and merged removal spans (in words, end exclusive) of each text."""
-    context = docs.sparkSession.sparkContext
+    paths = tuple(blocks(benchmark, window=window, most=block_windows))
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in FIELDS)])
-    out, again = docs, False
-    for block in _or_empty(blocks(benchmark, window=window, block_bytes=block_bytes)):
-        seen = context.broadcast(block)
-        out = out.mapInArrow(lambda it, seen=seen, again=again: _search(it, seen, text_column, again, shard_bytes), schema)
-        again = True
-    return out
-
-
-def _or_empty(found: Iterator[Block]) -> Iterator[Block]:
-    first = True
-    for block in found:
-        first = False
-        yield block
-    if first:
-        yield Block()
+    return small_batches(docs).mapInArrow(partial(_search, paths=paths, column=text_column, shard_bytes=shard_bytes), schema)
 
 
 def contaminated() -> Column:

@@ -2,11 +2,13 @@
 
 Misra-Gries summaries of each partition find every digest that may be frequent. The counts and the
 winners of those few are verified exactly and broadcast, so that their rows are settled where they
-stand; all other digests go through an ordinary shuffle, in groups of bounded size.
+stand; all other digests go through an ordinary shuffle: partial aggregates find their winners, and
+a join, which adaptive execution can split, tells each row its winner. No task holds a group.
 
 Edge cases: a null text counts as empty, and all empty texts are one group; ties on length go to the
-smallest id (a null id is the largest), and of wholly equal rows exactly one stays; an empty table
-gives no rows; other columns of the input are ignored.
+smallest id (a null id is the largest), and of wholly equal rows exactly one stays; a very long text
+is one row like any other, of which only digest and length are kept; an empty table gives no rows;
+other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -14,10 +16,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import OWN
+from tessera.llm.common import OWN, look_up
 from tessera.shared import materialize
 
 #: Counters of a summary. A digest with over 2/COUNTERS of all rows is sure to be a candidate.
@@ -66,7 +68,6 @@ def candidates(rows: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = misra_gries((b.column(0).to_pylist() for b in batches), counters)
-        held = {v: n for v, n in held.items() if n > 1}
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["sha", "n"])
 
     found = rows.select("sha").mapInArrow(run, "sha string, n long")
@@ -87,23 +88,20 @@ def deduplicate(rows: DataFrame, counters: int = COUNTERS) -> DataFrame:
     heavy = F.broadcast(materialize(group_winners(rows.join(likely, "sha", "left_semi")), "heavy"))
     settled = rows.join(heavy, "sha")
     rest = rows.join(heavy, "sha", "left_anti")
-    group = Window.partitionBy("sha")
-    order = group.orderBy(F.desc("length"), F.col("doc_id").asc_nulls_last(), "row").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    shuffled = rest.select(
-        "*",
-        F.first("doc_id").over(order).alias("keep_id"),
-        F.first("row").over(order).alias("keep_row"),
-        F.count(F.lit(1)).over(order).alias("group_size"),
-    )
-    both = settled.unionByName(shuffled)
+    # Written, so that both sides of the join are plain exchanges.
+    repeated = materialize(group_winners(rest).where("group_size > 1"), "repeated")
+    joined = rest.join(repeated, "sha", "left")
+    single = F.col("group_size").isNull()
+    shuffled = joined.select(*rows.columns, F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("keep_row", "row").alias("keep_row"), F.coalesce("group_size", F.lit(1)).alias("group_size"))
+    both = settled.select(*shuffled.columns).unionByName(shuffled)
     return both.withColumn("kept", F.col("row") == F.col("keep_row")).drop("keep_row")
 
 
 def drop_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns.
+    """The rows of docs that stay, with all their columns, where they stand: no text is moved.
 
     Rows are matched by file and place in the file, so docs must be keyed() and still stand on its files.
     """
     key = f"{OWN}row"
-    lost = deduplicate(digests(docs, id_column, text_column, (key,))).where(~F.col("kept")).select(key)
-    return docs.join(lost, key, "left_anti").drop(key)
+    lost = deduplicate(digests(docs, id_column, text_column, (key,))).where(~F.col("kept")).select(key, F.lit(1).alias("value"))
+    return look_up(docs, lost, f"{OWN}lost").where(F.col(f"{OWN}lost").isNull()).drop(key, f"{OWN}lost")

@@ -16,7 +16,8 @@ filter) are searched, from each of the template's words on, in the pass that cut
 All of it is DataFrame functions. The templates are fixed values, so their side is broadcast.
 
 Edge cases: a null text counts as empty, without words, places or labels; repeated rows each get
-their own row; an empty table gives no rows; other columns of the input are ignored.
+their own row; templates that tie each give their label; a very long text with very many phrases is
+read in linear time; an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +59,8 @@ WIDER = 1.25
 WRAPPED = "array<struct<label:string,n:int,share:double>>"
 #: What separates words, in a lower-case text.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same without the ends of lines.
+IN_LINE = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def template_sets(templates: list[tuple[str, str]] | None = None, contained: float = CONTAINED) -> list[tuple[int, str, list[str], int]]:
@@ -74,37 +78,31 @@ def lowered(text: Column) -> Column:
     return F.lower(kept)
 
 
-def phrase_starts(norm: Column, phrase: str) -> Column:
-    """The word numbers at which phrase stands in norm, whose words have single blanks around them."""
-    size = phrase.count(" ") + 1
-    parts = F.split(norm, f" {phrase}(?= )", -1)
-    before = lambda i: F.length(F.get(parts, i)) - F.length(F.replace(F.get(parts, i), F.lit(" "), F.lit("")))
-    empty = F.struct(F.lit(0).alias("at"), F.lit([]).cast("array<int>").alias("out"))
-
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + before(i)
-        return F.struct((start + size).alias("at"), F.concat(acc["out"], F.array(start)).alias("out"))
-
-    found = F.aggregate(F.sequence(F.lit(0), F.size(parts) - 2), empty, step, lambda acc: acc["out"])
-    return F.when(norm.contains(f" {phrase} "), found).otherwise(F.lit([]).cast("array<int>"))
-
-
 def let(value: Column, fn: Callable[[Column], Column]) -> Column:
     """fn(value), with value computed once even where fn names it in a lambda."""
     return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
+def phrase_starts(norm: Column, phrase: str) -> Column:
+    """The word numbers at which phrase stands in norm, whose words have single blanks around them."""
+    own = phrase.split()
+    here = lambda words, i: reduce(Column.__and__, (F.get(words, i + k) == w for k, w in enumerate(own)))
+    # Every word is looked at once; the words are bound, so that they are not split again for each.
+    found = let(F.split(F.trim(norm), " "), lambda words: F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: here(words, i)))
+    return F.when(norm.contains(f" {phrase} "), found).otherwise(F.lit([]).cast("array<int>"))
+
+
 def wrapped(text: Column, lines: Column, sets: list, widths: list[int]) -> Column:
     """label, n and share of each template that windows across the line ends of text link to.
 
-    lines: the template words of each line of text.
+    text has blanks and line ends alone between words; lines: the template words of each of its lines.
     """
     if not sets:
         return F.lit([]).cast(WRAPPED)
     told = F.array(*(F.struct(F.lit(label).alias("label"), F.lit(words).alias("words"), F.lit(need).alias("need"), F.lit(wide).alias("wide")) for (_, label, words, need), wide in zip(sets, widths, strict=True)))
     overlap = lambda words, t: F.size(F.array_intersect(words, t["words"]))
     may = let(F.array_distinct(F.flatten(lines)), lambda own: F.filter(told, lambda t: overlap(own, t) >= t["need"]))
-    split = F.transform(F.split(text, "\n", -1), lambda l, n: F.transform(F.filter(F.split(F.regexp_replace(l, GAP, " "), " "), lambda w: w != ""), lambda w: F.struct(n.alias("line"), w.alias("word"))))
+    split = F.transform(F.split(text, "\n", -1), lambda l, n: F.transform(F.filter(F.split(l, " "), lambda w: w != ""), lambda w: F.struct(n.alias("line"), w.alias("word"))))
     tokens = F.transform(F.flatten(split), lambda x, at: F.struct(at.alias("at"), x["line"].alias("line"), x["word"].alias("word")))
 
     def window(span: Column, t: Column) -> Column:
@@ -131,10 +129,12 @@ def words_and_blocks(docs: DataFrame, sets: list, id_column: str = "doc_id", tex
     """Narrow rows, written once: id, word count, phrase places by label, blocks of template words and wrapped links."""
     phrases = PHRASES if phrases is None else phrases
     rows = docs.select(F.col(id_column).alias("doc_id"), lowered(F.coalesce(F.col(text_column), F.lit(""))).alias("text"))
-    rows = rows.withColumn("norm", F.trim(F.regexp_replace("text", GAP, " ")))
+    # Gaps within lines go in one pass; what is left at line ends is little.
+    rows = rows.withColumn("even", F.regexp_replace("text", IN_LINE, " "))
+    rows = rows.withColumn("norm", F.trim(F.regexp_replace("even", " *\\n[ \\n]*", " ")))
     vocabulary = F.lit(sorted({w for _, _, words, _ in sets for w in words}))
     least = min((c for *_, c in sets), default=1)
-    lines = F.transform(F.split("text", "\n", -1), lambda l: F.array_intersect(F.split(F.regexp_replace(l, GAP, " "), " "), vocabulary))
+    lines = F.transform(F.split("even", "\n", -1), lambda l: F.array_intersect(F.split(l, " "), vocabulary))
     rows = rows.withColumn("lines", lines)
     widths = [math.ceil(WIDER * len(words)) for *_, words, _ in sets] if widths is None else widths
     rows = rows.select(
@@ -142,7 +142,7 @@ def words_and_blocks(docs: DataFrame, sets: list, id_column: str = "doc_id", tex
         F.when(F.col("norm") == "", 0).otherwise(F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).cast("long").alias("n_words"),
         F.concat(F.lit(" "), "norm", F.lit(" ")).alias("norm"),
         F.filter("lines", lambda b: F.size(b) >= least).alias("blocks"),
-        wrapped(F.col("text"), F.col("lines"), sets, widths).alias("wrapped"),
+        wrapped(F.col("even"), F.col("lines"), sets, widths).alias("wrapped"),
     )
     starts = [phrase_starts(F.col("norm"), p).alias(f"p{n}") for n, p in enumerate(phrases)]
     return materialize(rows.select("doc_id", "n_words", "blocks", "wrapped", *starts, F.monotonically_increasing_id().alias("row")), "blocks")

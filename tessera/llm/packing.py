@@ -7,11 +7,12 @@ dynamic program that finds the pattern worth most, until none is worth its seque
 patterns and a first-fit remainder are assigned to the pieces ranked within their length.
 
 Ranks come from counts per (length, bucket) and an order within each, so that a length that a third
-of all pieces have is still ranked by hundreds of tasks. The driver holds the histogram alone, whose
+of all pieces have is still ranked by as many tasks as its rows need. The driver holds the histogram alone, whose
 size does not depend on the input.
 
 Edge cases: a null or empty text has the end token alone; texts longer than a sequence are cut;
-repeated rows are packed each; an empty table gives no rows; other columns of the input are ignored.
+repeated rows are packed each, and pieces that tie in length rank in any order; ids are whole numbers
+(others fail on the cast to long); an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -29,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import small_batches
 from tessera.shared import materialize
 
 #: Tokens of a sequence, the token that ends a document, tokens of a histogram unit.
 LENGTH, END, UNIT = 4096, 2, 16
-#: Ranking buckets of each length.
-BUCKETS = 128
+#: Rows that one task ranks, about.
+RANKED = 8192
 #: Words that a worker remembers of each generation, and the longest that it does.
 REMEMBERED, LONGEST = 600_000, 48
 # The vocabulary's pre-tokenizer, for lower-case texts of code points below LATIN.
@@ -140,7 +142,7 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, length: int, end: int, wi
 def pieces(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, end: int = END, with_ids: bool = False) -> DataFrame:
     """The pieces of all documents, written once, with generated row numbers; their ids only if asked for."""
     source = docs.select(F.col(id_column).cast("long"), F.col(text_column).cast("string"))
-    cut = source.mapInArrow(partial(_cut, path=tokenizer, length=length, end=end, with_ids=with_ids), PIECES)
+    cut = small_batches(source).mapInArrow(partial(_cut, path=tokenizer, length=length, end=end, with_ids=with_ids), PIECES)
     cut = cut if with_ids else cut.drop("ids")
     return materialize(cut.select("*", F.monotonically_increasing_id().alias("row"), F.ceil(F.col("length") / UNIT).cast("int").alias("units")), "pieces")
 
@@ -247,23 +249,27 @@ def plan_rows(patterns: list[tuple[dict[int, int], int]]) -> list[tuple[int, int
     return rows
 
 
-def ranked(rows: DataFrame) -> DataFrame:
-    """rows with their rank among those of the same units, from 0."""
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(BUCKETS)).cast("int"))
+def ranked(rows: DataFrame, counts: dict[int, int], most: int = RANKED) -> DataFrame:
+    """rows with their rank among those of the same units, from 0; counts: how many each number of units has.
+
+    A length has as many buckets as it takes for none to exceed about `most` rows.
+    """
+    # One row for each length.
+    split = F.broadcast(rows.sparkSession.createDataFrame([(u, n // most + 1) for u, n in counts.items()], "units int, buckets int"))
+    rows = rows.join(split, "units").withColumn("bucket", F.pmod(F.xxhash64("row"), F.col("buckets")).cast("int")).drop("buckets")
     counts = rows.groupBy("units", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("units").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS rows at most
-    first = counts.select("units", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    before = Window.partitionBy("units").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a `most`-th of a length's rows
+    first = materialize(counts.select("units", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")), "buckets")
     within = F.row_number().over(Window.partitionBy("units", "bucket").orderBy(F.desc("length"), "row")) - 1
-    # first has BUCKETS rows for each of LENGTH/UNIT lengths at most.
-    return rows.withColumn("within", within).join(F.broadcast(first), ["units", "bucket"]).withColumn("rank", F.col("first") + F.col("within")).drop("bucket", "first", "within")
+    return rows.withColumn("within", within).join(first, ["units", "bucket"]).withColumn("rank", F.col("first") + F.col("within")).drop("bucket", "first", "within")
 
 
-def pack(rows: DataFrame, length: int = LENGTH, solver: Callable = solve) -> DataFrame:
+def pack(rows: DataFrame, length: int = LENGTH, solver: Callable = solve, most: int = RANKED) -> DataFrame:
     """rows of pieces() with sequence_id and offset."""
     demand = {r.units: r.n for r in rows.groupBy("units").agg(F.count(F.lit(1)).alias("n")).collect()}  # LENGTH/UNIT rows at most
     plan = rows.sparkSession.createDataFrame(plan_rows(solver(demand, length // UNIT)), "plan_units int, low long, high long, copies int, sequence long")
     fits = (F.col("units") == F.col("plan_units")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
     # The plan's rows are bounded by the number of lengths and of patterns, not by the input.
-    placed = ranked(rows).join(F.broadcast(plan), fits).withColumn("sequence_id", F.col("sequence") + F.floor((F.col("rank") - F.col("low")) / F.col("copies")))
+    placed = ranked(rows, demand, most).join(F.broadcast(plan), fits).withColumn("sequence_id", F.col("sequence") + F.floor((F.col("rank") - F.col("low")) / F.col("copies")))
     before = Window.partitionBy("sequence_id").orderBy(F.desc("units"), "rank").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("plan_units", "low", "high", "copies", "sequence", "rank", "units", "row")

@@ -48,7 +48,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(secrets.candidates(table(spark, sf_dir, "documents")))
+    found = secrets.scan(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda c: c["kind"] == kind)).cast("long")
     said = lambda verdict: F.size(F.filter("all", lambda c: c["kind"] == verdict)).cast("long")
     return found.withColumn("all", secrets.all_spans()).select(
@@ -185,8 +185,11 @@ every AS ({' UNION ALL '.join(found)}),
 placed AS (SELECT *, (list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start FROM every),
 base AS (SELECT r, doc_id, source, rank, kind, start, start + length(match) AS stop, value FROM placed
   WHERE length(value) >= CASE kind WHEN 'assign' THEN 8 WHEN 'access' THEN 16 ELSE 32 END),
-owned AS (SELECT value, count(DISTINCT coalesce(source, '')) AS owners FROM base GROUP BY value),
-told AS (SELECT b.*, CASE WHEN owners >= {secrets.EXAMPLE_OWNERS} THEN 'example' WHEN owners = 1 AND len(list_distinct(string_split(value, ''))) >= {secrets.LIVE_CHARACTERS} THEN 'live' ELSE '' END AS verdict FROM base b JOIN owned USING (value)),
+owned AS (SELECT value, count(DISTINCT coalesce('=' || source, '')) AS owners, count(DISTINCT (coalesce('=' || source, ''), coalesce('=' || doc_id, ''))) AS repositories FROM base GROUP BY value),
+heads AS (SELECT value, string_split(value, '') AS cs FROM owned),
+looks AS (SELECT value, regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND len(list_distinct(cs)) >= {secrets.LIVE_CHARACTERS}
+  AND -list_sum(list_transform(list_distinct(cs), lambda c: len(list_filter(cs, lambda x: x = c)) / len(cs) * log2(len(list_filter(cs, lambda x: x = c)) / len(cs)))) >= {secrets.LIVE_BITS} AS random FROM heads),
+told AS (SELECT b.*, CASE WHEN owners >= {secrets.EXAMPLE_OWNERS} OR repositories >= {secrets.EXAMPLE_REPOSITORIES} THEN 'example' WHEN owners = 1 AND random THEN 'live' ELSE '' END AS verdict FROM base b JOIN owned USING (value) JOIN looks USING (value)),
 spans AS (SELECT r, rank, kind, start, stop FROM base UNION ALL SELECT DISTINCT r, CASE verdict WHEN 'live' THEN 3 ELSE 4 END, verdict, start, stop FROM told WHERE verdict <> ''),
 joined AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
   string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 3) AS b,

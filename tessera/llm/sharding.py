@@ -1,22 +1,27 @@
 """Sharding over fixed virtual slots.
 
-Records hash into a fixed number of slots. The bytes of each slot are aggregated once, and a
-versioned table maps slots to shards. Rebalancing edits that table; it never rehashes records.
-
-Edge cases: a null text has no bytes (size is the overhead alone); a null id hashes by its text, so
-that rows without ids still spread; an empty table gives an empty map and no rows; repeated rows
-each count and each get a place of their own; other columns of the input are ignored.
+Records hash into a fixed number of slots by their ids. The bytes of each slot are aggregated once,
+and a versioned table maps slots to shards: version 1 deals the slots out in turn, the next one is an
+edit by the measured bytes. Rebalancing edits the table; it never rehashes records.
+
+An id that more rows have than a slot should hold (a repeated one, or none at all) would fill its slot:
+the rows of such ids, of which there are fewer than slots, hash by their place in the files as well.
+
+Edge cases: a null text has no bytes (size is the overhead alone); a null id is an id like any other,
+and so hashed by row if it is frequent; an empty table gives an empty map and no rows; repeated rows
+each count and each get a place of their own, rows that tie in id and text in any order; a very long
+text is one record and stays whole, so that its shard may exceed the others; other columns of the
+input are ignored.
 """
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import OWN
+from tessera.llm.common import OWN, keyed
 from tessera.shared import materialize, shared_path
 
 #: Virtual slots. A parameter of the data set: fixed once, a few hundred times the number of shards.
@@ -48,17 +53,31 @@ def load(spark: SparkSession, folder: str, version: int) -> SlotMap:
     return SlotMap(version, rows[0].shards if rows else 0, rows[0].slots if rows else 0, {r.slot: r.shard for r in rows})
 
 
+def crowded(docs: DataFrame, slots: int) -> DataFrame:
+    """Hashes (of docs) of the ids that more than a slot's share of the rows has: fewer than `slots`, found by partial aggregates."""
+    counts = docs.groupBy(f"{OWN}id").agg(F.count(F.lit(1)).alias("n"))
+    return counts.where(F.col("n") > max(1, docs.count() // slots)).select(f"{OWN}id")
+
+
+def id_hash(value: Column) -> Column:
+    return F.xxhash64(value.cast("string"), value.isNull())
+
+
 def with_slots(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", slots: int = SLOTS) -> DataFrame:
-    """id, size, text_crc32 and virtual_slot of each record."""
+    """id, size, text_crc32 and virtual_slot of each record, written once."""
     raw = F.coalesce(F.col(text_column).cast("string").cast("binary"), F.lit(b""))
-    key = F.coalesce(F.xxhash64(F.col(id_column).cast("string")), F.lit(0))
-    key = F.when(F.col(id_column).isNull(), F.xxhash64(F.col(text_column))).otherwise(key)
-    return docs.select(
+    own = keyed(docs)
+    records = materialize(own.select(
         F.col(id_column),
         (F.octet_length(raw) + OVERHEAD).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"),
-        F.pmod(key, F.lit(slots)).cast("int").alias("virtual_slot"),
-    )
+        id_hash(F.col(id_column)).alias(f"{OWN}id"),
+        F.xxhash64(F.col(f"{OWN}row")).alias(f"{OWN}by_row"),
+    ), "records")
+    hot = materialize(crowded(records, slots), "crowded").withColumn(f"{OWN}hot", F.lit(True))
+    key = F.when(F.col(f"{OWN}hot"), F.col(f"{OWN}by_row")).otherwise(F.col(f"{OWN}id"))
+    slot = F.pmod(key, F.lit(slots)).cast("int").alias("virtual_slot")
+    return records.join(F.broadcast(hot), f"{OWN}id", "left").select(id_column, "size", "text_crc32", slot)  # fewer than `slots` rows
 
 
 def slot_loads(records: DataFrame) -> dict[int, tuple[int, int]]:
@@ -68,18 +87,12 @@ def slot_loads(records: DataFrame) -> dict[int, tuple[int, int]]:
 
 
 def assign(loads: dict[int, tuple[int, int]], shards: int, slots: int = SLOTS) -> SlotMap:
-    """Version 1: slots by falling bytes, each to the shard with the fewest bytes so far."""
-    heap = [(0, s) for s in range(shards)]
-    shard_of = {}
-    for slot, (size, _) in sorted(loads.items(), key=lambda x: (-x[1][0], x[0])):
-        total, shard = heapq.heappop(heap)
-        shard_of[slot] = shard
-        heapq.heappush(heap, (total + size, shard))
-    return SlotMap(1, shards, slots, shard_of)
+    """Version 1: the slots in turn, whatever they hold."""
+    return SlotMap(1, shards, slots, {slot: slot % shards for slot in sorted(loads)})
 
 
-def rebalance(old: SlotMap, loads: dict[int, tuple[int, int]], shards: int, tolerance: float = 0.01) -> SlotMap:
-    """The next version for `shards` shards: moves single slots from full shards to empty ones.
+def rebalance(old: SlotMap, loads: dict[int, tuple[int, int]], shards: int, tolerance: float = 0.001) -> SlotMap:
+    """The next version for `shards` shards: moves single slots from the fullest shard to the emptiest.
 
     Slots of removed shards move first. A slot moves only if the pair's larger load falls; it ends
     when every shard is within `tolerance` of the mean or no move helps.
@@ -130,13 +143,15 @@ def place(records: DataFrame, slot_map: SlotMap, loads: dict[int, tuple[int, int
 
 
 def shard(docs: DataFrame, shards: int, id_column: str = "doc_id", text_column: str = "text", slots: int = SLOTS) -> DataFrame:
-    """Each record's size, checksum, virtual slot, shard and place; shards are near equal in bytes.
+    """Each record's size, checksum, virtual slot and place; shards are near equal in bytes.
 
-    The map is stored as version 1 in the shared folder and read back before use.
+    Both versions of the map are stored in the shared folder; the second one, edited by the measured bytes, is read back and used.
     """
     spark = docs.sparkSession
     records = materialize(with_slots(docs, id_column, text_column, slots), "slots")  # narrow: texts are read once
     loads = slot_loads(records)
     folder = shared_path(spark, "slot-map")
-    assign(loads, shards, slots).save(spark, folder)
-    return place(records, load(spark, folder, 1), loads, id_column)
+    first = assign(loads, shards, slots)
+    first.save(spark, folder)
+    rebalance(load(spark, folder, 1), loads, shards).save(spark, folder)
+    return place(records, load(spark, folder, 2), loads, id_column)

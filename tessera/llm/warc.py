@@ -6,13 +6,14 @@ comes out, then goes on behind it. A record belongs to the task in whose range i
 so that files of any size split into ranges of a fixed size without an index.
 
 Archives are read and written through pyarrow.fs, which reaches local folders, HDFS and the object
-stores; the writer renames a finished file to its final name, so that a task that is run again
-replaces whole files only.
+stores. Each attempt of a writing task has file names of its own, and the writer returns a table of
+the files of those attempts that Spark committed; only these are read back, so that what a lost or
+second attempt left in the folder never counts.
 
 Edge cases: a null payload is an empty one; a null url leaves out the target, a null id the record
-id; rows that repeat an id and a payload are all the response, as they share the largest id; an
-empty table gives no archives and no rows; line breaks in a url are percent-encoded; other columns
-of the input are ignored.
+id; rows that repeat an id and a payload are all the response, as they share the largest id; a very
+long payload is one member, read beyond the end of its range; an empty table gives no archives and
+no rows; line breaks in a url are percent-encoded; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import OWN, keyed, look_up, small_batches
 from tessera.shared import materialize, shared_path
 
 #: Payloads shorter than this are always stored.
@@ -50,15 +52,18 @@ READ = "page_id long, url string, record_type string, refers_to long, payload_by
 
 
 def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """page_id, url, payload, digest and refers_to (null: a response) of each page."""
+    """page_id, url, payload, digest and refers_to (null: a response) of each page.
+
+    Only ids and digests of the long payloads are shuffled; the pages stay where they stand.
+    """
+    key = f"{OWN}row"
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
-    long = rows.where(F.octet_length("payload") >= least)
+    rows = keyed(pages).select(key, F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
+    long = materialize(rows.where(F.octet_length("payload") >= least).select(key, "page_id", F.sha1("payload").alias("digest")), "long")
     # Written apart, so that both sides of the join below are plain exchanges and a hot digest can be split.
     repeated = materialize(long.groupBy("digest").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "response"), "repeated")
-    # No payload below `least` has a digest in `repeated`.
-    joined = rows.join(repeated, "digest", "left")
-    return joined.select("page_id", "url", "payload", "digest", F.when(~F.col("response").eqNullSafe(F.col("page_id")), F.col("response")).alias("refers_to"))
+    revisits = long.join(repeated, "digest").where(~F.col("response").eqNullSafe(F.col("page_id"))).select(key, F.col("response").alias("value"))
+    return look_up(rows, revisits, "refers_to").select("page_id", "url", "payload", F.sha1("payload").alias("digest"), "refers_to")
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -87,24 +92,21 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, file_bytes: int) -> I
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
     done: list[tuple[str, int, int]] = []
-    out, temporary, records, size = None, "", 0, 0
+    out, name, records, size = None, "", 0, 0
 
     def finish() -> None:
         nonlocal out
         if out is not None:
             out.close()
-            final = f"{root}/part-{task.partitionId():06d}-{len(done):04d}.warc.gz"
-            if fs.get_file_info(final).type != pafs.FileType.NotFound:
-                fs.delete_file(final)
-            fs.move(temporary, final)
-            done.append((final, records, size))
+            done.append((f"{folder}/{name}", records, size))
             out = None
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if out is None:
-                temporary, records, size = f"{root}/_part-{task.partitionId():06d}-{len(done):04d}-{task.taskAttemptId()}", 0, 0
-                out = fs.open_output_stream(temporary)
+                # An attempt's number is its own in the whole application.
+                name, records, size = f"part-{task.partitionId():06d}-{len(done):04d}-{task.taskAttemptId()}.warc.gz", 0, 0
+                out = fs.open_output_stream(f"{root}/{name}", compression=None)  # members are compressed each
             member = gzip_member(record(*row))
             out.write(member)
             records, size = records + 1, size + len(member)
@@ -115,11 +117,22 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, file_bytes: int) -> I
 
 
 def write(rows: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Write with_revisits() rows as archives below folder; returns the files, with records and bytes."""
-    ordered = rows.select("page_id", "url", "payload", "digest", "refers_to")
+    """Write with_revisits() rows as archives below folder; returns the files that count, with records and bytes."""
+    ordered = small_batches(rows.select("page_id", "url", "payload", "digest", "refers_to"))
     return materialize(ordered.mapInArrow(partial(_write, folder=folder, file_bytes=file_bytes), WRITTEN), "warc-files")
 
 
+def archives(spark: SparkSession, folder: str) -> DataFrame:
+    """path and bytes of the archives below a folder that something else wrote."""
+    try:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").option("recursiveFileLookup", "true").load(folder)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "path string, bytes long")
+    return found.select("path", F.col("length").alias("bytes"))
+
+
 def parse(data: bytes) -> tuple[dict[str, str], bytes] | None:
     """Header fields (lower-case names) and block of one whole record; None if it isn't one."""
     end = data.find(b"\r\n\r\n")
@@ -211,33 +224,24 @@ def _read(batches: Iterator[pa.RecordBatch], types: pa.Schema) -> Iterator[pa.Re
     yield batch(held)
 
 
-def ranges(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """path, start, end and size of each byte range of the archives below folder."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", F.col("length").alias("size"))
+def ranges(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """path, start, end and size of each byte range of files (path, bytes)."""
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(range_bytes).cast("long")))
-    return files.where("size > 0").select("path", "size", starts.alias("start")).select("path", "start", F.least(F.col("start") + range_bytes, "size").alias("end"), "size")
+    sized = files.select("path", F.col("bytes").alias("size")).where("size > 0").select("path", "size", starts.alias("start"))
+    return sized.select("path", "start", F.least(F.col("start") + range_bytes, "size").alias("end"), "size")
 
 
-def read(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES, tasks: int | None = None) -> DataFrame:
-    """A row for each record of the archives below folder.
+def read(files: DataFrame, range_bytes: int = RANGE_BYTES, tasks: int | None = None) -> DataFrame:
+    """A row for each record of files (path, bytes): those that write() returned, or archives().
 
     payload_bytes and payload_digest are those of the full payload, for revisits as the record tells
     them; digest_ok says whether a response's payload has the digest and length told.
     """
     types = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("digest_ok", pa.bool_()), ("offset", pa.int64()), ("path", pa.string())])
-    try:
-        found = ranges(spark, folder, range_bytes)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], READ)  # nothing was written
-    spread = found.repartition(tasks or 4 * spark.sparkContext.defaultParallelism, "path", "start")
+    spread = ranges(files, range_bytes).repartition(tasks or 4 * files.sparkSession.sparkContext.defaultParallelism, "path", "start")
     return spread.mapInArrow(partial(_read, types=types), READ)
 
 
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write pages as archives and read them back."""
-    spark = pages.sparkSession
-    folder = folder or shared_path(spark, "warc")
-    write(with_revisits(pages), folder)
-    return read(spark, folder)
+    return read(write(with_revisits(pages), folder or shared_path(pages.sparkSession, "warc")))

@@ -66,7 +66,7 @@ def test_warc_round_trip_and_ranges(spark, tmp_path):
         revisit = len(data) >= 1000 and i != largest[t or ""] and largest[t or ""] >= 0 and i is not None
         expected[i, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", largest[t or ""] if revisit else None] += 1
     for size in (64, 1000, 1 << 20):
-        found = warc.read(spark, folder, size, 3).collect()
+        found = warc.read(files, size, 3).collect()
         assert collections.Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found) == expected
         assert all(r.digest_ok for r in found)
     assert warc.round_trip(frame.where("false")).count() == 0
@@ -109,15 +109,15 @@ def test_secrets(docs, rows, empty):
     for i, t, *_ in rows:
         spans = [(m.start(), k, kind, m.end()) for k, (kind, p) in enumerate(zip(secrets.LEAST, patterns)) for m in p.finditer(t or "") if len(m[2] if kind == "assign" else m[0]) >= secrets.LEAST[kind]]
         expected[i, ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(spans))] += 1
-    found = secrets.scan(secrets.candidates(docs)).select("doc_id", secrets.spelled(F.col("base")).alias("b"), secrets.spelled(secrets.all_spans()).alias("a")).collect()
+    found = secrets.scan(docs).select("doc_id", secrets.spelled(F.col("base")).alias("b"), secrets.spelled(secrets.all_spans()).alias("a")).collect()
     assert collections.Counter((r.doc_id, r.b) for r in found) == expected
     assert any("live:" in r.a for r in found)
-    assert secrets.scan(secrets.candidates(empty)).count() == 0
+    assert secrets.scan(empty).count() == 0
 
 
 def test_secrets_ownership_tells_examples_from_live(spark):
     rows = [(n, "password=Sample12345X", f"o{n}") for n in range(4)] + [(9, "password=Real98765Qwerty", "o1"), (10, "password=Real98765Qwerty", "o1")]
-    found = secrets.scan(secrets.candidates(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    found = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"))
     said = {r.doc_id: r.s for r in found.select("doc_id", secrets.spelled(secrets.all_spans()).alias("s")).collect()}
     assert all("example:" in said[n] for n in range(4)) and all("live:" in said[n] for n in (9, 10))
 
@@ -197,14 +197,14 @@ def contaminated(texts, items):
         yield len(w), sum(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block_bytes", [1, 1 << 20])
-def test_decontamination(spark, block_bytes):
+@pytest.mark.parametrize("block_windows", [1, 5, 1 << 20])
+def test_decontamination(spark, block_windows):
     long = " ".join(f"w{n}" for n in range(40))
     items = [(1, long), (2, "Short item"), (3, long), (4, None), (5, "..."), (None, "lonely words here"), (12, " ".join(f"w{n}" for n in range(20, 60)))]
     texts = ["", None, long.upper() + " tail", f"x short\nITEM y {long[: len(long) // 2]}", "short other item", "lonely words here", " ".join(["short item"] * 50), long + " " + long, "w1 w2 w3", f"pre {' '.join(f'w{n}' for n in range(10, 30))} post " + "filler " * 500]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    found = {r.doc_id: r for r in decontaminate.find(docs, benchmark, shard_bytes=64, block_bytes=block_bytes).collect()}
+    found = {r.doc_id: r for r in decontaminate.find(docs, benchmark, shard_bytes=64, block_windows=block_windows).collect()}
     for k, (n, hit, own) in enumerate(contaminated(texts, items)):
         r = found[k]
         assert (r[decontaminate.N_WORDS], r[decontaminate.N_HIT], r[decontaminate.ITEMS]) == (n, hit, own), texts[k]
@@ -306,8 +306,8 @@ def test_vantage_point_links_are_exact(spark):
         chain.append(chain[-1] ^ (3 << int(rng.integers(62))))
     prints = sorted({*map(int, base), *near, *chain})
     frame = spark.createDataFrame([(n, int(np.uint64(p).view(np.int64))) for n, p in enumerate(prints)], "doc_id long, fp long")
-    for shard, block in ((16, 2048), (16, 5), (1 << 20, 1 << 20)):
-        found = simhash.components(simhash.links(frame, sample=512, shard=shard, block=block)).collect()
+    for shard, levels, rows in ((16, 14, 2048), (16, 2, 50), (1 << 20, 14, 1 << 20)):
+        found = simhash.components(simhash.links(frame, sample=512, shard=shard, levels=levels, rows=rows)).collect()
         root = {r.node & (1 << 64) - 1: r.root for r in found}
         expected = _components(prints)
         for part in collections.Counter(expected.values()):
