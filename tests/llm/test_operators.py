@@ -4,6 +4,7 @@ import collections
 import hashlib
 import re
 import textwrap
+import time
 import zlib
 
 import numpy as np
@@ -462,6 +463,60 @@ def test_html_layout_containers_are_no_boilerplate(mark):
     assert html.extract(f"<body><p>the story of it</p><div class='{mark}'>send</div><div class='ad' hidden><p>{'far more text ' * 9}</p></div></body>") == "the story of it"
 
 
+BARE = """<html><body><div class="a1"><ul><li>Home</li><li>News {0}</li></ul></div><div class="b2"><h1>Title {0}</h1><p>The long story of number {0} begins here</p><p>and it goes on for {0} more lines</p>
+<div class="c3"><div><b>Ann {0}</b><p>nice {0}</p></div><div><b>Bob {0}</b><p>yes {0}</p></div></div></div><div class="d4"><h3>Popular {0}</h3><ul><li>Tale {0}</li><li>Tale {0}{0}</li></ul></div><div>Write to us</div></body></html>"""
+
+
+def test_html_wrapper_finds_what_one_page_does_not_tell(spark):
+    """Without articles or telling classes the host's wrapper parts menus, comments, sidebars and template from the text; one page cannot."""
+    pages = [(n, f"http://bare.example/{n}", BARE.format(n)) for n in range(12)] + [(99, "http://single.example/", BARE.format(99))]
+    found = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for n in range(12):
+        want = f"Title {n}\nThe long story of number {n} begins here\nand it goes on for {n} more lines"
+        assert found[n] == want and html.extract(BARE.format(n)) != want
+    assert "Popular 99" in found[99].split("\n")
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>" * 50_000 + "x" + "</div>" * 50_000, "<div>" * 50_000 + "x" + "</p>" * 50_000, "<div><article>" + "<ul>" * 50_000 + "x" + "</div>" * 50_000, "x" + '<a ">"' * 100_000, "x<a " * 250_000,
+        "x" + "<a<a" * 250_000 + ">", "x" + "<!-- y " * 150_000, "x" + "<script>" * 100_000, "<p " + "a   " * 200_000 + ">x</p>", "<p " + "a=\"b" * 200_001 + ">x</p>",
+    ],
+)
+def test_html_hard_pages_take_linear_time(page):
+    start = time.monotonic()
+    html.extract(page, html.rules(html.infer([page, "<p>other</p>", page])))
+    assert html.extract(page).startswith("x")
+    assert time.monotonic() - start < 10
+
+
+def test_html_deep_elements_keep_their_order():
+    deep = "<div>" * 300 + "a<p>b</p>c<div class='ad'>buy<p>now</p></div><p>d</p>" + "</div>" * 300 + "<p>e</p>"
+    assert html.extract(deep) == "a\nb\nc\nd\ne"
+
+
+def test_html_aligns_long_streams():
+    pages = ["<body>" + "".join(f"<p>a{n}</p><h2>b{n}</h2>" + ("<div>q</div>" if n % k == 0 else "") for n in range(20_000)) + "</body>" for k in (7, 11)]
+    start = time.monotonic()
+    told = html.rules(html.infer(pages))
+    assert time.monotonic() - start < 20
+    assert all(("body", "") == c[0] for c in told.constant)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=30), st.lists(st.sampled_from("abcd"), max_size=30), st.sampled_from([0, 20, 1 << 20]))
+def test_html_common_subsequences(a, b, cells):
+    held, html.CELLS = html.CELLS, cells
+    try:
+        found = html.common(a, b)
+    finally:
+        html.CELLS = held
+    assert all(a[i] == b[j] for i, j in found) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(found, found[1:]))
+    if cells > 1000:
+        assert len(found) == len(html.longest(a, b))
+
+
 def test_wrapper_alignment():
     wrapper = html.infer(["<body><h1>A</h1><p>x</p></body>", "<body><h1>A</h1><div>o</div><p>y</p><p>z</p></body>"])
     body = wrapper.parts[0]
