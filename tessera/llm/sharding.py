@@ -153,5 +153,5 @@ def shard(docs: DataFrame, shards: int, id_column: str = "doc_id", text_column:
     folder = shared_path(spark, "slot-map")
     first = assign(loads, shards, slots)
     first.save(spark, folder)
-    rebalance(load(spark, folder, 1), loads, shards).save(spark, folder)
+    rebalance(load(spark, folder, 1), loads, shards, 1e-4).save(spark, folder)
     return place(records, load(spark, folder, 2), loads, id_column)
