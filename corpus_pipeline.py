@@ -1,4 +1,14 @@
-"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
+
+Texts are never shuffled: deduplication moves ids, digests and fingerprints, and its decisions are looked up
+where the documents stand. Of what a stage writes to the shared folder only its result is left when it ends,
+and only until the next stage has read it; the last stage's result stays for the caller to read and delete.
+
+Edge cases: null and empty texts are scored like any other, are one group of copies and one of near copies, are
+not contaminated, and pack as their end token; null and repeated ids are rows like others; where copies tie, the
+smallest id, then the first row stays; a very long text is scored, hashed, searched and packed whole; extra
+columns pass through all stages but the last, whatever their names; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +20,7 @@ from pyspark.sql import functions as F
 from tessera.llm import decontaminate, exact_dedup, packing, quality, simhash
 from tessera.llm.common import keyed
 from tessera.llm.queries import tokenizer_path
-from tessera.shared import materialize, table
+from tessera.shared import discard, materialize, scratch, shared_path, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +64,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = shared_path(spark, name.replace(" ", "-"))
+        with scratch():
+            docs = materialize(stage(spark, docs, sf_dir), name, path)
+        if before:
+            discard(before)
+        before = path
     return docs
