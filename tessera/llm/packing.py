@@ -186,38 +186,45 @@ def invert(matrix: np.ndarray) -> np.ndarray:
     return both[:, n:]
 
 
-def solve(demand: dict[int, int], capacity: int, within: float = 5e-4) -> list[tuple[dict[int, int], int]]:
+def program(sizes: np.ndarray, need: np.ndarray, capacity: int, within: float = 5e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Patterns (a column each), their uses and the sizes' prices: the linear program by the revised simplex method on generated columns.
+
+    It ends when no pattern is worth more than 1 + within of a sequence, so that prices * need / (1 + within) bounds every packing from below.
+    """
+    basis = np.diag(capacity // sizes).astype(float)
+    inverse, x = np.diag(1 / np.diag(basis)), need / np.diag(basis)
+    for turn in range(1, 50 * len(sizes) + 1):
+        prices = inverse.sum(axis=0)
+        worth, pattern = best_pattern(sizes, np.maximum(prices, 0), capacity)
+        if worth <= 1 + within:
+            break
+        d = (inverse * pattern).sum(axis=1)
+        ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
+        out = int(ratio.argmin())
+        basis[:, out] = pattern
+        step = ratio[out]
+        x = np.maximum(x - step * d, 0)
+        x[out] = step
+        if turn % 100:
+            row = inverse[out] / d[out]
+            inverse -= d[:, None] * row
+            inverse[out] = row
+        else:
+            inverse = invert(basis)
+            x = np.maximum((inverse * need).sum(axis=1), 0)
+    return basis, x, np.maximum(inverse.sum(axis=0), 0)
+
+
+def solve(demand: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
     """Patterns (copies of each size) and how often to use each, so that all demand is met exactly.
 
-    The linear program is solved by the revised simplex method on generated columns, to `within` of
-    its optimum by the dual bound; then uses are rounded down and the rest goes first-fit.
+    Uses of the linear program's patterns are rounded down and the rest goes first-fit.
     """
     sizes = np.array(sorted(s for s, n in demand.items() if n), np.int64)
     left = {int(s): demand[int(s)] for s in sizes}
     used: list[tuple[dict[int, int], int]] = []
     if len(sizes):
-        need = np.array([demand[int(s)] for s in sizes], float)
-        basis = np.diag(capacity // sizes).astype(float)
-        inverse, x = np.diag(1 / np.diag(basis)), need / np.diag(basis)
-        for turn in range(1, 50 * len(sizes) + 1):
-            prices = inverse.sum(axis=0)
-            worth, pattern = best_pattern(sizes, np.maximum(prices, 0), capacity)
-            if worth <= 1 + within:
-                break
-            d = (inverse * pattern).sum(axis=1)
-            ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
-            out = int(ratio.argmin())
-            basis[:, out] = pattern
-            step = ratio[out]
-            x = np.maximum(x - step * d, 0)
-            x[out] = step
-            if turn % 100:
-                row = inverse[out] / d[out]
-                inverse -= d[:, None] * row
-                inverse[out] = row
-            else:
-                inverse = invert(basis)
-                x = np.maximum((inverse * need).sum(axis=1), 0)
+        basis, x, _ = program(sizes, np.array([demand[int(s)] for s in sizes], float), capacity)
         for k in range(len(sizes)):
             pattern = {int(s): int(a) for s, a in zip(sizes, basis[:, k], strict=True) if a}
             times = min([int(x[k] + 1e-9), *(left[s] // a for s, a in pattern.items())])
