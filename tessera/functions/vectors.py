@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that a task holds at once.
-BLOCK = 4096
+from tessera import blocks
+
+#: Query vectors of a block.
+BLOCK = 1024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -18,46 +21,35 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
 
 
+def _pack(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], paths: tuple[str, ...], k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = batch.column(0).to_numpy(zero_copy_only=False)
+        if not len(own):
+            continue
+        rows = np.array(batch.column(1).to_pylist()).T
+        for path in paths:
+            ids, matrix = blocks.read(path)
+            scores = np.round(matrix @ rows, 9)
+            scores[ids[:, None] == own[None, :]] = -np.inf
+            order = np.lexsort((np.broadcast_to(own, scores.shape), -scores))[:, :k]
+            best = np.take_along_axis(scores, order, 1)
+            keep = np.isfinite(best).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])[keep]), pa.array(own[order].ravel()[keep]), pa.array(best.ravel()[keep])], names=["query_id", "id", "score"])
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_id", vector_column: str = "embedding", block: int = BLOCK) -> DataFrame:
     """query_id, id, score and rank of the k nearest other rows of each query.
 
-    Queries come in blocks of bounded size; each task multiplies its rows with a block and keeps k
-    rows for each query, so that k rows a query and task are shuffled and not all scores.
+    Queries lie in the shared folder in blocks of bounded size. The rows are read once; each batch of
+    them meets one block after another and keeps k rows for each query, so that k rows a query and
+    batch are shuffled and not all scores.
     """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v")).where("v is not null")
-    parts: list[DataFrame] = []
-    held: list[tuple[int, list[float]]] = []
-
-    def flush() -> None:
-        if held:
-            seen = spark.sparkContext.broadcast((np.array([i for i, _ in held]), np.array([v for _, v in held])))  # at most `block` vectors
-
-            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                ids, matrix = seen.value
-                for batch in batches:
-                    own = batch.column(0).to_numpy(zero_copy_only=False)
-                    if not len(own):
-                        continue
-                    scores = np.round(matrix @ np.array(batch.column(1).to_pylist()).T, 9)
-                    scores[ids[:, None] == own[None, :]] = -np.inf
-                    order = np.lexsort((np.broadcast_to(own, scores.shape), -scores))[:, :k]
-                    best = np.take_along_axis(scores, order, 1)
-                    keep = np.isfinite(best).ravel()
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])[keep]), pa.array(own[order].ravel()[keep]), pa.array(best.ravel()[keep])], names=["query_id", "id", "score"])
-
-            parts.append(rows.mapInArrow(run, "query_id long, id long, score double"))
-            held.clear()
-
-    for row in queries.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v")).where("v is not null").toLocalIterator():
-        held.append((row.id, row.v))
-        if len(held) == block:
-            flush()
-    flush()
-    if not parts:
-        return spark.createDataFrame([], "query_id long, id long, score double, rank int")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    narrow = lambda df: df.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v")).where("v is not null")
+    paths = blocks.write(narrow(queries), "query-vectors", block, _pack)
+    found = narrow(vectors).mapInArrow(partial(_nearest, paths=paths, k=k), "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -68,6 +68,32 @@ def review(answers: DataFrame, observations: DataFrame, key: str, entailment: Ca
     return joined.join(seen, key, "left").select(key, F.concat_ws("\n", notice, "t").alias("text"), "n_marked")
 
 
+def stated(text_column: Column) -> Column:
+    """The sentences of an answer that state something."""
+    return F.filter(text.sentences(text_column, ".!?»"), lambda s: F.length(s).between(25, 300) & ~s.endswith("?"))
+
+
+def citation_scores(answers: DataFrame, cites: DataFrame, passages: DataFrame, key: str, entailment: Callable[[Column, Column], Column] = overlap, carries: float = CARRIES) -> DataFrame:
+    """recall, primary_precision, secondary_precision and f1, in one row.
+
+    answers: key, text; cites: key, domain, place (1: the source, more: also covered by); passages: key, domain, ev_text.
+    An answer without citations does not count. recall: sentences that some cited domain carries; precisions: cited domains that
+    carry some sentence; f1: of recall and the first precision.
+    """
+    from tessera.operators.scores import share
+
+    said = answers.select(key, F.posexplode(stated(F.col("text"))).alias("n", "s"))
+    met = said.join(cites, key).join(passages, [key, "domain"])
+    support = met.groupBy(key, "domain", "place", "n").agg(F.max(entailment(F.col("s"), F.col("ev_text"))).alias("v"))
+    recall = support.groupBy(key, "n").agg(F.max("v").alias("v")).agg(F.avg((F.col("v") >= carries).cast("int")).alias("recall"))
+    used = support.groupBy(key, "domain", "place").agg(F.max("v").alias("v"))
+    held = (F.coalesce("v", F.lit(0.0)) >= carries).cast("int")
+    part = lambda which: share(F.sum(F.when(which, held)), F.sum(which.cast("int")))
+    precision = cites.join(used, [key, "domain", "place"], "left").agg(part(F.col("place") == 1).alias("p"), part(F.col("place") > 1).alias("q"))
+    r, p = F.coalesce("recall", F.lit(0.0)), F.coalesce("p", F.lit(0.0))
+    return recall.join(precision).select(F.round(r, 6).alias("recall"), F.round(p, 6).alias("primary_precision"), F.round(F.coalesce("q", F.lit(0.0)), 6).alias("secondary_precision"), F.round(share(2 * r * p, r + p), 6).alias("f1"))  # one row each
+
+
 def rendered(role: str, content: str) -> str:
     return f"<|im_start|>{role}\n{content}<|im_end|>\n"
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import FUNCTION_WORDS, key_terms
@@ -12,21 +15,34 @@ __all__ = ["antecedents", "greedy_groups", "key_terms", "languages"]
 
 
 def languages(rows: DataFrame, key: str, column: str, default: str = "es") -> DataFrame:
-    """key and detected: each word counts for its languages in equal parts; a strict winner with two words or more."""
-    spark = rows.sparkSession
-    owners: dict[str, list[int]] = {}
-    for n, words in enumerate(FUNCTION_WORDS.values()):
-        for w in words.split():
-            owners.setdefault(w, []).append(n)
-    langs = list(FUNCTION_WORDS)
-    table = spark.createDataFrame([(w, langs[n], n, 1.0 / len(own)) for w, own in owners.items() for n in own], "w string, lang string, n int, v double")
-    words = F.filter(F.transform(F.split(F.lower(column), r"\s+"), lambda x: F.regexp_replace(x, "^[¿?¡!.,;:«»\"'()]+|[¿?¡!.,;:«»\"'()]+$", "")), lambda x: x != "")
-    counted = rows.select(key, F.explode(words).alias("w")).groupBy(key, "w").agg(F.count(F.lit(1)).alias("c"))
-    scored = counted.join(F.broadcast(table), "w").groupBy(key, "lang", "n").agg(F.round(F.sum(F.col("c") * F.col("v")), 6).alias("s"), F.sum("c").alias("hits"))
-    best = scored.groupBy(key).agg(F.max("s").alias("top"), F.max_by(F.struct("lang", "hits"), F.struct("s", -F.col("n"))).alias("b"), F.collect_list("s").alias("all"))  # six scores at most
-    alone = F.size(F.filter("all", lambda s: s == F.col("top"))) == 1
-    judged = best.select(key, F.when(alone & (F.col("b.hits") >= 2), F.col("b.lang")).otherwise(default).alias("detected"))
-    return rows.select(key).join(judged, key, "left").select(key, F.coalesce("detected", F.lit(default)).alias("detected"))
+    """key and detected: each word counts for its languages in equal parts; a strict winner with two words or more. Nothing is shuffled."""
+    return rows.select(key, language(F.col(column), default).alias("detected"))
+
+
+def language(text: Column, default: str) -> Column:
+    own = {lang: words.split() for lang, words in FUNCTION_WORDS.items()}
+    shared = Counter(w for words in own.values() for w in words)
+    words = F.transform(F.split(F.lower(text), r"\s+"), lambda x: F.btrim(x, F.lit("¿?¡!.,;:«»\"'()")))
+    known = F.filter(words, lambda w: w.isin(sorted(shared)))
+
+    def score(found: Column, n: int, lang: str) -> Column:
+        hits = F.filter(found, lambda w: w.isin(own[lang]))
+        # Words of one language weigh 1, those of k languages 1/k each.
+        among = lambda k: F.size(F.filter(hits, lambda w: w.isin([x for x in own[lang] if shared[x] == k])))
+        parts = [among(k) / k for k in sorted({shared[x] for x in own[lang]})]
+        return F.struct(F.round(reduce(Column.__add__, parts), 6).alias("s"), F.lit(-n).alias("n"), F.lit(lang).alias("lang"), F.size(hits).alias("hits"))
+
+    def judged(found: Column) -> Column:
+        scores = F.filter(F.array(*(score(found, n, lang) for n, lang in enumerate(own))), lambda x: x["hits"] > 0)
+        return F.get(F.transform(F.array(scores), winner), F.lit(0))
+
+    def winner(scores: Column) -> Column:
+        best = F.array_max(scores)
+        alone = F.size(F.filter(scores, lambda x: x["s"] == best["s"])) == 1
+        return F.when((F.size(scores) > 0) & alone & (best["hits"] >= 2), best["lang"]).otherwise(default)
+
+    # Bound within an array, so that the words are looked up once.
+    return F.coalesce(F.get(F.transform(F.array(known), judged), F.lit(0)), F.lit(default))
 
 
 def antecedents(words: DataFrame, group: str, turn: str, word: str) -> DataFrame:

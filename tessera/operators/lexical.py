@@ -3,74 +3,73 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera import blocks
 from tessera.functions.substrings import finder
 from tessera.functions.text import content_words
 
-#: Queries that a task holds at once.
+#: Queries of a block.
 BLOCK = 2048
 FOUND = "item_id long, doc_id long, head string, score long"
 
 
-def _scan(batches: Iterator[pa.RecordBatch], seen, k: int) -> Iterator[pa.RecordBatch]:
-    words, owners, ids = seen.value
-    find, place = finder(words), {w: n for n, w in enumerate(words)}
+def _pack(rows: list[tuple]) -> tuple[tuple[str, ...], list[np.ndarray], list[int]]:
+    """The words of a block's queries, whose queries each is, and the queries' ids."""
+    owners: dict[str, list[int]] = {}
+    for n, (_, words) in enumerate(rows):
+        for w in words:
+            owners.setdefault(w, []).append(n)
+    words = tuple(sorted(owners))
+    return words, [np.array(owners[w]) for w in words], [i for i, _ in rows]
+
+
+@lru_cache(maxsize=2)
+def _queries(path: str) -> tuple:
+    words, owners, ids = blocks.read(path)
+    return finder(words), {w: n for n, w in enumerate(words)}, owners, ids
+
+
+def _scan(batches: Iterator[pa.RecordBatch], paths: tuple[str, ...], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         doc_ids, heads, lows = (batch.column(n).to_pylist() for n in range(3))
-        scores = np.zeros((len(lows), len(ids)), np.int32)
-        for n, low in enumerate(lows):
-            if met := [owners[place[w]] for w in find(low)]:
-                scores[n] = np.bincount(np.concatenate(met), minlength=len(ids))
-        out: list[tuple] = []
-        by_id = np.argsort(np.array(doc_ids), kind="stable") if doc_ids else []
-        for item, own in zip(ids, scores.T, strict=True):
-            kept: set[str] = set()
-            for n in by_id[np.argsort(-own[by_id], kind="stable")] if len(by_id) else ():
-                if own[n] == 0 or len(kept) == k:
-                    break
-                if heads[n] not in kept:
-                    kept.add(heads[n])
-                    out.append((item, doc_ids[n], heads[n], int(own[n])))
-        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int64()))], names=["item_id", "doc_id", "head", "score"])
+        if not doc_ids:
+            continue
+        by_id = np.argsort(np.array(doc_ids), kind="stable")
+        for path in paths:
+            find, place, owners, ids = _queries(path)
+            scores = np.zeros((len(lows), len(ids)), np.int32)
+            for n, low in enumerate(lows):
+                if met := [owners[place[w]] for w in find(low)]:
+                    scores[n] = np.bincount(np.concatenate(met), minlength=len(ids))
+            out: list[tuple] = []
+            for item, own in zip(ids, scores.T, strict=True):
+                kept: set[str] = set()
+                for n in by_id[np.argsort(-own[by_id], kind="stable")]:
+                    if own[n] == 0 or len(kept) == k:
+                        break
+                    if heads[n] not in kept:
+                        kept.add(heads[n])
+                        out.append((item, doc_ids[n], heads[n], int(own[n])))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int64()))], names=["item_id", "doc_id", "head", "score"])
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k: int, least: int, head: int = 120, block: int = BLOCK) -> DataFrame:
     """item_id, doc_id, score and rank: for each query the k texts with most of its words, the first of each head.
 
-    Queries (item_id, text) come in blocks of bounded size. A task scores its texts against a block in
-    one pass over each text and keeps k texts a query and batch, so that no more than that is shuffled.
+    Queries (item_id, text) lie in the shared folder in blocks of bounded size. The texts are read once;
+    a task scores each batch against one block after another and keeps k texts a query and batch, so
+    that no more than that is shuffled.
     """
-    spark = docs.sparkSession
+    asked = queries.select(F.col("item_id").cast("long"), content_words(F.col("text")).alias("words")).where("words IS NOT NULL")
+    paths = blocks.write(asked, "queries", block, _pack)
     rows = docs.where((F.length("text") >= least) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.substring("text", 1, head).alias("head"), F.lower("text").alias("low"))
-    parts, held = [], []
-
-    def flush() -> None:
-        if not held:
-            return
-        owners: dict[str, list[int]] = {}
-        for n, (_, words) in enumerate(held):
-            for w in words:
-                owners.setdefault(w, []).append(n)
-        words = tuple(sorted(owners))
-        seen = spark.sparkContext.broadcast((words, [np.array(owners[w]) for w in words], [i for i, _ in held]))  # `block` queries
-        parts.append(rows.mapInArrow(lambda it: _scan(it, seen, k), FOUND))
-        held.clear()
-
-    for row in queries.select("item_id", content_words(F.col("text")).alias("words")).where("words IS NOT NULL").toLocalIterator():
-        held.append((row.item_id, row.words))
-        if len(held) == block:
-            flush()
-    flush()
-    if not parts:
-        return spark.createDataFrame([], "item_id long, doc_id long, score long, rank long")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    found = rows.mapInArrow(partial(_scan, paths=paths, k=k), FOUND)
     first = Window.partitionBy("item_id", "head").orderBy(F.desc("score"), "doc_id")
     once = found.withColumn("n", F.row_number().over(first)).where("n = 1")
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")

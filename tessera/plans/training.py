@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
@@ -10,44 +12,86 @@ from tessera.operators import logs, sampling
 from tessera.plans.registry import query
 from tessera.plans.retrieval import split_sql
 from tessera.plans.verdicts import WORDS_SQL, q
-from tessera.shared import table
+from tessera.shared import materialize, table
 
-#: Neighbouring documents of one source stand for one page: a page has a bounded number of claims.
+#: Neighbouring documents of one source stand for a page, as the tables name none.
 PAGE = 400
-YEARS = r"\b(1[89]\d{2}|20\d{2})\b"
-
-
-def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page, doc_id, claim (the first sentence) and the words of claim and text."""
-    docs = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", F.expr(f"doc_id div {PAGE}")).alias("page"), "doc_id", "text", F.get(text.sentences(F.col("text")), F.lit(0)).alias("claim"))
-    return docs.select("page", "doc_id", "text", text.content_words(F.col("claim")).alias("cw"), text.content_words(F.col("text")).alias("ew"))
+#: Rows ahead that each round of the search looks at.
+AHEAD = (8, 32, 128, 512, 2048, 8192)
+# How a text tells a date.
+DATE = r"\b(?:(?:january|february|march|april|may|june|july|august|september|october|november|december)\s+\d{1,2}|(?:19|20)\d{2})\b"
+
+
+def claims(spark: SparkSession, sf_dir: str, claim: str = "", evidence: str = "") -> DataFrame:
+    """page, doc_id, claim (the first sentence) and evidence (the text), each with SQL for a tail of its own."""
+    docs = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", F.expr(f"doc_id div {PAGE}")).alias("page"), "doc_id", F.get(text.sentences(F.col("text")), F.lit(0)).alias("claim"), F.col("text").alias("evidence"))
+    for column, tail in (("claim", claim), ("evidence", evidence)):
+        docs = docs.withColumn(column, F.concat(column, F.expr(tail))) if tail else docs
+    return docs
+
+
+def claims_sql(claim: str = "''", evidence: str = "''") -> str:
+    return f"""told AS (SELECT source || '/' || (doc_id // {PAGE}) AS page, doc_id, {split_sql('text', '.!?;')}[1] || {claim} AS claim, text || {evidence} AS evidence FROM documents),
+claims AS (SELECT *, {WORDS_SQL.format('claim')} AS cw, {WORDS_SQL.format('evidence')} AS ew FROM told)"""
+
+
+MATCH_SQL = "len(list_intersect(a.cw, b.cw)) < 0.5 * len(a.cw) AND len(list_intersect(a.cw, b.ew)) >= 2"
+FIRST_SQL = """found AS (SELECT a.page, a.claim, a.doc_id AS claim_id, min(b.doc_id) AS evidence_id FROM claims a JOIN claims b ON a.page = b.page AND a.doc_id < b.doc_id WHERE {0} GROUP BY ALL)
+SELECT claim_id, evidence_id, 'NOT ENOUGH INFO' AS label FROM found QUALIFY row_number() OVER (PARTITION BY page, claim ORDER BY claim_id) = 1"""
+
+
+def first_matches(rows: DataFrame, dated: bool = False) -> DataFrame:
+    """For each claim text of a page the first later evidence on other matters that shares two of its words; with dated, of other dates.
+
+    Most claims find theirs a few rows on. Each round joins the claims that are left with the next rows of
+    their page by an equal place, ever more of them, so that no page is joined with itself; a claim
+    that nothing can match (fewer than two words, or no date) is left out from the start.
+    """
+    dates = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(DATE), F.lit(0)))
+    known = rows.select("page", "doc_id", "claim", text.content_words(F.col("claim")).alias("cw"), text.content_words(F.col("evidence")).alias("ew"), dates(F.col("claim")).alias("cd"), dates(F.col("evidence")).alias("ed"))
+    known = known.withColumn("place", F.row_number().over(Window.partitionBy("page").orderBy("doc_id")))
+    known = materialize(known, "claims")
+    longest = known.agg(F.max("place")).first()[0] or 0
+    left = known.where((F.size("cw") >= 2) & (F.size("cd") > 0 if dated else F.lit(True))).select("page", "claim", F.col("doc_id").alias("claim_id"), "cw", "cd", "place")
+    later = known.select("page", F.col("place").alias("at"), F.col("doc_id").alias("evidence_id"), F.col("cw").alias("other"), "ew", "ed")
+    common = lambda a, b: F.size(F.array_intersect(a, b))
+    fits = (common("cw", "other") < 0.5 * F.size("cw")) & (common("cw", "ew") >= 2)
+    fits = fits & (F.size("ed") > 0) & ~F.arrays_overlap("cd", "ed") if dated else fits
+    parts, start = [], 1
+    steps = iter([*AHEAD, *range(2 * AHEAD[-1], longest + AHEAD[-1], AHEAD[-1])])
+    while start < longest:
+        end = min(next(steps), longest)
+        met = left.withColumn("at", F.explode(F.sequence(F.col("place") + start, F.col("place") + end))).join(later, ["page", "at"]).where(fits)
+        found = materialize(met.groupBy("page", "claim", "claim_id").agg(F.min("evidence_id").alias("evidence_id")), "matches")
+        parts.append(found)
+        left = materialize(left.join(found, ["page", "claim_id"], "left_anti"), "unmatched")
+        start = end + 1
+        if left.isEmpty():
+            break
+    none = left.select("page", "claim", "claim_id", F.col("claim_id").alias("evidence_id")).where("false")
+    first = F.min(F.struct("claim_id", "evidence_id")).alias("m")
+    return reduce(DataFrame.unionByName, parts, none).groupBy("page", "claim").agg(first).select("m.*", F.lit("NOT ENOUGH INFO").alias("label"))
+
+
+@query(f"WITH {claims_sql()}, {FIRST_SQL.format(MATCH_SQL)}")
+def hard_negatives_selfjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return first_matches(claims(spark, sf_dir))
 
 
-CLAIMS_SQL = f"""claims AS (SELECT source || '/' || (doc_id // {PAGE}) AS page, doc_id, text, {WORDS_SQL.format(split_sql('text', '.!?;') + '[1]')} AS cw, {WORDS_SQL.format('text')} AS ew FROM documents)"""
-MATCH_SQL = "len(list_intersect(a.cw, b.cw)) < 0.5 * greatest(len(a.cw), 1) AND len(list_intersect(a.cw, b.ew)) >= 2"
+CLAIM_TAIL, EVIDENCE_TAIL = "', in ' || (1900 + doc_id * 7 % 13)", "' On May ' || (1 + doc_id % 5) || ', in ' || (1900 + doc_id * 5 % 13)"
 
 
-def first_matches(rows: DataFrame, more: Column | None = None) -> DataFrame:
-    """For each claim the first later text of its page on other matters that shares two of its words."""
-    a, b = rows.alias("a"), rows.alias("b")
-    common = lambda x, y: F.size(F.array_intersect(x, y))
-    fits = (common("a.cw", "b.cw") < 0.5 * F.greatest(F.size("a.cw"), F.lit(1))) & (common("a.cw", "b.ew") >= 2)
-    met = a.join(b, (F.col("a.page") == F.col("b.page")) & (F.col("a.doc_id") < F.col("b.doc_id"))).where(fits if more is None else fits & more)
-    return met.groupBy(F.col("a.doc_id").alias("claim_id")).agg(F.min("b.doc_id").alias("evidence_id")).withColumn("label", F.lit("NOT ENOUGH INFO"))
+def dates_sql(column: str) -> str:
+    return f"list_distinct(regexp_extract_all(lower({column}), '{DATE}'))"
 
 
-@query(f"WITH {CLAIMS_SQL} SELECT a.doc_id AS claim_id, min(b.doc_id) AS evidence_id, 'NOT ENOUGH INFO' AS label FROM claims a JOIN claims b ON a.page = b.page AND a.doc_id < b.doc_id WHERE {MATCH_SQL} GROUP BY a.doc_id")
-def hard_negatives_selfjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return first_matches(claims(spark, sf_dir).drop("text"))
+DATED_SQL = f"{MATCH_SQL} AND len({dates_sql('a.claim')}) > 0 AND len({dates_sql('b.evidence')}) > 0 AND NOT list_has_any({dates_sql('a.claim')}, {dates_sql('b.evidence')})"
 
 
-@query(rf"""WITH {CLAIMS_SQL}, dated AS (SELECT *, list_distinct(regexp_extract_all(text, '\d{{3}}')) AS y FROM claims)
-SELECT a.doc_id AS claim_id, min(b.doc_id) AS evidence_id, 'NOT ENOUGH INFO' AS label FROM dated a JOIN dated b ON a.page = b.page AND a.doc_id < b.doc_id
-WHERE {MATCH_SQL} AND len(a.y) > 0 AND len(b.y) > 0 AND NOT list_has_any(a.y, b.y) GROUP BY a.doc_id""")
+@query(f"WITH {claims_sql(CLAIM_TAIL, EVIDENCE_TAIL)}, {FIRST_SQL.format(DATED_SQL)}")
 def date_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hard negatives whose texts both have numbers of three digits, but none in common (the tables' texts have hardly any years)."""
-    rows = claims(spark, sf_dir).withColumn("y", F.array_distinct(F.regexp_extract_all("text", F.lit(r"\d{3}"), F.lit(0)))).drop("text")
-    return first_matches(rows, (F.size("a.y") > 0) & (F.size("b.y") > 0) & ~F.arrays_overlap("a.y", "b.y"))
+    """Hard negatives whose claim and evidence tell dates, but none in common. The tables' texts have hardly any, so each gets some."""
+    return first_matches(claims(spark, sf_dir, CLAIM_TAIL, EVIDENCE_TAIL), dated=True)
 
 
 @query("""WITH l AS (SELECT doc_id, quality, md5(doc_id::VARCHAR || '45') AS h FROM labels),
@@ -84,8 +128,8 @@ def denial_trios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each claim denied, confirmed, and beside the denial of the claim that mirrors it in order."""
     items = table(spark, sf_dir, "benchmark")
     forward = sampling.numbered(items, "item_id").select("item_id", "text", "n")
-    total = items.count()
-    mirrored = forward.select((F.lit(total + 1) - F.col("n")).alias("n"), F.col("text").alias("other"))
+    total = F.broadcast(items.agg(F.count(F.lit(1)).alias("total")))  # one row
+    mirrored = forward.join(total).select((F.col("total") + 1 - F.col("n")).alias("n"), F.col("text").alias("other"))
     clause = lambda c: F.concat(F.lower(F.substring(c, 1, 1)), F.regexp_replace(F.substr(F.col(c), F.lit(2)), r"\.+$", ""))
     says = lambda how, c: F.concat(F.lit(how), clause(c), F.lit("."))
     trio = F.array(*(F.struct(F.lit(l).alias("label"), F.sha2(e, 256).alias("evidence")) for l, e in (("REFUTES", says(DENIES, "text")), ("SUPPORTS", says(CONFIRMS, "text")), ("NOT ENOUGH INFO", says(DENIES, "other")))))

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import quantities, text
-from tessera.operators import verdict
+from tessera.operators import scores, verdict
 from tessera.plans.registry import query
-from tessera.shared import table
+from tessera.shared import materialize, table
 
 #: Claims that the facts are dealt to.
 CLAIM = 10
@@ -26,13 +26,13 @@ def fact_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judged pairs: each labelled document with the fact that its id falls to."""
-    n_facts = table(spark, sf_dir, "benchmark").count()
+    n_facts = table(spark, sf_dir, "benchmark").agg(F.count(F.lit(1)).alias("n_facts"))
     evidence = table(spark, sf_dir, "documents").select("doc_id", "text", "source").join(table(spark, sf_dir, "labels"), "doc_id")
     kind = (F.regexp_extract("source", r"(\d+)$", 1).cast("int") % 10).cast("int")
     label = F.when(F.col("toxic") == 1, verdict.NEUTRAL).when(F.col("quality") == 1, verdict.SUPPORTS).otherwise(verdict.REFUTES)
-    found = evidence.select(
+    found = evidence.join(F.broadcast(n_facts)).select(  # one row
         F.col("doc_id").alias("pos"),
-        F.expr(f"(doc_id div 3) % {n_facts}").alias("fact_id"),
+        F.expr("(doc_id div 3) % n_facts").alias("fact_id"),
         label.alias("label"),
         F.array(*map(F.lit, DOMAINS))[kind].alias("domain"),
         F.array(*map(F.lit, KINDS))[kind].alias("source"),
@@ -81,7 +81,7 @@ voices AS (
   QUALIFY row_number() OVER (PARTITION BY fact_id, domain ORDER BY round(prob * weight, 9) DESC, pos) = 1)"""
 
 
-def decided_sql(source: str, keys: str, facts: str, dominance: str = "2.0", full: str = "3") -> str:
+def decided_sql(source: str, keys: str, facts: str, dominance: str = "2.0", full: str = "3", least: str = "0", conflict: str = "1.1") -> str:
     on = " AND ".join(f"f.{k} = s.{k}" for k in keys.split(", "))
     return f"""sums AS (
   SELECT {keys},
@@ -89,18 +89,20 @@ def decided_sql(source: str, keys: str, facts: str, dominance: str = "2.0", full
     round(coalesce(sum(prob * weight) FILTER (label = 'refuta'), 0), 9) AS con,
     count(*) AS voices,
     coalesce(bool_or(prior >= 2.0) FILTER (label = 'sustenta'), false) AS pro_reliable,
-    coalesce(bool_or(prior >= 2.0) FILTER (label = 'refuta'), false) AS con_reliable
+    coalesce(bool_or(prior >= 2.0) FILTER (label = 'refuta'), false) AS con_reliable,
+    coalesce(max(prob) FILTER (label = 'sustenta'), 0) AS pro_prob, coalesce(max(prob) FILTER (label = 'refuta'), 0) AS con_prob
   FROM {source} GROUP BY {keys}),
 marked AS (
   SELECT f.*, s.* EXCLUDE ({keys}), least(1.0, voices / ({full})) AS cover,
-    coalesce(pro > 0 AND con > 0 AND greatest(pro, con) < ({dominance}) * least(pro, con), false) AS tied
+    coalesce(pro > 0 AND con > 0 AND greatest(pro, con) < ({dominance}) * least(pro, con), false) AS tied,
+    (pro_reliable AND con_reliable) OR (pro_prob >= {conflict} AND con_prob >= {conflict}) AS clash
   FROM {facts} f LEFT JOIN sums s ON {on}),
 decided AS (
-  SELECT *, CASE WHEN pro IS NULL OR pro + con <= 0 THEN 'evidencia_insuficiente'
-      WHEN tied AND pro_reliable AND con_reliable THEN 'evidencia_contradictoria'
+  SELECT *, CASE WHEN pro IS NULL OR pro + con <= {least} THEN 'evidencia_insuficiente'
+      WHEN tied AND clash THEN 'evidencia_contradictoria'
       WHEN (tied AND pro_reliable) OR (NOT (tied AND con_reliable) AND pro > con) THEN 'sustentado' ELSE 'refutado' END AS verdict,
-    CASE WHEN pro IS NULL OR pro + con <= 0 THEN 0.0
-      WHEN tied AND pro_reliable AND con_reliable THEN cover
+    CASE WHEN pro IS NULL OR pro + con <= {least} THEN 0.0
+      WHEN tied AND clash THEN cover
       WHEN (tied AND pro_reliable) OR (NOT (tied AND con_reliable) AND pro > con) THEN pro / (pro + con) * cover
       ELSE con / (pro + con) * cover END AS confidence
   FROM marked)"""
@@ -169,27 +171,72 @@ def verdict_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("dominance", "full_voices", "signal", "verdict").agg(F.count(F.lit(1)).alias("n_facts"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
 
 
-@query(f"""WITH {FACT_SQL},
-per AS (SELECT claim_id, min(confidence) AS low, bool_or(verdict = 'evidencia_insuficiente') AS insufficient,
-  bool_or(verdict = 'evidencia_contradictoria') AS conflict FROM decided GROUP BY claim_id),
-votes AS (SELECT fact_id, label, count(*) AS n FROM voices GROUP BY ALL),
-split AS (SELECT fact_id, CASE WHEN sum(n) < 2 THEN 0 ELSE 1 - max(n) / sum(n) END AS d FROM votes GROUP BY fact_id),
-dis AS (SELECT claim_id, round(avg(coalesce(d, 0)), 6) AS disagreement FROM facts LEFT JOIN split USING (fact_id) GROUP BY claim_id)
-SELECT claim_id, round(low, 6) AS low, conflict, insufficient, disagreement, low < 0.6 OR conflict OR insufficient AS escalate
-FROM per JOIN dis USING (claim_id)""")
+ROLLED_SQL = """ranked AS (SELECT *, CASE verdict WHEN 'refutado' THEN 0 WHEN 'evidencia_contradictoria' THEN 1 WHEN 'evidencia_insuficiente' THEN 2 ELSE 3 END AS g FROM decided),
+least AS (SELECT {0}claim_id, min(g) AS g FROM ranked GROUP BY ALL),
+rolled AS (SELECT {0}claim_id, any_value(verdict) AS verdict, min(confidence) AS confidence FROM ranked JOIN least USING ({0}claim_id, g) GROUP BY ALL)"""
+
+
+@query(f"""WITH {FACT_SQL}, {ROLLED_SQL.format('')},
+clash AS (SELECT fact_id, coalesce(bool_or(prob >= 0.75) FILTER (label = 'sustenta'), false) AND coalesce(bool_or(prob >= 0.75) FILTER (label = 'refuta'), false) AS c FROM voices GROUP BY fact_id),
+conflicts AS (SELECT claim_id, coalesce(bool_or(c), false) AS conflict FROM facts LEFT JOIN clash USING (fact_id) GROUP BY claim_id)
+SELECT claim_id, round(confidence, 6) AS confidence, conflict, verdict = 'evidencia_insuficiente' AS insufficient, round(confidence, 6) < 0.6 OR conflict OR verdict = 'evidencia_insuficiente' AS escalate
+FROM rolled JOIN conflicts USING (claim_id)""")
 def cascade_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which claims another round of search should look at, and how far their voices disagree."""
-    found = fact_verdicts(spark, sf_dir)
-    votes = verdict.voices(verdict.weighted(pairs(spark, sf_dir))).groupBy("fact_id", "label").agg(F.count(F.lit(1)).alias("n"))
-    split = votes.groupBy("fact_id").agg(F.when(F.sum("n") < 2, 0.0).otherwise(1 - F.max("n") / F.sum("n")).alias("d"))
-    both = found.join(split, "fact_id", "left")
-    per = both.groupBy("claim_id").agg(
-        F.round(F.min("confidence"), 6).alias("low"),
-        F.bool_or(F.col("verdict") == verdict.CONFLICTING).alias("conflict"),
-        F.bool_or(F.col("verdict") == verdict.INSUFFICIENT).alias("insufficient"),
-        F.round(F.avg(F.coalesce("d", F.lit(0.0))), 6).alias("disagreement"),
-    )
-    return per.withColumn("escalate", (F.col("low") < 0.6) | F.col("conflict") | F.col("insufficient"))
+    """Which claims another round of search should look at: little confidence, strong voices on both sides of a fact, or too little evidence."""
+    spoken = materialize(verdict.voices(verdict.weighted(pairs(spark, sf_dir))), "voices")  # read for the verdicts and for the conflicts
+    facts = fact_table(spark, sf_dir).select("fact_id", "claim_id")
+    return verdict.signals(verdict.decide(facts, spoken), spoken, ["fact_id"], ["claim_id"]).withColumn("confidence", F.round("confidence", 6))
+
+
+#: Angles that a fact's evidence is dealt to.
+N_ANGLES = 3
+
+
+@query(f"""WITH {WEIGHTED_SQL}, angled AS (SELECT *, pos % {N_ANGLES} AS angle FROM weighted),
+voices AS (SELECT * FROM angled WHERE label <> 'no_concluye' AND prob >= 0.6 QUALIFY row_number() OVER (PARTITION BY fact_id, angle, domain ORDER BY round(prob * weight, 9) DESC, pos) = 1),
+{decided_sql('voices', 'fact_id, angle', '(SELECT DISTINCT fact_id, angle FROM angled)')},
+tally AS (SELECT fact_id, verdict, count(*) AS n FROM decided GROUP BY ALL)
+SELECT fact_id, CASE WHEN sum(n) < 2 THEN 0 ELSE round(1 - max(n) / sum(n), 3) END::DOUBLE AS disagreement FROM tally GROUP BY fact_id""")
+def angle_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the verdicts of a fact's angles differ, each angle judged alone: one less the share of the commonest."""
+    keys = ("fact_id", "angle")
+    own = verdict.weighted(pairs(spark, sf_dir)).withColumn("angle", F.col("pos") % N_ANGLES)
+    votes = verdict.decide(own.select(*keys).distinct(), verdict.voices(own, keys), keys)
+    return verdict.disagreement(votes, ["fact_id"])
+
+
+#: Settings that are ranked: those of the decision, and those of the two classes that are hard to tell.
+SETTINGS = [(d, s, w, 0.0, 1.1) for d in (1.5, 2.0, 2.5, 3.0) for s in (0.55, 0.60, 0.65) for w in (0.15, 0.25, 0.40)] + [(d, 0.60, 0.25, l, c) for l in (0.0, 0.6, 1.0, 1.6, 2.4) for c in (1.1, 0.97, 0.93, 0.88) for d in (1.5, 2.0)]
+CLASSES = [verdict.SUPPORTED, verdict.REFUTED, verdict.CONFLICTING, verdict.INSUFFICIENT]
+WEIGHT_SQL = f"""{PRIOR_SQL} * CASE WHEN label = 'sustenta' AND source IN ('web', 'desmentidos') AND {ECHO_SQL} THEN 0.3 ELSE 1 END::DOUBLE"""
+
+
+@query(f"""WITH {PAIRS_SQL},
+params AS (SELECT row_number() OVER () - 1 AS setting, * FROM (VALUES {', '.join(map(str, SETTINGS))}) t(dominance, signal, debunk, least, conflict)),
+plain AS (SELECT *, {PRIOR_SQL} AS prior, {WEIGHT_SQL} AS base, label = 'sustenta' AND {DEBUNK_SQL} AS is_debunk FROM pairs),
+voices AS (SELECT setting, fact_id, pos, domain, label, prob, prior, base * CASE WHEN is_debunk THEN debunk ELSE 1 END::DOUBLE AS weight FROM plain, params WHERE label <> 'no_concluye' AND prob >= signal
+  QUALIFY row_number() OVER (PARTITION BY setting, fact_id, domain ORDER BY round(prob * base * CASE WHEN is_debunk THEN debunk ELSE 1 END::DOUBLE, 9) DESC, pos) = 1),
+{decided_sql('voices', 'setting, fact_id', '(SELECT * FROM params, (SELECT fact_id, claim_id FROM facts))', 'f.dominance', least='least', conflict='conflict')},
+{ROLLED_SQL.format('setting, ')},
+told AS (SELECT setting, verdict AS pred, {sql_list(CLASSES)}[claim_id % 4 + 1] AS gold FROM rolled),
+classes AS (SELECT unnest({sql_list(CLASSES)}) AS class),
+counts AS (SELECT setting, class, count(*) FILTER (gold = class AND pred = class) AS tp, count(*) FILTER (pred = class) AS said, count(*) FILTER (gold = class) AS are FROM told, classes GROUP BY ALL),
+f AS (SELECT setting, round(avg(CASE WHEN said + are > 0 THEN 2 * tp / (said + are) ELSE 0 END), 9) AS f1 FROM counts GROUP BY setting),
+acc AS (SELECT setting, round(avg((gold = pred)::INT), 9) AS accuracy FROM told GROUP BY setting)
+SELECT setting, round(accuracy, 6) AS accuracy, round(f1, 6) AS macro_f1, row_number() OVER (ORDER BY accuracy DESC, f1 DESC, setting) AS rank FROM acc JOIN f USING (setting)""")
+def sweep_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every setting scored against gold verdicts and ranked by accuracy, then macro F1, in one job over the pairs."""
+    rows = [(n, *s) for n, s in enumerate(SETTINGS)]
+    params = F.broadcast(spark.createDataFrame(rows, "setting long, dominance double, signal double, debunk double, least double, conflict double"))  # one row a setting
+    slim = verdict.weighted(pairs(spark, sf_dir), debunk_factor=F.lit(1.0)).withColumn("debunked", (F.col("label") == verdict.SUPPORTS) & F.col("ev_text").rlike(f"(?i){verdict.DEBUNKED}"))
+    slim = materialize(slim.select("fact_id", "pos", "label", "prob", "domain", "prior", "weight", "debunked"), "weighted")
+    own = slim.join(params, F.col("prob") >= F.col("signal")).withColumn("weight", F.col("weight") * F.when(F.col("debunked"), F.col("debunk")).otherwise(1.0))
+    keys = ("setting", "fact_id")
+    spoken = verdict.voices(own, keys, F.col("signal"))
+    facts = fact_table(spark, sf_dir).select("fact_id", "claim_id").join(params)
+    found = verdict.decide(facts, spoken, keys, F.col("dominance"), least=F.col("least"), conflict=F.col("conflict"))
+    told = verdict.roll_up(found, ("setting", "claim_id")).select("setting", F.col("verdict").alias("pred"), F.array(*map(F.lit, CLASSES))[(F.col("claim_id") % 4).cast("int")].alias("gold"))
+    return scores.ranked(told, "setting", CLASSES).select("setting", F.round("accuracy", 6).alias("accuracy"), F.round("macro_f1", 6).alias("macro_f1"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""WITH {PAIRS_SQL}

@@ -19,8 +19,8 @@ from tessera.shared import materialize
 #: Takes rows claim_id, n, angle, query; gives claim_id, n, angle, pos, text, domain, source for them.
 Retriever = Callable[[DataFrame], DataFrame]
 FACT = ["claim_id", "n"]
-#: Least confidence and the probability on both sides that make a conflict; how many angles a level takes.
-CONFIDENT, CONFLICT, ANGLES = 0.6, 0.75, {1: 3, 2: 6}
+#: Least confidence of a fact that is left alone; how many angles a level takes.
+CONFIDENT, ANGLES = verdict.CONFIDENT, {1: 3, 2: 6}
 
 
 @dataclass(frozen=True)
@@ -92,9 +92,7 @@ def verify(claims: DataFrame, retrieve: Retriever, judge: judges.Judge = judges.
 def weak(report: Report) -> DataFrame:
     """Keys of the facts that a further level looks at: of claims to escalate, those that are not confidently supported."""
     spoken = verdict.voices(verdict.weighted(report.pairs), tuple(FACT))
-    strong = lambda label: F.max((F.col("label") == label) & (F.col("prob") >= CONFLICT))
-    clash = spoken.groupBy(*FACT).agg((strong(verdict.SUPPORTS) & strong(verdict.REFUTES)).alias("c")).groupBy("claim_id").agg(F.max("c").alias("conflict"))
-    escalated = report.claim_verdicts.join(clash, "claim_id", "left").where((F.col("confidence") < CONFIDENT) | F.coalesce("conflict", F.lit(False)) | (F.col("verdict") == verdict.INSUFFICIENT)).select("claim_id")
+    escalated = verdict.signals(report.fact_verdicts, spoken, FACT, ["claim_id"]).where("escalate").select("claim_id")
     return report.fact_verdicts.where((F.col("verdict") != verdict.SUPPORTED) | (F.col("confidence") < CONFIDENT)).join(escalated, "claim_id", "left_semi").select(*FACT)
 
 
@@ -128,5 +126,4 @@ def disagreement(report: Report) -> DataFrame:
     own = report.pairs.where(F.col("pos.level") > 0).withColumn("level", F.col("pos.level"))
     keys = (*FACT, "level", "vote")
     votes = verdict.decide(own.select(*keys).distinct(), verdict.voices(verdict.weighted(own), keys), keys)
-    counted = votes.groupBy(*FACT, "verdict").count().groupBy(*FACT).agg(F.max("count").alias("top"), F.sum("count").alias("all"))
-    return counted.select(*FACT, F.when(F.col("all") < 2, 0.0).otherwise(F.round(1 - F.col("top") / F.col("all"), 3)).alias("disagreement"))
+    return verdict.disagreement(votes, FACT)
