@@ -91,10 +91,13 @@ def pack(text: Column, most: int = 600) -> Column:
     return F.aggregate(sentences(text, ".!?"), empty, step, lambda acc: F.when(acc["now"] == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["now"]))))
 
 
+# What a line of code looks like.
+CODE_LINE = r"^\s{4,}\S|^\s*(for|while|def|class|import|from|if|print|return|let|const|var)\b|=\s*\[|\.append\(|=>|;\s*$"
+
+
 def answering(text: Column) -> Column:
-    """Sentences of 25 to 300 characters that ask nothing; the first 220 characters if there is none."""
-    found = F.filter(sentences(text, ".!?»"), lambda s: F.length(s).between(25, 300) & ~s.endswith("?"))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(strip(F.substring(text, 1, 220))))
+    """Sentences of 25 to 300 characters that ask nothing and are no code."""
+    return F.filter(sentences(text, ".!?»"), lambda s: F.length(s).between(25, 300) & ~s.endswith("?") & ~s.rlike(CODE_LINE))
 
 
 def chunks(text: Column, most: int = 1500, tail: int = 400) -> Column:
@@ -138,10 +141,11 @@ def relevance(words: Column, passage: Column) -> Column:
     return F.size(F.filter(words, lambda w: F.contains(low, w)))
 
 
-def probative(fact: Column, passage: Column) -> Column:
-    """A passage says something of a fact if it has two of its content words; short facts ask for none."""
+def probative(fact: Column, passage: Column, foreign: Column | None = None) -> Column:
+    """A passage says something of a fact if it has two of its content words; short facts and passages in another language need none."""
     words = content_words(fact)
-    return (F.size(words) < 3) | (relevance(words, passage) >= 2)
+    found = (F.size(words) < 3) | (relevance(words, passage) >= 2)
+    return found if foreign is None else foreign | found
 
 
 def domain(url: Column, default: str = "") -> Column:

@@ -34,6 +34,14 @@ def corroborating(rows: DataFrame, by: str, order: list[Column], supports: Colum
     return top_each(held.withColumnRenamed("rank", "_rank"), [by], [F.col("_rank")], most).select(by, "domain", "rank")
 
 
+def answer_sentences(rows: DataFrame, key: str, order: str, heads: int = 3, size: int = 220) -> DataFrame:
+    """key, order, s of texts (key, order, text): sentences that can answer; where a key has none, the heads of its first texts."""
+    said = rows.select(key, order, F.explode(text.answering(F.col("text"))).alias("s"))
+    rest = rows.where("trim(text) <> ''").join(said.select(key).distinct(), key, "left_anti")
+    first = top_each(rest, [key], [F.col(order)], heads).select(key, order, text.strip(F.substring("text", 1, size)).alias("s"))
+    return said.unionByName(first)
+
+
 def overlap(sentence: Column, passage: Column) -> Column:
     """A stand-in for a model's entailment: the share of a sentence's words that the passage has."""
     words = text.content_words(sentence)

@@ -38,3 +38,11 @@ def numbered(rows: DataFrame, key: str) -> DataFrame:
     first = counts.select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_first"))
     within = Window.partitionBy("_p").orderBy(key)
     return spread.withColumn("_r", F.row_number().over(within)).join(F.broadcast(first), "_p").withColumn("n", F.col("_first") + F.col("_r")).drop("_p", "_first", "_r")
+
+
+def beside(rows: DataFrame, dump: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """rows with `name`: the value of the dump's row at the same place in the order of key; null everywhere if the dump has another length."""
+    sizes = rows.agg(F.count(F.lit(1)).alias("_a")).join(dump.agg(F.count(F.lit(1)).alias("_b"))).select((F.col("_a") == F.col("_b")).alias("_same"))  # one row each
+    there = numbered(dump.select(key, value), key).select("n", F.col(value).alias(name))
+    met = numbered(rows, key).join(there, "n", "left").join(F.broadcast(sizes))
+    return met.withColumn(name, F.when(F.col("_same"), F.col(name))).drop("n", "_same")

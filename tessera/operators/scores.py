@@ -63,3 +63,15 @@ def ranked(rows: DataFrame, key: str, classes: list[str]) -> DataFrame:
     f1 = sum((F.when(F.col(f"_all{n}") > 0, 2 * F.col(f"_tp{n}") / F.col(f"_all{n}")).otherwise(0.0) for n in range(len(classes))), F.lit(0.0)) / len(classes)
     told = counted.select(key, F.round("_acc", 9).alias("accuracy"), F.round(f1, 9).alias("macro_f1"))
     return told.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("accuracy"), F.desc("macro_f1"), key)))  # one row a setting
+
+
+def judges(rows: DataFrame, judge: str, gold: str, said: str) -> DataFrame:
+    """judge, n, tpr, tnr and bacc of rows whose gold and said are 0 or 1."""
+    rate = lambda value, right: F.coalesce(F.avg(F.when(F.col(gold) == value, right)), F.lit(0.0))
+    tpr, tnr = rate(1, F.col(said)), rate(0, 1 - F.col(said))
+    return rows.groupBy(judge).agg(F.count(F.lit(1)).alias("n"), F.round(tpr, 6).alias("tpr"), F.round(tnr, 6).alias("tnr"), F.round((tpr + tnr) / 2, 6).alias("bacc"))
+
+
+def speed(rows: DataFrame, model: str, hit: str, seconds: str) -> DataFrame:
+    """model, accuracy, ms_per_pair and n."""
+    return rows.groupBy(model).agg(F.round(F.avg(F.col(hit).cast("int")), 6).alias("accuracy"), F.round(F.sum(seconds) / F.count(F.lit(1)) * 1000, 6).alias("ms_per_pair"), F.count(F.lit(1)).alias("n"))

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import answers, verdict
-from tessera.plans.payloads import ITEMS
+from tessera.operators import answers, sampling, verdict
 from tessera.plans.registry import query
 from tessera.plans.retrieval import split_sql
 from tessera.plans.verdicts import DOMAINS, PAIRS_SQL, VOICES_SQL, WORDS_SQL, pairs, sql_list
@@ -44,12 +43,15 @@ def corroborating_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 
+#: Observations of an answer.
+OBSERVED = 30
 PLAIN_SQL = r"regexp_replace(trim(strip_accents(replace(lower({}), 'ß', 'ss'))), '\s+', ' ', 'g')"
 
 
-@query(rf"""WITH said AS (SELECT item_id, unnest(range(0, len(x))) AS n, unnest(x) AS s FROM (SELECT item_id, {split_sql('text', '.!?»')} AS x FROM benchmark)),
+@query(rf"""WITH given AS (SELECT asked AS item_id, text FROM (SELECT DISTINCT doc_id // {OBSERVED} AS asked FROM documents) JOIN (SELECT row_number() OVER (ORDER BY item_id) - 1 AS n, text, count(*) OVER () AS all_ FROM benchmark) ON n = asked % all_),
+said AS (SELECT item_id, unnest(range(0, len(x))) AS n, unnest(x) AS s FROM (SELECT item_id, {split_sql('text', '.!?»')} AS x FROM given)),
 parts AS (SELECT *, length(s) BETWEEN 25 AND 300 AS sized, length(s) BETWEEN 25 AND 300 AND NOT ends_with(s, '?') AND NOT starts_with(s, '```') AS factual FROM said),
-obs AS (SELECT doc_id % {ITEMS} AS item_id, doc_id, text FROM documents),
+obs AS (SELECT doc_id // {OBSERVED} AS item_id, doc_id, text FROM documents),
 verbatim AS (SELECT DISTINCT item_id, n FROM parts JOIN obs USING (item_id) WHERE factual AND contains({PLAIN_SQL.format('text')}, {PLAIN_SQL.format('s')})),
 pieces AS (SELECT item_id, piece FROM (SELECT item_id, doc_id, k, substr(text, k * 400 + 1, 400) AS piece, row_number() OVER (PARTITION BY item_id ORDER BY doc_id, k) AS place FROM (SELECT *, unnest(range(0, ceil(length(text) / 400)::BIGINT)) AS k FROM obs)) WHERE place <= 40),
 entailed AS (SELECT item_id, n FROM parts JOIN pieces USING (item_id) WHERE factual GROUP BY ALL HAVING max(len(list_filter({WORDS_SQL.format('s')}, lambda w: contains(lower(piece), w))) / greatest(len({WORDS_SQL.format('s')}), 1)) >= 0.6),
@@ -58,9 +60,12 @@ joined AS (SELECT item_id, string_agg(s || CASE WHEN m THEN ' {answers.UNVERIFIE
 SELECT item_id, n_marked, sha256(CASE WHEN item_id NOT IN (SELECT item_id FROM obs) THEN CASE WHEN n_marked > 0 THEN '{answers.UNSOURCED}' || chr(10) ELSE '' END
   WHEN n_marked > n_sized / 2 THEN '{answers.UNSUPPORTED}' || chr(10) ELSE '' END || t) AS digest FROM joined""")
 def grounding_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items as answers, documents as what was observed: sentences that nothing carries are marked."""
-    seen = table(spark, sf_dir, "documents").select((F.col("doc_id") % ITEMS).alias("item_id"), F.col("doc_id").alias("pos"), "text")
-    found = answers.review(table(spark, sf_dir, "benchmark").select("item_id", "text"), seen, "item_id")
+    """Items as answers, in turn, to questions of which each saw some documents: sentences that nothing carries are marked."""
+    seen = table(spark, sf_dir, "documents").select(F.expr(f"doc_id div {OBSERVED}").alias("item_id"), F.col("doc_id").alias("pos"), "text")
+    items = sampling.numbered(table(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id").select((F.col("n") - 1).alias("turn"), "text")
+    total = F.broadcast(table(spark, sf_dir, "benchmark").agg(F.count(F.lit(1)).alias("total")))  # one row
+    asked = seen.select("item_id").distinct().join(total).withColumn("turn", F.col("item_id") % F.col("total"))
+    found = answers.review(asked.join(items, "turn").select("item_id", "text"), seen, "item_id")
     return found.select("item_id", "n_marked", F.sha2("text", 256).alias("digest"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import arithmetic, text
 from tessera.operators import grouping
+from tessera.plans.agents import terms_sql
 from tessera.plans.registry import query
 from tessera.plans.verdicts import q, sql_list
 from tessera.shared import table
@@ -32,10 +33,28 @@ def question_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.is_question(F.col("text")).alias("is_question"))
 
 
-@query()
+#: Beginnings that turns get, in turn.
+LEADS = ["", "Y ", "¿Qué ", "gracias", "dame otra", "¿tienes ejemplos?", "eso ", "NASA says ", "how "]
+TURNS_SQL = f"SELECT conv_id, turn, {sql_list(LEADS)}[(conv_id * 3 + turn) % {len(LEADS)} + 1] || CASE WHEN (conv_id + turn) % 2 = 0 THEN text ELSE left(text, 20) END AS text FROM conversations"
+BARE_TERM = "translate(lower(w), 'áéíóúüñ', 'aeiouun')"
+
+
+def edges(pattern: str) -> str:
+    """Like edge(), for patterns that begin with an edge too."""
+    return edge(pattern.replace(r"\b(", r"(?:^|[^\pL\pN_])(", 1) if pattern.startswith(r"\b") else pattern)
+
+
+ELLIPTIC_SQL = f"(length(t) < 60 AND regexp_matches(t, {q(edge(text.REQUEST))}) AND len(list_filter({terms_sql('t')}, lambda w: NOT list_contains({sql_list(text.GENERIC)}, {BARE_TERM}))) = 0)"
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN length(t) <= 40 AND regexp_matches(t, {q(edge(text.SOCIAL))}) THEN 'social' WHEN length(t) < 40 AND regexp_matches(t, {q(edge(text.REJECTION))}) THEN 'rejection'
+  WHEN regexp_matches(t, {q(edge(text.CONNECTOR))}) OR (length(t) < 60 AND regexp_matches(t, {q(edges(text.DEICTIC))})) OR {ELLIPTIC_SQL} THEN 'follow_up' WHEN {QUESTION_SQL} THEN 'question' ELSE 'claim' END AS act
+FROM (SELECT conv_id, turn, {TRIM} AS t FROM ({TURNS_SQL}))""")
 def dialogue_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each turn is: social, rejection, follow-up, question or claim."""
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.dialogue_act(F.col("text")).alias("act"))
+    """What each turn is: social, rejection, follow-up, question or claim. Some turns get a beginning that tells."""
+    lead = F.array(*map(F.lit, LEADS))[F.expr(f"(conv_id * 3 + turn) % {len(LEADS)}").cast("int")]
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(lead, F.when(F.expr("(conv_id + turn) % 2 = 0"), F.col("text")).otherwise(F.substring("text", 1, 20))).alias("text"))
+    return rows.select("conv_id", "turn", text.dialogue_act(F.col("text")).alias("act"))
 
 
 PROFILE_SQL = "(VALUES " + ", ".join(f"({q(lang)}, {sql_list(words.split())})" for lang, words in text.FUNCTION_WORDS.items()) + ") p(l, ws)"
@@ -54,12 +73,6 @@ def lang_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.languages(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
-@query()
-def key_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first four words that name a turn's topic."""
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(grouping.key_terms(F.col("text")), " ").alias("terms"))
-
-
 ANTECEDENT_SQL = r"list_distinct(regexp_extract_all(lower(text), '[\pL\pN_]{4,}'))"
 
 
@@ -96,6 +109,13 @@ def safe_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def clarification_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each conversation the groups of turns that share distinctive terms, joined greedily in order."""
-    turns = table(spark, sf_dir, "conversations").where("turn < 8").select("conv_id", "turn", grouping.key_terms(F.col("text"), 10).alias("terms"))
-    return grouping.greedy_groups(turns, "conv_id", "turn", "terms")
+    """For each conversation the groups that its eight turns after the first form by distinctive terms, joined greedily in order.
+
+    The first turn stands for the question: terms that hold one of its own, or stand in one, tell nothing.
+    """
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", grouping.key_terms(F.col("text"), 10).alias("terms"))
+    best = rows.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).where("n <= 9")
+    first = best.where("n = 1").select("conv_id", F.col("terms").alias("asked"))
+    related = lambda t: F.exists("asked", lambda a: F.contains(F.lower(t), F.lower(a)) | F.contains(F.lower(a), F.lower(t)))
+    own = best.where("n > 1").join(first, "conv_id").select("conv_id", "turn", F.filter("terms", lambda t: ~related(t)).alias("terms"))
+    return grouping.greedy_groups(own, "conv_id", "turn", "terms")

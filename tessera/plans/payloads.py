@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
+from tessera.operators import answers
 from tessera.plans.registry import query
 from tessera.plans.retrieval import split_sql
 from tessera.plans.verdicts import WORDS_SQL, q
@@ -105,10 +106,16 @@ def aimed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", payloads.fact_check_query(head, F.lit("en")).alias("checked"), payloads.documentation_query(head, F.lit("matematicas")).alias("documented"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, text, {split_sql('text', '.!?»')} AS s FROM documents), kept AS (SELECT doc_id, unnest(list_filter(s, lambda x: length(x) BETWEEN 25 AND 300 AND NOT ends_with(x, '?'))) AS sentence FROM t)
-SELECT doc_id, length(sentence) AS size, sha256(sentence) AS digest FROM kept
-UNION ALL SELECT doc_id, length({r"regexp_replace(left(text, 220), '^\s+|\s+$', '', 'g')"}), sha256({r"regexp_replace(left(text, 220), '^\s+|\s+$', '', 'g')"}) FROM t WHERE doc_id NOT IN (SELECT doc_id FROM kept)""")
+CODE_SQL = q(text.CODE_LINE)
+
+
+@query(f"""WITH t AS (SELECT doc_id // 4 AS asked, doc_id, CASE WHEN doc_id // 4 % 3 = 0 THEN left(text, 24) WHEN doc_id // 4 % 3 = 1 THEN 'return ' || text ELSE text END AS text FROM documents),
+said AS (SELECT asked, doc_id, unnest(list_filter({split_sql('text', '.!?»')}, lambda x: length(x) BETWEEN 25 AND 300 AND NOT ends_with(x, '?') AND NOT regexp_matches(x, {CODE_SQL}))) AS s FROM t),
+heads AS (SELECT asked, doc_id, {r"regexp_replace(left(text, 220), '^\s+|\s+$', '', 'g')"} AS s FROM t WHERE asked NOT IN (SELECT asked FROM said) AND trim(text) <> '' QUALIFY row_number() OVER (PARTITION BY asked ORDER BY doc_id) <= 3)
+SELECT asked, doc_id, length(s) AS size, sha256(s) AS digest FROM (SELECT * FROM said UNION ALL SELECT * FROM heads)""")
 def answer_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences that can answer a question; the head of a text that has none."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.answering(F.col("text"))).alias("s"))
-    return rows.select("doc_id", F.length("s").cast("long").alias("size"), F.sha2("s", 256).alias("digest"))
+    """Sentences that can answer a question, of four passages each; the heads of three where no passage has one. Some passages are short, some begin with code."""
+    turn = F.expr("doc_id div 4 % 3")
+    shaped = F.when(turn == 0, F.substring("text", 1, 24)).when(turn == 1, F.concat(F.lit("return "), "text")).otherwise(F.col("text"))
+    rows = table(spark, sf_dir, "documents").select(F.expr("doc_id div 4").alias("asked"), "doc_id", shaped.alias("text"))
+    return answers.answer_sentences(rows, "asked", "doc_id").select("asked", "doc_id", F.length("s").cast("long").alias("size"), F.sha2("s", 256).alias("digest"))
