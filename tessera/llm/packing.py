@@ -38,7 +38,7 @@ LENGTH, END, UNIT = 4096, 2, 16
 #: Rows that one task ranks, about.
 RANKED = 8192
 #: Words that a worker remembers of each generation, and the longest that it does.
-REMEMBERED, LONGEST = 600_000, 48
+REMEMBERED, LONGEST = 200_000, 48
 # The vocabulary's pre-tokenizer, for lower-case texts of code points below LATIN.
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\t-\r \x85\xa0]|_)+")
 #: Below this code point texts are their own normal form.
