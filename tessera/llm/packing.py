@@ -36,7 +36,7 @@ from tessera.shared import materialize
 #: Tokens of a sequence, the token that ends a document, tokens of a histogram unit.
 LENGTH, END, UNIT = 4096, 2, 16
 #: Rows that one task ranks, about.
-RANKED = 8192
+RANKED = 1024
 #: Words that a worker remembers of each generation, and the longest that it does.
 REMEMBERED, LONGEST = 200_000, 48
 # The vocabulary's pre-tokenizer, for lower-case texts of code points below LATIN.
