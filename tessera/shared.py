@@ -78,9 +78,9 @@ def scratch() -> Iterator[None]:
             discard(path)
 
 
-def materialize(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, fixes generated row ids."""
+def materialize(df: DataFrame, label: str, path: str | None = None, codec: str = "snappy") -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage, fixes generated row ids. codec: zstd for tables of texts."""
     spark = df.sparkSession
     path = path or shared_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
