@@ -86,6 +86,27 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _op5_sql() -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    size = decontaminate.WINDOW
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, {words} AS w FROM benchmark),
+windows AS (SELECT item, w, least({size}, len(w)) AS n, unnest(range(1, greatest(len(w) - {size} + 1, 1) + 1)) AS i FROM b WHERE len(w) > 0),
+keys AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM windows),
+seen AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM keys) WHERE len(w) >= n)),
+met AS (SELECT r, i, n, item FROM seen JOIN keys USING (k, n)),
+hits AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS j FROM met) GROUP BY r),
+items AS (SELECT r, list_sort(list(DISTINCT item)) AS items FROM met WHERE item IS NOT NULL GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items, sha256(array_to_string(coalesce(items, []), ',')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)"""
+
+
+SQL["op5_decontamination"] = _op5_sql()
+
+
 @query
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.deduplicate(exact_dedup.digests(table(spark, sf_dir, "documents")))
