@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import text
+from tessera.functions import replies, text
 from tessera.operators import sampling, scores
 from tessera.plans.evaluation import CLASSES, PRF_SQL, predictions
 from tessera.plans.registry import query
@@ -152,22 +152,21 @@ ORDERS = [
     ("listar", r"^\s*(?:lista|listar|list|muestra|qu[eé] hay en)\s+(?:la carpeta |el contenido de )?" + TARGET + END),
     ("papelera", r"^\s*(?:borra|borrar|elimina|eliminar|delete)\s+(?:la carpeta |el archivo )?" + TARGET + END),
 ]
-SAID = [
-    ("mueve el archivo 'a.txt' a docs", "mover", "a.txt", "docs"), ("copy x to y!", "copiar", "x", "y"), ("renombra notas como ideas", "renombrar", "notas", "ideas"),
-    ("crea una carpeta llamada fotos", "crear_carpeta", "fotos", None), ("qué hay en docs?", "listar", "docs", None), ("borra la carpeta tmp", "papelera", "tmp", None),
-    ("el agua hierve", None, None, None), ("borra " + "x" * 160, None, None, None),
+#: Orders with places for a name and a target, what they ask for, and whether they name a target.
+TOLD = [
+    ("mueve el archivo '{n}' a {t}", "mover", True), ("copy {n} to {t}!", "copiar", True), ("renombra {n} como {t}", "renombrar", True), ("crea una carpeta llamada {n}", "crear_carpeta", False),
+    ("qué hay en {n}?", "listar", False), ("borra la carpeta {n}", "papelera", False), ("el {n} hierve en {t}", None, False), ("borra {n} " + "x" * 160, None, False),
 ]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join([str(n), *("NULL" if x is None else q(x) for x in row[1:])]) + ")" for n, row in enumerate(SAID)) + ") t(id, action, origin, target)")
+@query(f"""SELECT doc_id, CASE doc_id % {len(TOLD)} {' '.join(f"WHEN {n} THEN {q(a)}" for n, (_, a, _) in enumerate(TOLD) if a)} END AS action,
+  CASE WHEN doc_id % {len(TOLD)} < 6 THEN source || doc_id || '.txt' END AS origin, CASE WHEN doc_id % {len(TOLD)} < 3 THEN lang || '-' || source END AS target FROM documents""")
 def file_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders for files: the first pattern that fits a text of 160 characters or fewer."""
-    said, out = F.col("said"), F.lit(None).cast("struct<action:string,origin:string,target:string>")
-    for action, pattern in reversed(ORDERS):
-        target = F.regexp_extract(said, f"(?i){pattern}", 2) if pattern.count("[^«") == 2 else F.lit(None).cast("string")
-        found = F.struct(F.lit(action).alias("action"), F.regexp_extract(said, f"(?i){pattern}", 1).alias("origin"), target.alias("target"))
-        out = F.when((F.length(said) <= 160) & said.rlike(f"(?i){pattern}"), found).otherwise(out)
-    return spark.createDataFrame([(n, row[0]) for n, row in enumerate(SAID)], "id int, said string").select("id", out.alias("o")).select("id", "o.action", "o.origin", "o.target")
+    forms = F.array(*(F.lit(t) for t, _, _ in TOLD))[(F.col("doc_id") % len(TOLD)).cast("int")]
+    name, target = F.concat("source", F.col("doc_id").cast("string"), F.lit(".txt")), F.concat("lang", F.lit("-"), "source")
+    said = F.replace(F.replace(forms, F.lit("{n}"), name), F.lit("{t}"), target)
+    return table(spark, sf_dir, "documents").select("doc_id", replies.file_order(said, ORDERS).alias("o")).select("doc_id", "o.action", "o.origin", "o.target")
 
 
 #: Scores of neighbours that are near but not the same: the tables' vectors are further apart than those of texts (0.78 to 0.90).

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,39 +13,42 @@ from tessera.plans.verdicts import WORDS_SQL, q
 from tessera.shared import table
 from tessera.sources import payloads
 
-LONG = "A passage that is long enough to count as evidence of something."
-#: source, query, record, and (text, url, domain) of what it gives.
-CASES: list[tuple[str, str, object, list[tuple[str, str, str]]]] = [
-    ("web", "", {"href": "https://www.site.org/a", "body": LONG}, [(LONG, "https://www.site.org/a", "site.org")]),
-    ("web", "", {"href": "https://site.org/b", "body": "short"}, []),
-    ("stackexchange", "", {"question_id": 7, "title": "t", "excerpt": f"<b>{LONG}</b>"}, [(LONG, "https://stackoverflow.com/q/7", "stackoverflow.com")]),
-    ("stackexchange-matematicas", "", {"title": "t", "excerpt": LONG}, []),
-    ("semantic-scholar", "", {"title": "t", "abstract": " ".join([LONG] * 30)}, [(" ".join([LONG] * 9), "https://www.semanticscholar.org", "semanticscholar.org")] * 2),
-    ("openalex", "", {"title": "t", "doi": "https://doi.org/1", "abstract_inverted_index": {w: [k] for k, w in enumerate("these words stand in an inverted index of positions".split())}}, [("these words stand in an inverted index of positions", "https://doi.org/1", "openalex.org")]),
-    ("arxiv", "", f"<entry><id> http://arxiv.org/abs/1 </id><title>t</title><summary>{LONG.replace(' ', chr(10))}</summary></entry>", [(LONG, "http://arxiv.org/abs/1", "arxiv.org")]),
-    ("crossref", "", {"title": ["t"], "abstract": f"<jats:p>{LONG}</jats:p>", "DOI": "10.1/x"}, [(LONG, "https://doi.org/10.1/x", "crossref.org")]),
-    ("europepmc", "", {"id": "9", "title": "t", "abstractText": LONG}, [(LONG, "https://europepmc.org/article/MED/9", "europepmc.org")]),
-    ("nvd", "", {"cve": {"id": "CVE-1", "descriptions": [{"lang": "es", "value": "no"}, {"lang": "en", "value": LONG}]}}, [(f"CVE-1: {LONG}", "https://nvd.nist.gov/vuln/detail/CVE-1", "nvd.nist.gov")]),
-    ("tribunales", "", {"caseName": "A v. B", "court": "Court", "dateFiled": "2001-02-03", "absolute_url": "/o/1", "opinions": [{"snippet": ""}, {"snippet": "found  for the plaintiff"}]}, [("A v. B. Court, 2001-02-03. found for the plaintiff", "https://www.courtlistener.com/o/1", "courtlistener.com")]),
-    ("tribunales", "", {"caseName": "", "court": LONG}, []),
-    ("openfda", "", {"openfda": {"brand_name": ["X"]}, "warnings": [LONG, "second"], "indications_and_usage": ["short"]}, [(LONG, "https://open.fda.gov", "fda.gov")]),
-    ("clinicaltrials", "", {"protocolSection": {"identificationModule": {"nctId": "N1", "briefTitle": "t"}, "descriptionModule": {"briefSummary": LONG}}}, [(f"{LONG} Status: unknown.", "https://clinicaltrials.gov/study/N1", "clinicaltrials.gov")]),
-    ("hackernews", "", {"objectID": "5", "title": "A title of thirty characters or more"}, [("A title of thirty characters or more", "https://news.ycombinator.com/item?id=5", "news.ycombinator.com")]),
-    ("reddit", "", {"data": {"title": "Title", "selftext": LONG, "permalink": "/r/x"}}, [(f"Title. {LONG.rstrip('.')}", "https://www.reddit.com/r/x", "reddit.com")]),
-    ("openlibrary", "", {"title": "T", "author_name": ["A", "B"], "first_publish_year": 1900, "key": "/w/1"}, [("Registro bibliográfico: «T», de A, B, publicado por primera vez en 1900.", "https://openlibrary.org/w/1", "openlibrary.org")]),
-    ("openlibrary", "", {"title": "T", "author_name": []}, []),
-    ("musicbrainz", "", {"id": "i", "title": "T", "artist-credit": [{"name": "n", "artist": {"name": "A"}}]}, [("Registro musical: «T», interpretada por A.", "https://musicbrainz.org/recording/i", "musicbrainz.org")]),
-    ("letras", "letra de 'Sol' de Luna?", {"lyrics": LONG}, [(f"Letra de «Sol» (Luna): {LONG}", "https://api.lyrics.ovh/v1/Luna/Sol", "lyrics.ovh")]),
-    ("letras", "something else", {"lyrics": LONG}, []),
-]
-EXPECTED = [(n, name, pos, *row) for n, (name, _, _, rows) in enumerate(CASES) for pos, row in enumerate(rows)]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({n}, {q(s)}, {p}, {q(t)}, {q(u)}, {q(d)})" for n, s, p, t, u, d in EXPECTED) + ") t(n, source, pos, text, url, domain)")
+HEAD_SQL, BODY_SQL = r"regexp_replace(left(text, 50), '\s+', ' ', 'g')", r"regexp_replace(left(text, 900), '\s+', ' ', 'g')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, source, lang, {HEAD_SQL} AS h, {BODY_SQL} AS b FROM documents),
+e AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'web' WHEN 1 THEN 'hackernews' WHEN 2 THEN 'reddit' WHEN 3 THEN 'nvd' WHEN 4 THEN 'openlibrary' ELSE 'crossref' END AS source,
+  CASE doc_id % 6 WHEN 0 THEN b WHEN 1 THEN trim(h || '. ' || b, '. ') WHEN 2 THEN trim(h || '. ' || b, '. ') WHEN 3 THEN 'CVE-' || doc_id || ': ' || b
+    WHEN 4 THEN 'Registro bibliográfico: «' || h || '», de ' || source || ', ' || lang || CASE WHEN doc_id % 4 = 0 THEN ', publicado por primera vez en ' || (1900 + doc_id % 100) ELSE '' END || '.' ELSE trim(b) END AS text,
+  CASE doc_id % 6 WHEN 0 THEN 'https://www.' || source || '.org/' || doc_id WHEN 1 THEN 'https://news.ycombinator.com/item?id=' || doc_id WHEN 2 THEN 'https://www.reddit.com/r/' || doc_id WHEN 3 THEN 'https://nvd.nist.gov/vuln/detail/CVE-' || doc_id
+    WHEN 4 THEN 'https://openlibrary.org/w/' || doc_id ELSE 'https://doi.org/10.1/' || doc_id END AS url,
+  CASE doc_id % 6 WHEN 0 THEN source || '.org' WHEN 1 THEN 'news.ycombinator.com' WHEN 2 THEN 'reddit.com' WHEN 3 THEN 'nvd.nist.gov' WHEN 4 THEN 'openlibrary.org' ELSE 'crossref.org' END AS domain, b FROM d),
+whole AS (SELECT doc_id, source, 0 AS pos, CASE WHEN source IN ('hackernews', 'reddit', 'nvd') THEN left(text, 1000) ELSE text END AS text, url, domain FROM e WHERE source <> 'crossref' AND length(text) >= CASE source WHEN 'hackernews' THEN 30 ELSE 40 END AND (source <> 'nvd' OR length(b) >= 40)),
+parts AS (SELECT doc_id, list_reduce({split_sql('text', '.!?')}, lambda acc, x: CASE
+    WHEN length(string_split(acc, chr(2))[-1]) > 0 AND length(string_split(acc, chr(2))[-1]) + length(x) > 600 THEN acc || chr(2) || x
+    WHEN length(string_split(acc, chr(2))[-1]) = 0 THEN acc || x ELSE acc || ' ' || x END) AS p, url, domain FROM e WHERE source = 'crossref' AND length(text) >= 40),
+passages AS (SELECT doc_id, 'crossref' AS source, unnest(range(0, len(string_split(p, chr(2))))) AS pos, unnest(string_split(p, chr(2))) AS text, url, domain FROM parts)
+SELECT doc_id, source, pos, sha256(text) AS digest, url, domain FROM (SELECT * FROM whole UNION ALL SELECT * FROM passages WHERE pos < 2)""")
 def source_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of every source as evidence."""
-    rows = [(s, n, asked, "", r if isinstance(r, str) else json.dumps(r)) for n, (s, asked, r, _) in enumerate(CASES)]
-    return payloads.render(spark.createDataFrame(rows, "source string, n int, query string, lang string, payload string")).select("n", "source", "pos", "text", "url", "domain")
+    """Documents as records of six sources, in the form in which these deliver them, as evidence."""
+    c, at = F.col, F.col("doc_id").cast("string")
+    even = lambda size: F.regexp_replace(F.substring("text", 1, size), r"\s+", " ")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", even(50).alias("h"), even(900).alias("b"))
+    url = lambda head: F.concat(F.lit(head), at)
+    record = lambda **fields: F.to_json(F.struct(*(v.alias(k) for k, v in fields.items())))
+    forms = {
+        "web": record(href=F.concat(F.lit("https://www."), "source", F.lit(".org/"), at), body=c("b")),
+        "hackernews": record(objectID=at, title=c("h"), story_text=c("b")),
+        "reddit": record(data=F.struct(c("h").alias("title"), c("b").alias("selftext"), url("/r/").alias("permalink"))),
+        "nvd": record(cve=F.struct(url("CVE-").alias("id"), F.array(F.struct(F.lit("es").alias("lang"), F.lit("no").alias("value")), F.struct(F.lit("en").alias("lang"), c("b").alias("value"))).alias("descriptions"))),
+        "openlibrary": record(title=c("h"), author_name=F.array("source", "lang"), first_publish_year=F.when(F.expr("doc_id % 4 = 0"), F.expr("1900 + doc_id % 100")).otherwise(0), key=url("/w/")),
+        "crossref": record(title=F.array("h"), abstract=F.concat(F.lit("<jats:p>"), "b", F.lit("</jats:p>")), DOI=url("10.1/")),
+    }
+    names = F.array(*map(F.lit, forms))[(c("doc_id") % 6).cast("int")]
+    payload = F.array(*forms.values())[(c("doc_id") % 6).cast("int")]
+    made = rows.select(names.alias("source"), c("doc_id").alias("n"), F.lit("").alias("query"), F.lit("").alias("lang"), payload.alias("payload"))
+    found = payloads.render(made, {k: payloads.RECORDS[k] for k in forms})
+    return found.select(F.col("n").alias("doc_id"), "source", F.col("pos").cast("long").alias("pos"), F.sha2("text", 256).alias("digest"), "url", "domain")
 
 
 @query("""SELECT * FROM (VALUES ('Q1', 'Ada (mathematician). Ada date of birth: 1815-12-10. Ada position held: analyst.'), ('Q2', 'Town population: 1200.')) t(qid, text)""")

@@ -157,23 +157,20 @@ def topic_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.topic(F.col("text")).alias("topic"))
 
 
-INDEX = [(1, {"hierve": [1], "El": [0], "a": [2], "100": [3], "grados.": [4]}), (2, {"la": [0, 2], "de": [1], "casa": [3]})]
-
-
-@query("SELECT * FROM (VALUES (1, 'El hierve a 100 grados.'), (2, 'la de la casa')) t(id, text)")
+@query(r"SELECT doc_id, sha256(array_to_string(regexp_extract_all(text, '\S+'), ' ')) AS digest FROM documents WHERE regexp_matches(text, '\S')")
 def openalex_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An abstract from its inverted index."""
-    rows = spark.createDataFrame(INDEX, "id int, words map<string,array<int>>")
-    return rows.select("id", source_registry.from_inverted_index(F.col("words")).alias("text"))
-
-
-DATES = [("+1960-10-01T00:00:00Z", 11), ("+1960-10-00T00:00:00Z", 10), ("+1960-00-00T00:00:00Z", 9), ("-0044-03-15T00:00:00Z", 11), ("-0044-00-00T00:00:00Z", 9), ("", 11)]
+    """Texts from their inverted indexes: words with their positions, as a source delivers them."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("p", "w"))
+    places = words.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))  # one text's words
+    return places.select("doc_id", F.sha2(source_registry.from_inverted_index(F.col("index")), 256).alias("digest"))
 
 
-@query("SELECT * FROM (VALUES ('+1960-10-01T00:00:00Z', '1960-10-01'), ('+1960-10-00T00:00:00Z', '1960-10'), ('+1960-00-00T00:00:00Z', '1960'), ('-0044-03-15T00:00:00Z', '0044-03-15'), ('-0044-00-00T00:00:00Z', '-44'), ('', NULL)) t(time, shown)")
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN CASE WHEN event_id % 2 = 0 THEN '-' ELSE '' END || year(ts) WHEN 1 THEN strftime(ts, '%Y-%m') ELSE strftime(ts, '%Y-%m-%d') END AS shown FROM events""")
 def wikidata_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates as precisely as their source claims."""
-    return spark.createDataFrame(DATES, "time string, precision int").select("time", source_registry.wikidata_date(F.col("time"), F.col("precision")).alias("shown"))
+    """Dates as precisely as their source claims; years before our era with their sign."""
+    time = F.concat(F.when(F.expr("event_id % 2 = 0"), "-").otherwise("+"), F.date_format("ts", "yyyy-MM-dd"), F.lit("T00:00:00Z"))
+    precision = (F.lit(9) + F.col("event_id") % 3).cast("int")
+    return table(spark, sf_dir, "events").select("event_id", source_registry.wikidata_date(time, precision).alias("shown"))
 
 
 PAGES_SQL = r"regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)), '^www\.', '')"

@@ -305,13 +305,17 @@ def adjusted_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).select("pos", quantities.downgraded(c("label"), c("fact_text"), c("ev_text")).alias("label"), quantities.period(c("fact_text")).alias("claim_period"), quantities.period(c("ev_text")).alias("evidence_period"))
 
 
-@query()
+@query(f"""WITH {FACT_SQL}, {ROLLED_SQL.format('')},
+sides AS (SELECT fact_id, list(struct_pack(domain := domain, prob := prob, pos := pos) ORDER BY prob DESC, pos) FILTER (label = 'sustenta') AS f, list(struct_pack(domain := domain, prob := prob, pos := pos) ORDER BY prob DESC, pos) FILTER (label = 'refuta') AS c FROM voices GROUP BY fact_id),
+per AS (SELECT claim_id, list(struct_pack(fact_id := fact_id, verdict := verdict, confidence := round(confidence, 3), "for" := coalesce(f, []), against := coalesce(c, [])) ORDER BY fact_id) AS facts FROM decided LEFT JOIN sides USING (fact_id) GROUP BY claim_id)
+SELECT claim_id, to_json(struct_pack(verdict := verdict, confidence := round(confidence, 3), facts := facts))::VARCHAR AS report FROM rolled JOIN per USING (claim_id)""")
 def claim_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each claim's report as JSON: its verdict and, for each fact, both sides' voices by falling probability."""
     spoken = verdict.voices(verdict.weighted(pairs(spark, sf_dir)))
     entry = F.struct((-F.col("prob")).alias("order"), "pos", "domain", "prob", "label")
     sides = spoken.groupBy("fact_id").agg(F.array_sort(F.collect_list(entry)).alias("spoken"))
-    side = lambda label: F.transform(F.filter("spoken", lambda v: v["label"] == label), lambda v: F.struct(v["domain"].alias("domain"), v["prob"].alias("prob"), v["pos"].alias("pos")))
+    spoken_or_none = F.coalesce("spoken", F.array())
+    side = lambda label: F.transform(F.filter(spoken_or_none, lambda v: v["label"] == label), lambda v: F.struct(v["domain"].alias("domain"), v["prob"].alias("prob"), v["pos"].alias("pos")))
     facts = fact_verdicts(spark, sf_dir).join(sides, "fact_id", "left").withColumn("for", side(verdict.SUPPORTS)).withColumn("against", side(verdict.REFUTES))
     told = facts.groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("fact_id", "verdict", F.round("confidence", 3).alias("confidence"), "for", "against"))).alias("facts"))
     rolled = verdict.roll_up(facts)
