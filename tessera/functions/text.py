@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -59,6 +59,11 @@ VERBS_ES = "es|era|fue|son|eran|fueron|está|estaba|están|estaban|tiene|tenía|
 VERBS_EN = "is|was|are|were|has|have|had|does|do|did|can|will"
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn(value), with value computed once for a row however often fn names it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """text without white space at either end."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")
@@ -137,14 +142,12 @@ def content_words(text: Column, least: int = 4) -> Column:
 
 def relevance(words: Column, passage: Column) -> Column:
     """How many of words stand somewhere in passage, within longer words too."""
-    low = F.lower(passage)
-    return F.size(F.filter(words, lambda w: F.contains(low, w)))
+    return let(F.lower(passage), lambda low: F.size(F.filter(words, lambda w: F.contains(low, w))))
 
 
 def probative(fact: Column, passage: Column, foreign: Column | None = None) -> Column:
     """A passage says something of a fact if it has two of its content words; short facts and passages in another language need none."""
-    words = content_words(fact)
-    found = (F.size(words) < 3) | (relevance(words, passage) >= 2)
+    found = let(content_words(fact), lambda words: (F.size(words) < 3) | (relevance(words, passage) >= 2))
     return found if foreign is None else foreign | found
 
 

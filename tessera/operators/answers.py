@@ -44,8 +44,7 @@ def answer_sentences(rows: DataFrame, key: str, order: str, heads: int = 3, size
 
 def overlap(sentence: Column, passage: Column) -> Column:
     """A stand-in for a model's entailment: the share of a sentence's words that the passage has."""
-    words = text.content_words(sentence)
-    return text.relevance(words, passage) / F.greatest(F.size(words), F.lit(1))
+    return text.let(text.content_words(sentence), lambda words: text.relevance(words, passage) / F.greatest(F.size(words), F.lit(1)))
 
 
 def review(answers: DataFrame, observations: DataFrame, key: str, entailment: Callable[[Column, Column], Column] = overlap) -> DataFrame:

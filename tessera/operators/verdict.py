@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import content_words, relevance
+from tessera.functions.text import content_words, let, relevance
 
 SUPPORTS, REFUTES, NEUTRAL = "sustenta", "refuta", "no_concluye"
 SUPPORTED, REFUTED, CONFLICTING, INSUFFICIENT = "sustentado", "refutado", "evidencia_contradictoria", "evidencia_insuficiente"
@@ -46,8 +46,7 @@ def prior(domain: Column, source: Column) -> Column:
 
 def echo(fact: Column, passage: Column) -> Column:
     """The passage only repeats a long claim."""
-    words = content_words(fact)
-    return (F.size(words) >= ECHO_WORDS) & (relevance(words, passage) / F.greatest(F.size(words), F.lit(1)) >= ECHO_SHARE)
+    return let(content_words(fact), lambda words: (F.size(words) >= ECHO_WORDS) & (relevance(words, passage) / F.greatest(F.size(words), F.lit(1)) >= ECHO_SHARE))
 
 
 def weight(label: Column, domain: Column, source: Column, fact: Column, passage: Column, echo_factor: Column | None = None, debunk_factor: Column | None = None) -> Column:

@@ -140,9 +140,8 @@ def ranked_passages(query: Column, page: Column, most: int = 3, least: int = 40)
 
 
 def scored_passages(query: Column, page: Column) -> Column:
-    words = shaping.content_words(query)
-    scored = F.transform(shaping.pack(page), lambda p, i: F.struct((-shaping.relevance(words, p)).alias("worse"), i.alias("place"), p.alias("passage")))
-    return F.array_sort(scored)
+    scored = lambda words: F.transform(shaping.pack(page), lambda p, i: F.struct((-shaping.relevance(words, p)).alias("worse"), i.alias("place"), p.alias("passage")))
+    return F.array_sort(shaping.let(shaping.content_words(query), scored))
 
 
 # Properties that are told, in this order.
