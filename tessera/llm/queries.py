@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, exact_dedup, html, licenses, packing, quality, secrets, sharding, simhash, warc
-from tessera.shared import table
+from tessera.shared import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -19,6 +19,11 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """The columns that a query needs, over all cores."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 @query
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.round_trip(table(spark, sf_dir, "pages"))
@@ -48,7 +53,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(table(spark, sf_dir, "documents"))
+    found = secrets.scan(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
     count = lambda kind: F.size(F.filter("base", lambda c: c["kind"] == kind)).cast("long")
     said = lambda verdict: F.size(F.filter("all", lambda c: c["kind"] == verdict)).cast("long")
     return found.withColumn("all", secrets.all_spans()).select(
@@ -69,13 +74,13 @@ def tokenizer_path() -> str:
 
 @query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path()))
+    packed = packing.pack(packing.pieces(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path()))
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 @query
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.find(read(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id",
         F.col(decontaminate.N_WORDS).alias("n_words"),
@@ -130,20 +135,20 @@ WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id ASC NULLS LAST)
 
 @query
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.deduplicate(table(spark, sf_dir, "documents"))
+    found = simhash.deduplicate(read(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 @query
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = quality.with_scores(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    scored = quality.with_scores(spread(docs), quality.fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), F.col(quality.SCORE).alias("score"), (F.col(quality.SCORE) >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
 @query
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.scan(table(spark, sf_dir, "documents"))
+    found = licenses.scan(read(spark, sf_dir, "documents", "doc_id", "text"))
     starts = F.flatten(F.transform("places", lambda p: p["starts"]))
     base = F.transform("places", lambda p: p["label"])
     return found.select(
@@ -161,7 +166,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = html.main_text(table(spark, sf_dir, "pages"))
+    found = html.main_text(read(spark, sf_dir, "pages", "page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 

@@ -10,7 +10,7 @@ from tessera.operators import grouping
 from tessera.plans.agents import terms_sql
 from tessera.plans.registry import query
 from tessera.plans.verdicts import q, sql_list
-from tessera.shared import table
+from tessera.shared import spread, table
 
 TRIM = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
 UNICODE_EDGE = r"([^\pL\pN_]|$)"
@@ -70,7 +70,7 @@ judged AS (SELECT two.doc_id, CASE WHEN (SELECT count(*) FROM scores s WHERE s.d
 SELECT d.doc_id, coalesce(detected, 'es') AS detected FROM documents d LEFT JOIN judged USING (doc_id)""")
 def lang_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language whose function words weigh most; Spanish if two tie or too few are found."""
-    return grouping.languages(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    return grouping.languages(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 ANTECEDENT_SQL = r"list_distinct(regexp_extract_all(lower(text), '[\pL\pN_]{4,}'))"

@@ -9,7 +9,7 @@ from tessera.functions import text, vectors
 from tessera.operators import lexical
 from tessera.plans.registry import query
 from tessera.plans.verdicts import PAIRS_SQL, WORDS_SQL, pairs, q
-from tessera.shared import table
+from tessera.shared import spread, table
 from tessera.sources import registry as source_registry
 
 #: Passages that a query keeps, and the least length of one.
@@ -31,12 +31,12 @@ SELECT item_id, doc_id, score, row_number() OVER w AS rank FROM once
 WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= {TOP}""")
 def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents with most of an item's words, one of each head of 120 characters."""
-    return lexical.top_k(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), TOP, LEAST)
+    return lexical.top_k(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"), TOP, LEAST)
 
 
 @query(f"SELECT doc_id, unnest(range(0, len(s))) AS n, unnest(s) AS sentence FROM (SELECT doc_id, {split_sql('text', '.!?;')} AS s FROM documents)")
 def sentences_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("n", "sentence")).withColumn("n", F.col("n").cast("long"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("n", "sentence")).withColumn("n", F.col("n").cast("long"))
 
 
 @query(f"""
@@ -46,7 +46,7 @@ packed AS (SELECT doc_id, list_reduce(s, lambda acc, x: CASE
     WHEN length(string_split(acc, chr(2))[-1]) = 0 THEN acc || x ELSE acc || ' ' || x END) AS p FROM s)
 SELECT doc_id, unnest(range(0, len(string_split(p, chr(2))))) AS n, length(unnest(string_split(p, chr(2)))) AS size, sha256(unnest(string_split(p, chr(2)))) AS digest FROM packed WHERE p <> ''""")
 def passages_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.pack(F.col("text"))).alias("n", "passage"))
+    packed = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(text.pack(F.col("text"))).alias("n", "passage"))
     return packed.select("doc_id", F.col("n").cast("long").alias("n"), F.length("passage").cast("long").alias("size"), F.sha2("passage", 256).alias("digest"))
 
 

@@ -12,7 +12,7 @@ from tessera.operators import logs, sampling
 from tessera.plans.registry import query
 from tessera.plans.retrieval import split_sql
 from tessera.plans.verdicts import WORDS_SQL, q
-from tessera.shared import materialize, table
+from tessera.shared import materialize, spread, table
 
 #: Neighbouring documents of one source stand for a page, as the tables name none.
 PAGE = 400
@@ -24,7 +24,7 @@ DATE = r"\b(?:(?:january|february|march|april|may|june|july|august|september|oct
 
 def claims(spark: SparkSession, sf_dir: str, claim: str = "", evidence: str = "") -> DataFrame:
     """page, doc_id, claim (the first sentence) and evidence (the text), each with SQL for a tail of its own."""
-    docs = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", F.expr(f"doc_id div {PAGE}")).alias("page"), "doc_id", F.get(text.sentences(F.col("text")), F.lit(0)).alias("claim"), F.col("text").alias("evidence"))
+    docs = spread(table(spark, sf_dir, "documents").select("source", "doc_id", "text")).select(F.concat_ws("/", "source", F.expr(f"doc_id div {PAGE}")).alias("page"), "doc_id", F.get(text.sentences(F.col("text")), F.lit(0)).alias("claim"), F.col("text").alias("evidence"))
     for column, tail in (("claim", claim), ("evidence", evidence)):
         docs = docs.withColumn(column, F.concat(column, F.expr(tail))) if tail else docs
     return docs
@@ -47,7 +47,8 @@ def first_matches(rows: DataFrame, dated: bool = False) -> DataFrame:
     their page by an equal place, ever more of them, so that no page is joined with itself; a claim
     that nothing can match (fewer than two words, or no date) is left out from the start.
     """
-    dates = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(DATE), F.lit(0)))
+    none = F.lit([]).cast("array<string>")
+    dates = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(DATE), F.lit(0))) if dated else none
     # Words as 64-bit hashes: sets of numbers meet faster than sets of texts, and are less to move.
     words = lambda c: F.transform(text.content_words(c), lambda w: F.xxhash64(w))
     known = rows.select("page", "doc_id", "claim", words(F.col("claim")).alias("cw"), words(F.col("evidence")).alias("ew"), dates(F.col("claim")).alias("cd"), dates(F.col("evidence")).alias("ed"))
@@ -70,9 +71,9 @@ def first_matches(rows: DataFrame, dated: bool = False) -> DataFrame:
         start = end + 1
         if left.isEmpty():
             break
-    none = left.select("page", "claim", "claim_id", F.col("claim_id").alias("evidence_id")).where("false")
+    nothing = left.select("page", "claim", "claim_id", F.col("claim_id").alias("evidence_id")).where("false")
     first = F.min(F.struct("claim_id", "evidence_id")).alias("m")
-    return reduce(DataFrame.unionByName, parts, none).groupBy("page", "claim").agg(first).select("m.*", F.lit("NOT ENOUGH INFO").alias("label"))
+    return reduce(DataFrame.unionByName, parts, nothing).groupBy("page", "claim").agg(first).select("m.*", F.lit("NOT ENOUGH INFO").alias("label"))
 
 
 @query(f"WITH {claims_sql()}, {FIRST_SQL.format(MATCH_SQL)}")

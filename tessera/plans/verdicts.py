@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import quantities, text
 from tessera.operators import scores, verdict
 from tessera.plans.registry import query
-from tessera.shared import materialize, table
+from tessera.shared import materialize, spread, table
 
 #: Claims that the facts are dealt to.
 CLAIM = 10
@@ -27,7 +27,7 @@ def fact_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judged pairs: each labelled document with the fact that its id falls to."""
     n_facts = table(spark, sf_dir, "benchmark").agg(F.count(F.lit(1)).alias("n_facts"))
-    evidence = table(spark, sf_dir, "documents").select("doc_id", "text", "source").join(table(spark, sf_dir, "labels"), "doc_id")
+    evidence = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).join(table(spark, sf_dir, "labels"), "doc_id")
     kind = (F.regexp_extract("source", r"(\d+)$", 1).cast("int") % 10).cast("int")
     label = F.when(F.col("toxic") == 1, verdict.NEUTRAL).when(F.col("quality") == 1, verdict.SUPPORTS).otherwise(verdict.REFUTES)
     found = evidence.join(F.broadcast(n_facts)).select(  # one row
