@@ -133,11 +133,23 @@ def semantic_filter_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_meaning(shifted, "query_id").select("query_id", "id", F.round(F.col("score") - (MEANING - 0.25), 6).alias("score"))
 
 
-@query(f"""WITH {TOPK_SQL} SELECT query_id, id, score FROM ranked WHERE rank <= 20 AND score >= 0.78 AND score < 0.90
+#: Added to each dimension of the tables' vectors, which point anywhere, so that like those of texts they share a direction.
+SHARED = 0.1875
+UNIT_SQL = f"""moved AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE + {SHARED}) AS v FROM embeddings),
+normed AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM moved),
+unit AS (SELECT vec_id, list_transform(v, lambda x: x / n) AS embedding FROM normed)"""
+
+
+@query(f"""WITH {UNIT_SQL}, {TOPK_SQL.replace('FROM embeddings a, embeddings b', 'FROM unit a, unit b')}
+SELECT query_id, id, score FROM ranked WHERE rank <= 20 AND score >= 0.78 AND score < 0.90
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) = 1""")
 def cosine_band_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of twenty nearest the first that is near but not too near: material for neutral pairs."""
-    band = nearest(spark, sf_dir, 20).where((F.col("score") >= 0.78) & (F.col("score") < 0.90))
+    moved = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") + SHARED).alias("v"))
+    normed = moved.withColumn("n", F.sqrt(vectors.dot(F.col("v"), F.col("v"))))
+    unit = normed.select("vec_id", F.transform("v", lambda x: x / F.col("n")).alias("embedding"))
+    near = vectors.top_k(unit, unit.where(QUERY_VECTORS), 20).withColumn("score", F.round("score", 6))
+    band = near.where((F.col("score") >= 0.78) & (F.col("score") < 0.90))
     return band.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where("n = 1").select("query_id", "id", "score")
 
 
