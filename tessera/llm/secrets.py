@@ -37,6 +37,8 @@ EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 10
 #: A live value has so many different characters and bits of entropy a character at least.
 LIVE_CHARACTERS, LIVE_BITS = 8, 2.8
 CANDIDATE = "array<struct<start:int,rank:int,kind:string,end:int,verdict:string>>"
+
+
 def looks_random(value: Column) -> Column:
     """A digit, a letter, and different characters and entropy enough."""
     size, each = F.length(value), F.array_distinct(F.split(value, ""))
