@@ -69,7 +69,15 @@ def grounding_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("item_id", "n_marked", F.sha2("text", 256).alias("digest"))
 
 
-@query()
+FOLD = 1000
+
+
+@query(f"""WITH c AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS j FROM conversations),
+s AS (SELECT *, 24 + length(r) + length(t) AS whole, 14 + length(r) + least(length(t), 120) AS line FROM c),
+f AS (SELECT *, line < length(t) AND NOT starts_with(t, '[compactado ') AS cut, sum(whole) OVER (PARTITION BY conv_id) AS total, sum(whole) OVER (PARTITION BY conv_id ORDER BY j) AS gone, count(*) OVER (PARTITION BY conv_id) AS n FROM s),
+states AS (SELECT conv_id, 0 AS j, 0 AS step, any_value(n) AS n_turns, any_value(total) AS size FROM f GROUP BY conv_id
+  UNION ALL SELECT conv_id, j, 0, n - j + 1, total - gone + 28 + line FROM f WHERE cut UNION ALL SELECT conv_id, j, 1, n - j, total - gone FROM f)
+SELECT conv_id, arg_min(n_turns, (j, step)) AS n_turns, arg_min(size, (j, step))::BIGINT AS size FROM states WHERE size <= {FOLD} OR n_turns <= 4 GROUP BY conv_id""")
 def folded_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations cut to a budget from their oldest turns on."""
-    return answers.folded(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text", 1000)
+    return answers.folded(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text", FOLD)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import agents, answers, audits, dialogue, encyclopedia, evaluation, generators, payloads, replies, retrieval, stores, training, verdicts  # noqa: F401
+from tessera.plans import agents, answers, audits, dialogue, encyclopedia, evaluation, flows, generators, payloads, replies, retrieval, stores, training, verdicts  # noqa: F401
 from tessera.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]

@@ -91,7 +91,19 @@ def normalized_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", text.plain_key("text").alias("key"))
 
 
-@query()
+@query(f"""WITH RECURSIVE t AS (SELECT conv_id, turn, {terms_sql('text', 10)} AS terms, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations QUALIFY n <= 9),
+asked AS (SELECT conv_id, list_transform(terms, lambda a: lower(a)) AS words FROM t WHERE n = 1),
+own AS (SELECT conv_id, n - 1 AS k, list_transform(list_filter(terms, lambda x: len(list_filter(words, lambda a: contains(lower(x), a) OR contains(a, lower(x)))) = 0), lambda x: lower(x)) AS mine FROM t JOIN asked USING (conv_id) WHERE n > 1),
+step AS (SELECT conv_id, 0::BIGINT AS k, []::STRUCT(terms VARCHAR[], members BIGINT)[] AS parts FROM asked
+  UNION ALL SELECT conv_id, k, CASE WHEN place IS NULL THEN list_append(parts, struct_pack(terms := mine, members := 1::BIGINT))
+    ELSE list_transform(parts, lambda g, i: CASE WHEN i = place THEN struct_pack(terms := list_concat(g.terms, mine), members := g.members + 1) ELSE g END) END
+  FROM (SELECT own.conv_id, own.k, own.mine, step.parts, list_filter(range(1, len(step.parts) + 1), lambda i: list_has_any(step.parts[i].terms, own.mine))[1] AS place FROM step JOIN own ON own.conv_id = step.conv_id AND own.k = step.k + 1)),
+ended AS (SELECT conv_id, arg_max(parts, k) AS parts FROM step GROUP BY conv_id),
+large AS (SELECT conv_id, g, i, count(*) OVER (PARTITION BY conv_id) AS n FROM (SELECT conv_id, unnest(parts) AS g, unnest(range(len(parts))) AS i FROM ended) WHERE g.members >= 2),
+best AS (SELECT conv_id, g, row_number() OVER (PARTITION BY conv_id ORDER BY g.members DESC, i) - 1 AS part FROM large WHERE n >= 2 QUALIFY part < 3),
+counted AS (SELECT conv_id, part, w, count(*) AS c FROM (SELECT conv_id, part, unnest(g.terms) AS w FROM best) GROUP BY ALL),
+top AS (SELECT conv_id, part, string_agg(w, ',' ORDER BY c DESC, w) AS terms FROM (SELECT * FROM counted QUALIFY row_number() OVER (PARTITION BY conv_id, part ORDER BY c DESC, w) <= 3) GROUP BY ALL)
+SELECT conv_id, part, g.members AS size, coalesce(terms, '') AS terms FROM best LEFT JOIN top USING (conv_id, part)""")
 def clarification_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each conversation the groups that its eight turns after the first form by distinctive terms, joined greedily in order.
 
