@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -17,6 +18,7 @@ from tessera.shared import materialize, shared_path
 
 #: Prefix of working columns, so that columns of the input with common names do not clash.
 OWN = "__llm_"
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def append_columns(df: DataFrame, column: str, fields: list[tuple[str, T.DataType]], fn: Callable[[list], list[list]], arrow_types: list[pa.DataType]) -> DataFrame:
@@ -29,7 +31,21 @@ def append_columns(df: DataFrame, column: str, fields: list[tuple[str, T.DataTyp
             arrays = [*batch.columns, *(pa.array(v, type=t) for v, t in zip(found, arrow_types, strict=True))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, *(n for n, _ in fields)])
 
-    return small_batches(df).mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(frugal(run), schema)
+
+
+def frugal(run: Batches) -> Batches:
+    """run, after which a task's worker, which the next stage uses again, gives memory that is free back to the system."""
+
+    def then(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it
+                trim(0)
+
+    return then
 
 
 def keyed(df: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import OWN, small_batches
+from tessera.llm.common import OWN, frugal, small_batches
 from tessera.shared import materialize, shared_path
 
 #: Words of a window.
@@ -317,7 +317,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", windo
     """docs with the words, hit words, items and merged removal spans (in words, end exclusive) of each text."""
     paths = tuple(blocks(benchmark, window=window, most=block_windows))
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in FIELDS)])
-    return small_batches(docs).mapInArrow(partial(_search, paths=paths, column=text_column, shard_bytes=shard_bytes), schema)
+    return small_batches(docs).mapInArrow(frugal(partial(_search, paths=paths, column=text_column, shard_bytes=shard_bytes)), schema)
 
 
 def contaminated() -> Column:
