@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,44 +25,44 @@ def append_columns(df: DataFrame, column: str, fields: list[tuple[str, T.DataTyp
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, t, True) for n, t in fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = fn(batch.column(batch.schema.get_field_index(column)).to_pylist())
             arrays = [*batch.columns, *(pa.array(v, type=t) for v, t in zip(found, arrow_types, strict=True))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, *(n for n, _ in fields)])
 
-    return small_batches(df).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def keyed(df: DataFrame) -> DataFrame:
     """df with a row key that is the same however often the rows are read: file and place in the file.
 
-    A DataFrame that does not come straight from files is written to the shared folder first.
+    A DataFrame that does not come straight from files is written to the shared folder first. Columns of
+    df may have any names, `_metadata` too.
     """
     name = f"{OWN}row"
     try:
-        return df.select("*", file_row().alias(name))
-    except Exception as error:  # only AnalysisException says that there is no such column
-        if type(error).__name__ != "AnalysisException":
-            raise
-    return materialize(df, "rows").select("*", file_row().alias(name))
+        return df.select("*", file_row(df).alias(name))
+    except AnalysisException:  # no such column
+        written = materialize(df, "rows")
+        return written.select("*", file_row(written).alias(name))
 
 
-def file_row() -> Column:
-    return F.struct(F.xxhash64(F.col("_metadata.file_path")).alias("f"), F.col("_metadata.row_index").alias("r"))
+def file_row(df: DataFrame) -> Column:
+    place = df.metadataColumn("_metadata")  # not df["_metadata"], which a column of that name would hide
+    return F.struct(F.xxhash64(place["file_path"]).alias("f"), place["row_index"].alias("r"))
 
 
 #: Rows of a file that look up the same part of a side table, as a power of two; rows of a part.
 SLICE_BITS, PART = 16, 500_000
-#: Rows of an Arrow batch. Texts may be long, and a batch is held whole on both sides of the pipe.
-BATCH = "1000"
+#: Rows of a batch within tasks. Texts may be long, and Python's own strings stand beside those of the batch.
+BATCH = 1000
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """df, with Arrow batches of its session made small unless the session says otherwise."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(name) == "10000":  # Spark's default
-        df.sparkSession.conf.set(name, BATCH)
-    return df
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in smaller batches; Spark's own have its default number of rows and bytes."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
 
 
 @lru_cache(maxsize=2)
@@ -105,4 +106,4 @@ def look_up(docs: DataFrame, told: DataFrame, name: str) -> DataFrame:
                 out[here] = own[b][1][at]
         return pa.array(out, pa.int64(), mask=~found)
 
-    return small_batches(docs).withColumn(name, value(part(key["f"], key["r"]), key["f"], key["r"]))
+    return docs.withColumn(name, value(part(key["f"], key["r"]), key["f"], key["r"]))

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import OWN, small_batches
+from tessera.llm.common import OWN, sliced
 from tessera.shared import materialize, shared_path
 
 #: Words of a window.
@@ -124,7 +124,7 @@ def _write_blocks(batches: Iterator[pa.RecordBatch], folder: str, window: int, m
         paths.append(f"{folder}/{name}")
         texts, numbered, size = [], numbering(), 0
 
-    for batch in batches:
+    for batch in sliced(batches):
         for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             own = words(text)
             windows = max(1, len(own) - window + 1) if own else 0
@@ -141,7 +141,7 @@ def _write_blocks(batches: Iterator[pa.RecordBatch], folder: str, window: int, m
 
 def blocks(benchmark: DataFrame, id_column: str = "item_id", text_column: str = "text", window: int = WINDOW, most: int = BLOCK_WINDOWS) -> list[str]:
     """Paths of the benchmark's blocks, of fewer than twice `most` windows each, in the shared folder."""
-    rows = small_batches(benchmark.select(F.col(id_column).cast("string"), F.col(text_column).cast("string")))
+    rows = benchmark.select(F.col(id_column).cast("string"), F.col(text_column).cast("string"))
     folder = shared_path(benchmark.sparkSession, "benchmark")
     made = materialize(rows.mapInArrow(partial(_write_blocks, folder=folder, window=window, most=most), "path string"), "blocks")
     return sorted(r.path for r in made.collect())  # a path for each `most` windows
@@ -301,7 +301,7 @@ def _search(batches: Iterator[pa.RecordBatch], paths: tuple[str, ...], column: s
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *(f for f, _ in FIELDS)])
             at += len(own)
 
-    for batch in batches:
+    for batch in sliced(batches):
         if batch.num_rows:
             texts = batch.column(batch.schema.get_field_index(column))
             held.append((batch, [numbers(t.as_py(), known.__getitem__) for t in texts]))
@@ -317,7 +317,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", windo
     """docs with the words, hit words, items and merged removal spans (in words, end exclusive) of each text."""
     paths = tuple(blocks(benchmark, window=window, most=block_windows))
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in FIELDS)])
-    return small_batches(docs).mapInArrow(partial(_search, paths=paths, column=text_column, shard_bytes=shard_bytes), schema)
+    return docs.mapInArrow(partial(_search, paths=paths, column=text_column, shard_bytes=shard_bytes), schema)
 
 
 def contaminated() -> Column:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches
+from tessera.llm.common import sliced
 from tessera.shared import materialize
 
 #: Tokens of a sequence, the token that ends a document, tokens of a histogram unit.
@@ -125,7 +125,7 @@ def encoder(path: str) -> Encoder:
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, length: int, end: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     encode, last = encoder(path), np.array([end], "<u4").tobytes()
-    for batch in batches:
+    for batch in sliced(batches):
         ids_column, text_column = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for at in range(0, len(text_column), 1024):
             out: list[tuple] = []
@@ -142,7 +142,7 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, length: int, end: int, wi
 def pieces(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, end: int = END, with_ids: bool = False) -> DataFrame:
     """The pieces of all documents, written once, with generated row numbers; their ids only if asked for."""
     source = docs.select(F.col(id_column).cast("long"), F.col(text_column).cast("string"))
-    cut = small_batches(source).mapInArrow(partial(_cut, path=tokenizer, length=length, end=end, with_ids=with_ids), PIECES)
+    cut = source.mapInArrow(partial(_cut, path=tokenizer, length=length, end=end, with_ids=with_ids), PIECES)
     cut = cut if with_ids else cut.drop("ids")
     return materialize(cut.select("*", F.monotonically_increasing_id().alias("row"), F.ceil(F.col("length") / UNIT).cast("int").alias("units")), "pieces")
 

@@ -32,7 +32,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import OWN, keyed, look_up, small_batches
+from tessera.llm.common import OWN, keyed, look_up, sliced
 from tessera.shared import materialize, shared_path
 
 #: Payloads shorter than this are always stored.
@@ -101,7 +101,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, file_bytes: int) -> I
             done.append((f"{folder}/{name}", records, size))
             out = None
 
-    for batch in batches:
+    for batch in sliced(batches):
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if out is None:
                 # An attempt's number is its own in the whole application.
@@ -118,7 +118,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, file_bytes: int) -> I
 
 def write(rows: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write with_revisits() rows as archives below folder; returns the files that count, with records and bytes."""
-    ordered = small_batches(rows.select("page_id", "url", "payload", "digest", "refers_to"))
+    ordered = rows.select("page_id", "url", "payload", "digest", "refers_to")
     return materialize(ordered.mapInArrow(partial(_write, folder=folder, file_bytes=file_bytes), WRITTEN), "warc-files")
 
 
@@ -198,7 +198,7 @@ def _number(urn: str | None) -> int | None:
 
 def _read(batches: Iterator[pa.RecordBatch], types: pa.Schema) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[tuple]:
-        for batch in batches:
+        for batch in sliced(batches):
             for path, start, end, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for offset, fields, block in scan(path, start, end, size):
                     http, _, payload = block.partition(b"\r\n\r\n")
