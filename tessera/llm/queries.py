@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, exact_dedup, html, licenses, packing, quality, secrets, sharding, simhash, warc
+from tessera.llm import decontaminate, exact_dedup, html, licenses, packing, periodic, quality, secrets, sharding, simhash, warc
 from tessera.shared import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -227,3 +227,60 @@ FROM t LEFT JOIN joined USING (r)"""
 
 
 SQL["op3_secrets"] = _op3_sql()
+
+
+#: DuckDB has no crc32: its table, and the sum of an ASCII string `{0}` by it.
+CRC_TABLE = "crc AS (SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS bytes FROM range(256) t(n))"
+CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split({0}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, bytes[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _periodic_texts(docs: DataFrame) -> DataFrame:
+    """doc_id and text; the texts of a tenth of the ids repeat a part of their words from some word on."""
+    g = F.floor(F.crc32(F.col("doc_id").cast("string")) / 10)
+    words = F.array(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))  # of one, so that they are taken once
+    n = lambda w: F.size(w).cast("long")
+    a = lambda w: g % n(w)
+    p = lambda w: 1 + F.floor((n(w) - a(w)) / (3 + g % 8))
+
+    def repeated(w: Column) -> Column:
+        times = F.ceil((n(w) - a(w)) / p(w)).cast("int")
+        again = F.flatten(F.array_repeat(F.slice(w, (a(w) + 1).cast("int"), p(w).cast("int")), times))
+        return F.array_join(F.concat(F.slice(w, 1, a(w).cast("int")), F.slice(again, 1, (n(w) - a(w)).cast("int"))), " ")
+
+    dealt = (F.crc32(F.col("doc_id").cast("string")) % 10 == 0) & F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return docs.select("doc_id", F.when(dealt, F.transform(words, repeated)[0]).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.with_runs(_periodic_texts(read(spark, sf_dir, "documents", "doc_id", "text")))
+    runs = F.col(periodic.RUNS)
+    # Runs are in order of start and period, so of equal ones the first stays.
+    greatest = F.aggregate(runs, F.get(runs, F.lit(0)), lambda best, r: F.when(r["length"] * best["period"] > best["length"] * r["period"], r).otherwise(best))
+    lines = F.array_join(F.transform(runs, lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("best", greatest).select(
+        "doc_id",
+        F.size(runs).cast("long").alias("n_runs"),
+        *(F.col("best")[c].alias(c) for c in ("start", "length", "period")),
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2(periodic.COLLAPSED, 256).alias("collapsed_sha256"),
+    )
+
+
+SQL["op13_periodic"] = rf"""
+WITH {CRC_TABLE},
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {CRC.format('doc_id::VARCHAR')} AS h FROM documents, crc),
+s AS (SELECT *, len(w) AS n, (h // 10) % len(w) AS a, 1 + (len(w) - (h // 10) % len(w)) // (3 + (h // 10) % 8) AS p FROM d),
+t AS (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_concat(w[1:a], list_transform(range(a, n), lambda i: w[a + (i - a) % p + 1])) ELSE w END AS w FROM s),
+each AS (SELECT r, n, unnest(w) AS v, unnest(range(n)) AS i FROM t),
+same AS (SELECT x.r, x.i, y.i - x.i AS q FROM each x JOIN each y ON x.r = y.r AND x.v = y.v AND y.i > x.i AND y.i - x.i <= x.n // 4),
+isles AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS isle FROM same),
+found AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM isles GROUP BY r, q, isle HAVING count(*) + q >= greatest({periodic.LEAST}, {periodic.PERIODS} * q)),
+runs AS (SELECT r, start, length, min(q) AS period FROM found GROUP BY r, start, length),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY length::DECIMAL(18,0) / period DESC, start, period) AS k FROM runs) WHERE k = 1),
+told AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT r, string_agg(v, ' ' ORDER BY i) AS left_over FROM each ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(left_over, '')) AS collapsed_sha256
+FROM t LEFT JOIN told USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)"""
