@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, exact_dedup, html, licenses, packing, periodic, quality, secrets, sharding, simhash, warc
+from tessera.llm import decontaminate, exact_dedup, html, licenses, minhash, packing, periodic, quality, secrets, sharding, simhash, warc
 from tessera.shared import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -229,6 +229,34 @@ FROM t LEFT JOIN joined USING (r)"""
 SQL["op3_secrets"] = _op3_sql()
 
 
+@query
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id", minhash.kept().alias("kept"))
+
+
+def _op11_sql() -> str:
+    upper, size = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", minhash.SHINGLE
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+')"
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+g AS (SELECT r, doc_id, list_distinct(list_transform(range(1, greatest(1, len(w) - {size - 1}) + 1), lambda i: array_to_string(w[i:i + {size - 1}], ' '))) AS s FROM d WHERE len(w) > 0),
+c AS (SELECT min(r) AS c, any_value(s) AS s, len(any_value(s)) AS n FROM g GROUP BY list_sort(s)),
+e AS (SELECT c, n, unnest(s) AS k FROM c),
+met AS (SELECT x.c AS a, y.c AS b FROM e x JOIN e y ON x.k = y.k AND x.c < y.c GROUP BY x.c, y.c, x.n, y.n HAVING 100 * count(*) >= {minhash.PERCENT} * (x.n + y.n - count(*))),
+twice AS (SELECT a, b FROM met UNION ALL SELECT b, a FROM met),
+reach(a, b) AS (SELECT a, b FROM twice UNION SELECT reach.a, twice.b FROM reach JOIN twice ON reach.b = twice.a),
+roots AS (SELECT c, least(c, coalesce(min(b), c)) AS root FROM c LEFT JOIN reach ON c = a GROUP BY c),
+own AS (SELECT g.r, g.doc_id, len(g.s) AS n, root FROM g JOIN c ON list_sort(g.s) = list_sort(c.s) JOIN roots USING (c)),
+least AS (SELECT root, min(doc_id) AS component_id FROM own GROUP BY root)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, CASE WHEN n IS NULL THEN d.doc_id ELSE component_id END AS component_id,
+  d.doc_id IS NOT DISTINCT FROM CASE WHEN n IS NULL THEN d.doc_id ELSE component_id END AS kept
+FROM d LEFT JOIN own USING (r) LEFT JOIN least USING (root)"""
+
+
+SQL["op11_minhash"] = _op11_sql()
+
+
 #: DuckDB has no crc32: its table, and the sum of an ASCII string `{0}` by it.
 CRC_TABLE = "crc AS (SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS bytes FROM range(256) t(n))"
 CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split({0}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, bytes[(xor(c, b) & 255) + 1])), 4294967295)"
