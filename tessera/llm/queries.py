@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, exact_dedup, html, licenses, minhash, packing, periodic, quality, secrets, sharding, simhash, warc
+from tessera.llm import decontaminate, exact_dedup, html, licenses, minhash, packing, periodic, prefix_trie, quality, secrets, sharding, simhash, warc
 from tessera.shared import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -262,6 +262,35 @@ CRC_TABLE = "crc AS (SELECT list(list_reduce(list_prepend(n, range(8)), lambda c
 CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split({0}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, bytes[(xor(c, b) & 255) + 1])), 4294967295)"
 
 
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.ordered(table(spark, sf_dir, "conversations"))
+    conv = F.col("conv")
+    convs, rebuilt = prefix_trie.from_heads(turns, (F.crc32(conv.cast("string")) % 6).cast("int"), conv - conv % 100, 5)
+    return prefix_trie.trie(convs, rebuilt).select(*prefix_trie.NODE)
+
+
+SQL["op12_prefix_trie"] = f"""
+WITH {CRC_TABLE},
+t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT c, {CRC.format('c::VARCHAR')} % 6 AS h FROM (SELECT DISTINCT c FROM t), crc),
+heads AS (SELECT k.c, h, count(t.c) AS taken FROM k LEFT JOIN t ON t.c = k.c - k.c % 100 AND t.pos < h GROUP BY k.c, h),
+s AS (SELECT k.c, pos + 1 AS depth, role, text FROM k JOIN t ON t.c = k.c - k.c % 100 AND pos < h
+  UNION ALL SELECT c, taken + pos - h + 1, role, text FROM heads JOIN t USING (c) WHERE pos >= h),
+p AS (SELECT c, depth, length(text) AS chars, list(len(role) || ':' || role || text) OVER (PARTITION BY c ORDER BY depth) AS prefix FROM s),
+m AS (SELECT c, depth, chars, min(c) OVER (PARTITION BY prefix) AS node FROM p UNION ALL SELECT c, 0, 0, min(c) OVER () FROM k),
+last AS (SELECT c, max(depth) AS depth FROM m GROUP BY c),
+n AS (SELECT node, depth, count(*) AS n_convs, any_value(chars) AS chars FROM m GROUP BY node, depth),
+up AS (SELECT DISTINCT b.node, b.depth, a.node AS parent FROM m b JOIN m a ON a.c = b.c AND a.depth = b.depth - 1),
+kids AS (SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM up GROUP BY ALL),
+under AS (SELECT DISTINCT a.node, a.depth, b.node AS n2, b.depth AS d2 FROM m a JOIN m b ON a.c = b.c AND b.depth >= a.depth),
+sums AS (SELECT u.node, u.depth, sum((x.n_convs - 1) * x.chars)::BIGINT AS saved_tokens, count(*) FILTER (kids.n_children IS NULL) AS n_leaves
+  FROM under u JOIN n x ON x.node = n2 AND x.depth = d2 LEFT JOIN kids ON kids.node = n2 AND kids.depth = d2 GROUP BY u.node, u.depth),
+ends AS (SELECT node, depth, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM m JOIN last USING (c, depth) GROUP BY node, depth)
+SELECT n.node AS conv_id, n.depth, parent AS parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM n JOIN sums USING (node, depth) LEFT JOIN up USING (node, depth) LEFT JOIN kids USING (node, depth) LEFT JOIN ends USING (node, depth)"""
+
+
 def _periodic_texts(docs: DataFrame) -> DataFrame:
     """doc_id and text; the texts of a tenth of the ids repeat a part of their words from some word on."""
     g = F.floor(F.crc32(F.col("doc_id").cast("string")) / 10)
