@@ -15,8 +15,11 @@ DENY, ASK, ALLOW = "denegar", "preguntar", "permitir"
 PLAN, ASKING, EDITS, BATCH = "plan", "preguntar", "aceptar_ediciones", "lote"
 NEVER = [f"rm {flags} {target}" for flags in ("-rf", "-fr", "-r -f", "-f -r") for target in ("/", "~", "$HOME")]
 DEFAULT_ALLOWED = ("git status", "git diff *", "git log *", "ls *", "ls")
-# A piece of a command between separators: quoted strings belong to it whole.
-PIECE, QUOTED = r"""(?:[^'";|&]|'[^']*'|"[^"]*")+""", r"""'[^']*'|"[^"]*\""""
+# Of a command: quoted strings, separators one by one, and what stands between them. No group repeats, as Java would go one call deeper
+# for each repetition.
+TOKEN, QUOTED = r"""'[^']*+'|"[^"]*+"|[;|&'"]|[^'";|&]++""", r"""'[^']*+'|"[^"]*+\""""
+#: Stands for a separator; no command can hold it.
+CUT = "\0"
 
 
 @dataclass(frozen=True)
@@ -41,7 +44,8 @@ def spaced(command: Column) -> Column:
 def commands(command: Column) -> Column:
     """The parts of a compound command, split outside quotes; a command with an open quote is one part."""
     open_quote = F.regexp_replace(command, QUOTED, "").rlike("['\"]")
-    parts = F.filter(F.transform(F.regexp_extract_all(command, F.lit(PIECE), F.lit(0)), spaced), lambda p: p != "")
+    marked = F.transform(F.regexp_extract_all(command, F.lit(TOKEN), F.lit(0)), lambda t: F.when(t.isin(";", "|", "&"), CUT).otherwise(t))
+    parts = F.filter(F.transform(F.split(F.array_join(marked, ""), CUT), spaced), lambda p: p != "")
     return F.when(open_quote, F.array(spaced(command))).otherwise(parts)
 
 
@@ -58,8 +62,8 @@ def fits(pattern: str, part: Column) -> Column:
 def glob(pattern: str, root: str, home: str = "/root") -> str:
     """The regular expression of a path pattern: ** crosses folders, * and ? stay in one. // is absolute, ~/ home, others below root."""
     full = pattern[1:] if pattern.startswith("//") else f"{home}/{pattern[2:]}" if pattern.startswith("~/") else f"{root}/{pattern.removeprefix('./')}"
-    parts = {"**": ".*", "*": "[^/]*", "?": "[^/]"}
-    return "^" + "".join(parts.get(p) or re.escape(p) for p in re.findall(r"\*\*|\*|\?|[^*?]+", full)) + "$"
+    parts = {"**": r"[^\n]*", "*": "[^/]*", "?": "[^/]"}
+    return r"\A" + "".join(parts.get(p) or re.escape(p) for p in re.findall(r"\*\*|\*|\?|[^*?]+", full)) + r"\z"
 
 
 def by_default(tool: Column, argument: Column, mode: Column, root: str) -> Column:

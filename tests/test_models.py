@@ -101,3 +101,16 @@ def test_answers_say_what_the_verdict_is(spark):
 def test_passages_in_other_languages_pass(spark):
     rows = spark.createDataFrame([("the moon landing happened in july", "unrelated words entirely", True), ("the moon landing happened in july", "unrelated words entirely", False)], "f string, p string, o boolean")
     assert [r.k for r in rows.select(text.probative(F.col("f"), F.col("p"), F.col("o")).alias("k")).collect()] == [True, False]
+
+
+def test_permissions_of_long_commands_and_odd_paths(spark):
+    """A megabyte of command with and without quotes; a line end is part of a path."""
+    long = ["ls " + "a" * 1_000_000, "ls " + "'x;y' " * 200_000, "ls; " * 100_000 + "rm -rf /", 'ls "' + "a;" * 300_000, "ls && " * 100_000 + "ls"]
+    sizes = [len(r.p) for r in spark.createDataFrame([(c,) for c in long], "c string").select(permissions.commands(F.col("c")).alias("p")).collect()]
+    assert sizes == [1, 1, 100_001, 1, 100_001]
+    rules = [permissions.rule("permitir", "Leer(docs/*.txt)"), permissions.rule("denegar", "Escribir(a/**)"), permissions.rule("permitir", "Ejecutar(ls *)")]
+    asked = [("Ejecutar", long[0], "permitir"), ("Ejecutar", long[2], "denegar"), ("Escribir", "/w/docs/a.txt\n", "preguntar"), ("Escribir", "/w/a/b", "denegar"), ("Escribir", "/w/a/b\n", "preguntar"), ("Escribir", "/w/a/b\r", "denegar")]
+    rows = spark.createDataFrame(asked, "t string, a string, want string")
+    for r in rows.select("want", permissions.decision(F.col("t"), F.col("a"), F.lit("preguntar"), rules, "/w").alias("d")).collect():
+        assert r.d == r.want
+    assert spark.createDataFrame([("/w/docs/a.txt\n",), ("/w/docs/a.txt",)], "p string").where(F.col("p").rlike(permissions.glob("docs/*.txt", "/w"))).count() == 1

@@ -26,6 +26,10 @@ ACTIONS = [
     ('I read {oops {"herramienta": "leer", "argumentos": 3}', "I read", "leer", "{}"),
     ("no action", None, None, None),
     (None, None, None, None),
+    ('He said "go {now" and then {"x": {"herramienta": "inner"}, "herramienta": 5} {"herramienta": "t", "argumentos": {"a": "\\"}{", "b": {"c": [1, {}]}}}', "He said \"go", "inner", "{}"),
+    ('{"k": "\\"argumentos\\": {}", "argumentos": {"z": 1}, "herramienta": "t"} rest', "", "t", '{"z": 1}'),
+    ('{"herramienta": "t", "argumentos": {"a": "}\\"{", "b": {"c": [1, {}]}}}', "", "t", '{"a": "}\\"{", "b": {"c": [1, {}]}}'),
+    ('{"herramienta": "never closed"', None, None, None),
 ]
 
 PASSAGES = [
