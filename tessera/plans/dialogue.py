@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import grouping
+from tessera.operators import grouping, spelling
 from tessera.plans.agents import terms_sql
 from tessera.plans.registry import query
 from tessera.plans.verdicts import q, sql_list
@@ -115,3 +115,30 @@ def clarification_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     related = lambda t: F.exists("asked", lambda a: F.contains(F.lower(t), F.lower(a)) | F.contains(F.lower(a), F.lower(t)))
     own = best.where("n > 1").join(first, "conv_id").select("conv_id", "turn", F.filter("terms", lambda t: ~related(t)).alias("terms"))
     return grouping.greedy_groups(own, "conv_id", "turn", "terms")
+
+
+# Letters of long words are lost in the even turns: the fourth of each stretch of eight plain letters.
+TYPO, TYPED = "([a-z]{3})[a-z]([a-z]{4})", "turn % 2 = 0"
+MAY_SQL = f"list_filter(regexp_extract_all(text, '{spelling.WORD}'), lambda w: length(w) >= {spelling.LEAST} AND w = lower(w) AND regexp_matches(w, '" + r"\p{Ll}'))"
+TOKENS_SQL = spelling.WORD + r"|[^\p{L}\p{N}_]+"
+
+
+@query(rf"""WITH v AS (SELECT w AS word, count(*) AS n FROM (SELECT unnest({MAY_SQL}) AS w FROM documents) GROUP BY w HAVING count(*) >= 2),
+t AS (SELECT conv_id, turn, CASE WHEN {TYPED} THEN regexp_replace(text, '{TYPO}', '\1\2', 'g') ELSE text END AS text FROM conversations),
+u AS (SELECT DISTINCT unnest({MAY_SQL}) AS given FROM t),
+s AS (SELECT given, translate(given, '{spelling.MARKED}', '{spelling.BARE}') AS p FROM u ANTI JOIN v ON given = word),
+ends AS (SELECT given, p, word, n FROM s JOIN v ON left(given, 2) = left(word, 2) UNION SELECT given, p, word, n FROM s JOIN v ON right(given, 2) = right(word, 2)),
+near AS (SELECT given, word, n FROM ends WHERE abs(length(given) - length(word)) <= 1 AND levenshtein(given, word) <= 3 AND p <> translate(word, '{spelling.MARKED}', '{spelling.BARE}') AND (contains(given, 'ü') OR NOT contains(word, 'ü'))
+  AND CASE length(word) - length(given)
+    WHEN 0 THEN len(list_filter(range(1, length(word) + 1), lambda i: given[i] <> word[i])) = 1
+    WHEN 1 THEN list_contains(list_transform(range(length(word)), lambda i: left(word, i) || substr(word, i + 2)), given)
+    ELSE list_contains(list_transform(range(length(given)), lambda i: left(given, i) || substr(given, i + 2)), word) END),
+best AS (SELECT given, word FROM near QUALIFY row_number() OVER (PARTITION BY given ORDER BY n DESC, word) = 1),
+m AS (SELECT map(list(given), list(word)) AS m FROM best)
+SELECT conv_id, turn, array_to_string(list_transform(regexp_extract_all(text, '{TOKENS_SQL}'), lambda x: coalesce(m[x], x)), '') AS text,
+  len(list_filter(regexp_extract_all(text, '{spelling.WORD}'), lambda x: m[x] IS NOT NULL)) AS changed FROM t, m""")
+def spelling_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with lost letters, corrected by the words of all documents, where one edit leads to one."""
+    known = spelling.index(spelling.vocabulary(table(spark, sf_dir, "documents").select("text")))
+    typed = F.when(F.expr(TYPED), F.regexp_replace("text", TYPO, "$1$2")).otherwise(F.col("text"))
+    return spelling.corrected(table(spark, sf_dir, "conversations").select("conv_id", "turn", typed.alias("text")), known, ["conv_id", "turn"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text, vectors
-from tessera.operators import lexical
+from tessera.operators import cells, lexical
 from tessera.plans.registry import query
 from tessera.plans.verdicts import PAIRS_SQL, WORDS_SQL, pairs, q
 from tessera.shared import spread, table
@@ -108,6 +108,15 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark, sf_dir, 10)
 
 
+@query(f"WITH {TOPK_SQL} SELECT * FROM ranked WHERE rank <= 10")
+def indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by an index of cells, half of whose rows were appended after it was built."""
+    rows = table(spark, sf_dir, "embeddings")
+    index = cells.append(cells.build(rows.where("vec_id % 2 = 0")), rows.where("vec_id % 2 = 1"))
+    found = cells.top_k(index, rows.where(QUERY_VECTORS), 10)
+    return found.withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("long"))
+
+
 #: Passages that the nearest neighbours stand for are judged by meaning: at most so many, from this score on, and as few as these pass unjudged.
 JUDGED, MEANING, FEW = 30, 0.80, 3
 
