@@ -9,8 +9,8 @@ Words that no benchmark text has cannot lie inside an occurrence, so the index h
 of benchmark words that are as long as the shortest window; nothing is lost by that.
 
 Tasks turn the benchmark into blocks of a bounded number of windows and write them to the shared
-folder; the driver knows their paths alone. A shard is read once, and each block after the other is
-searched in it, so that a larger benchmark costs time and not memory.
+folder; the driver knows their paths alone. A shard is read and indexed once, over the words of all blocks,
+and each block after the other is searched in it, so that a larger benchmark costs time and not memory.
 
 Edge cases: null and word-less texts have no words and no hits; a benchmark text without words gives
 no window, one with a null id marks words but is no item; equal windows of several items count for
@@ -120,7 +120,8 @@ def _write_blocks(batches: Iterator[pa.RecordBatch], folder: str, window: int, m
         nonlocal texts, numbered, size
         name = f"{task.partitionId():06d}-{len(paths):04d}-{task.taskAttemptId()}"
         with fs.open_output_stream(f"{root}/{name}") as out:
-            out.write(pickle.dumps(_block(texts, list(numbered), window)))
+            block = _block(texts, list(numbered), window)
+            out.write(pickle.dumps((block.words, min(block.windows))) + pickle.dumps(block))
         paths.append(f"{folder}/{name}")
         texts, numbered, size = [], numbering(), 0
 
@@ -151,7 +152,15 @@ def blocks(benchmark: DataFrame, id_column: str = "item_id", text_column: str =
 def load(path: str) -> Block:
     fs, name = pafs.FileSystem.from_uri(path)
     with fs.open_input_file(name) as file:
-        return pickle.loads(file.read())
+        pickle.load(file)
+        return pickle.load(file)
+
+
+def vocabulary(path: str) -> tuple[list[bytes], int]:
+    """The words of a block and its shortest window; no more of it is read."""
+    fs, name = pafs.FileSystem.from_uri(path)
+    with fs.open_input_file(name) as file:
+        return pickle.load(file)
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -171,24 +180,26 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 
 
 class WaveletTree:
-    """Ranks of symbols, one level of bits for each binary digit, laid out level by level."""
+    """Ranks of symbols: for each binary digit a level of packed bits, with the ones before every 64 of them."""
 
     def __init__(self, symbols: np.ndarray, largest: int) -> None:
-        self.levels: list[tuple[int, np.ndarray, int]] = []
+        self.levels: list[tuple[int, np.ndarray, np.ndarray, int]] = []
         for digit in range(max(1, int(largest).bit_length()) - 1, -1, -1):
-            bits = (symbols >> digit) & 1
-            ones = np.concatenate([[0], np.cumsum(bits)]).astype(np.int32)
-            zeros = len(symbols) - int(ones[-1])
-            self.levels.append((digit, ones, zeros))
-            symbols = np.concatenate([symbols[bits == 0], symbols[bits == 1]])
+            bits = (symbols >> digit & 1).astype(bool)
+            packed = np.packbits(np.concatenate([bits, np.zeros(64 - len(bits) % 64, bool)]), bitorder="little").view(np.uint64)
+            ones = np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)[:-1]]).astype(np.int32)
+            self.levels.append((digit, packed, ones, int((~bits).sum())))
+            symbols = np.concatenate([symbols[~bits], symbols[bits]])
 
     def rank(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
         """How often each symbol stands before each place."""
         first = np.zeros_like(place)
-        for digit, ones, zeros in self.levels:
+        for digit, packed, before, zeros in self.levels:
             one = (symbol >> digit) & 1 == 1
-            place = np.where(one, zeros + ones[place], place - ones[place])
-            first = np.where(one, zeros + ones[first], first - ones[first])
+            ones = lambda at: before[at >> 6] + np.bitwise_count(packed[at >> 6] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))).astype(np.int64)  # noqa: B023, E731
+            in_place, in_first = ones(place), ones(first)
+            place = np.where(one, zeros + in_place, place - in_place)
+            first = np.where(one, zeros + in_first, first - in_first)
         return place - first
 
 
@@ -232,29 +243,52 @@ class FMIndex:
         return out
 
 
-def occurrences(symbols: np.ndarray, block: Block) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Window length, window numbers and places in symbols (0: no benchmark word) of all occurrences."""
-    if not block.windows:
-        return
-    least = min(block.windows)
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], symbols > 0, [0]]).astype(np.int8)))
+@dataclass
+class Shard:
+    """The index of a shard's runs of benchmark words, the place in the shard of each of its symbols, and the number there of each of the shard's words."""
+
+    index: FMIndex
+    place: np.ndarray
+    number: np.ndarray
+
+    def occurrences(self, block: Block, known: dict[bytes, int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Window length, window numbers and places of all occurrences of a block's windows."""
+        number = np.concatenate([[0], self.number[_numbers_of(block.words, known)]])
+        for n, windows in block.windows.items():
+            patterns = number[windows]
+            there = np.flatnonzero((patterns > 0).all(axis=1))  # windows with words that the shard lacks are nowhere in it
+            low, high = self.index.search(patterns[there])
+            counts = high - low
+            rows = np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+            yield n, np.repeat(there, counts), self.place[self.index.locate(rows)]
+
+
+def _numbers_of(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+    return np.fromiter(map(known.get, words, repeat(0)), np.int64, len(words))
+
+
+def indexed(symbols: np.ndarray, known: dict[bytes, int], paths: tuple[str, ...]) -> Shard | None:
+    """One index of the shard for all blocks: of the runs of words of any block that are as long as the shortest window of all. None without such runs."""
+    wanted, least = np.zeros(len(known) + 1, bool), WINDOW
+    for path in paths:
+        words, shortest = vocabulary(path)
+        wanted[_numbers_of(words, known)] = True
+        least = min(least, shortest)
+    wanted[0] = False
+    number = np.cumsum(wanted) * wanted
+    own = number[symbols]
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], own > 0, [0]]).astype(np.int8)))
     starts, ends = edges[::2], edges[1::2]
     long = ends - starts >= least
     starts, ends = starts[long], ends[long]
     if not len(starts):
-        return
+        return None
     lengths = ends - starts + 1  # with the break that follows
     first = np.cumsum(lengths) - lengths
     place = np.arange(lengths.sum()) + np.repeat(starts - first, lengths)
-    text = np.concatenate([symbols, [0]])[place].astype(np.int64)
+    text = np.concatenate([own, [0]])[place]
     text[first + lengths - 1] = 0
-    index = FMIndex(text, len(block.words))
-    for n, patterns in block.windows.items():
-        low, high = index.search(patterns)
-        counts = high - low
-        window = np.repeat(np.arange(len(patterns)), counts)
-        rows = np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        yield n, window, place[index.locate(rows)]
+    return Shard(FMIndex(text, int(number.max())), place, number)
 
 
 def _marked(symbols: np.ndarray, ends: np.ndarray, known: dict[bytes, int], paths: tuple[str, ...]) -> tuple[np.ndarray, list, list]:
@@ -262,13 +296,10 @@ def _marked(symbols: np.ndarray, ends: np.ndarray, known: dict[bytes, int], path
     edge = np.zeros(len(symbols) + 1, np.int64)
     items: list[set[str]] = [set() for _ in ends]
     starts = np.concatenate([[0], ends[:-1]])
-    for path in paths:
+    shard = indexed(symbols, known, paths)
+    for path in paths if shard else ():
         block = load(path)
-        # From the shard's numbers of words to the block's; other words and breaks are 0.
-        own = np.zeros(len(known) + 1, np.int32)
-        own[np.fromiter(map(known.get, block.words, repeat(0)), np.int64, len(block.words))] = np.arange(1, len(block.words) + 1)
-        own[0] = 0
-        for n, window, place in occurrences(own[symbols], block):
+        for n, window, place in shard.occurrences(block, known):
             np.add.at(edge, place, 1)
             np.add.at(edge, place + n, -1)
             first, told = block.items[n]
