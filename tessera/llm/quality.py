@@ -3,10 +3,10 @@
 A text is cut into blocks; each is compressed with both dictionaries. The difference of the
 compressed sizes over their sum, calibrated by a logistic curve, is the score: the better dictionary
 explains the text. Dictionaries and curve are fitted on the driver from a bounded sample of labelled
-rows; every text is scored whole, block by block.
+rows, in which texts that are too long stand by blocks from all over them; every text is scored whole, block by block.
 
 Edge cases: null and empty texts score as a difference of zero; with one class of labels or none the
-score is that class's share everywhere (a half without labels); repeated rows each get their score;
+score is that class's share everywhere (a half without labels); repeated rows each get their score, and equal texts equal ones; a very long text is scored whole;
 an empty table gives no rows; other columns pass through untouched.
 """
 
@@ -29,9 +29,10 @@ from tessera.shared import materialize
 
 #: Bytes of a compressed block and of a dictionary; zstandard's level.
 BLOCK, DICTIONARY, LEVEL = 512, 256 << 10, 3
-#: The training sample: rows of each class, and bytes of all of them, at most.
+#: The training sample: labelled rows of each class, and bytes of all of them, at most. If their texts have more bytes, the longest
+#: stand in the sample by blocks evenly spread over the whole text; rows of a repeated id beyond the bound are not in it.
 ROWS, BYTES = 3000, 64 << 20
-#: Blocks that one dictionary is trained from at most.
+#: Blocks that one dictionary is trained from at most, drawn from all blocks of the sample alike.
 BLOCKS = 40_000
 #: From this score on a text counts as good.
 THRESHOLD = 0.3
@@ -82,27 +83,37 @@ def sample(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str,
     known = known.withColumn("order", F.xxhash64(F.col("id").cast("string")))
     chosen = known.where("label = 1").orderBy("order", "id").limit(rows).unionByName(known.where("label = 0").orderBy("order", "id").limit(rows))
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    # 2 * rows ids are broadcast, and as many rows come back, the longest cut so that the bytes of all fit the bound.
+    # 2 * rows ids are broadcast, and as many rows come back, the longest as spread blocks so that the bytes of all fit the bound.
     data = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     found = materialize(texts.join(F.broadcast(chosen), "id").select("order", "id", data.alias("data"), "label"), "labelled")
     sizes = found.groupBy(F.length(F.bin(F.octet_length("data").cast("long"))).alias("bits")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("data")).alias("bytes"))
-    head = cut([(r.bits, r.n, r.bytes) for r in sizes.collect()], most)  # one row for each power of two
+    share = cut([(r.bits, r.n, r.bytes) for r in sizes.collect()], most)  # one row for each power of two
     out, size = [], 0
-    for row in found.orderBy("order", "id").select(F.substring("data", 1, head).alias("data"), "label").toLocalIterator():
-        if (size := size + len(row.data)) > most:  # only where rows of one repeated id are more than the bound has blocks
+    for row in found.orderBy("order", "id").select(spread_blocks(F.col("data"), share).alias("parts"), "label").toLocalIterator():
+        data = b"".join(row.parts)
+        if (size := size + len(data)) > most:  # only where rows of one repeated id are more than the bound has blocks
             break
-        out.append((bytes(row.data).decode("utf-8", "ignore"), row.label))
+        out.append((data.decode("utf-8", "ignore"), row.label))
     return out
 
 
+def spread_blocks(data: Column, share: int) -> Column:
+    """data in parts: whole if it has no more than `share` bytes, else so many blocks of it, the first, the last and others at even distances."""
+    length, n = F.octet_length(data), max(1, share // BLOCK)
+    at = lambda i: F.lit(1) + (i.cast("long") * (length - BLOCK) / max(1, n - 1)).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(min(n, BLOCKS) - 1)), lambda i: F.substring(data, at(i), F.lit(BLOCK)))
+    return F.when(length <= share, F.array(data)).otherwise(blocks)
+
+
 def cut(sizes: list[tuple[int, int, int]], most: int) -> int:
-    """The length in bytes to cut texts at so that all fit in most; sizes: bits of a length, how many texts, their bytes."""
+    """The bytes that a text may have at most so that all fit in most; sizes: bits of a length, how many texts, their bytes."""
     above, below = 0, sum(b for *_, b in sizes)
     if below <= most:
         return (1 << 31) - 1
-    for bits, n, own in sorted(sizes, reverse=True):
+    ordered = sorted(sizes, reverse=True)
+    for (_, n, own), shorter in zip(ordered, [*(b for b, *_ in ordered[1:]), 0], strict=True):
         above, below = above + n, below - own
-        if (head := (most - below) // above) >= 1 << (bits - 1):
+        if (head := (most - below) // above) >= 1 << shorter:  # the others are shorter than that
             return max(BLOCK, head)
     return BLOCK
 

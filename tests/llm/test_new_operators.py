@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, minhash, periodic, prefix_trie, queries, sharding, simhash, warc
+from tessera.llm import decontaminate, exact_dedup, minhash, periodic, prefix_trie, quality, queries, sharding, simhash, warc
 from tessera.llm.common import OWN, keyed
 
 CLASH = ("_metadata", "row", "path", "value", "node", "key", "n", "label", "digest", "root", OWN + "x")
@@ -255,3 +255,40 @@ def test_a_column_named_metadata_and_the_sessions_settings(spark, tmp_path):
             assert queries.QUERIES[name](spark, str(tmp_path)).where("doc_id = 3").count() == 1, name
     assert queries.QUERIES["op10_html"](spark, str(tmp_path)).first().text == "x"
     assert spark.conf.getAll == before
+
+
+def test_one_index_serves_all_blocks(spark):
+    """The suffixes of a shard are sorted once: six blocks take little more time than two, and find the same."""
+    rng = np.random.default_rng(7)
+    vocabulary = [f"w{n}" for n in range(20_000)]
+    docs = [" ".join(rng.choice(vocabulary, 400)) for _ in range(1000)]
+    items = [(n, docs[n][:2000]) for n in range(0, 1000, 2)]
+    frame = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    found, took, built = [], [], []
+    inner = decontaminate.FMIndex
+    for most in (60_000, 20_000):
+        paths = tuple(decontaminate.blocks(frame, most=most))
+        known = decontaminate.numbering()
+        own = [np.append(decontaminate.numbers(t, known.__getitem__), 0) for t in docs]
+        calls = []
+        decontaminate.FMIndex = lambda *a: calls.append(1) or inner(*a)  # noqa: B023
+        try:
+            start = time.monotonic()
+            found.append(decontaminate._marked(np.concatenate(own), np.cumsum([len(x) for x in own]), known, paths))
+            took.append(time.monotonic() - start)
+        finally:
+            decontaminate.FMIndex = inner
+        built.append((len(calls), len(paths)))
+    assert [b[0] for b in built] == [1, 1] and built[0][1] < built[1][1] >= 6
+    assert (found[0][0] == found[1][0]).all() and found[0][1:] == found[1][1:] and found[0][0].sum() > 100_000
+    assert took[1] < 1.5 * took[0] + 1
+
+
+def test_quality_sample_spreads_over_long_texts(spark):
+    """What of a long text is in the sample comes from all of it, its last words too; other texts are whole."""
+    docs = spark.createDataFrame([(n, f"text {n} " * 20 if n != 7 else " ".join(f"word{k:05d}" for k in range(20_000))) for n in range(60)], "doc_id long, text string")
+    taken = quality.sample(docs, docs.selectExpr("doc_id", "doc_id % 2 AS quality"), "doc_id", "text", "quality", most=40_000)
+    assert sum(len(t) for t, _ in taken) <= 40_000 and len([t for t, _ in taken if t.startswith("text")]) == len(taken) - 1
+    (long,) = (t for t, _ in taken if t.startswith("word"))
+    seen = sorted(int(w[4:]) for w in long.split() if len(w) == 9 and w.startswith("word") and w[4:].isdigit())
+    assert seen[0] == 0 and seen[-1] == 19_999 and max(b - a for a, b in zip(seen, seen[1:], strict=False)) < 1500
