@@ -54,6 +54,30 @@ def antecedents(words: DataFrame, group: str, turn: str, word: str) -> DataFrame
     return met.groupBy(group, turn).agg(best).select(group, turn, F.col("b.antecedent").alias("antecedent"), (-F.col("b.s")).alias("score"))
 
 
+def remembered(words: DataFrame, group: str, turn: str, word: str, alike: float, sure: float = 0.5, verbatim: int = 20, compacted: int = 200) -> DataFrame:
+    """group, turn, antecedent and how: the turn that a later one goes back to.
+
+    By rare words if one earlier turn has `sure` weight of them; else by meaning, the most alike of the remembered turns
+    before the last one if it is over `alike` (of equal ones the earliest); else the last one. Remembered are as many
+    turns as are kept verbatim and compacted, so that each turn meets a bounded number of others: both sides are cut into
+    stretches of that length, and a turn meets its own and the one before. words: a row for each word of a turn.
+    """
+    span = verbatim + compacted
+    rare = antecedents(words, group, turn, word).where(F.col("score") >= sure).select(group, turn, F.col("antecedent").alias("exact"))
+    # A turn's vector: its words hashed to 256 places.
+    places = words.select(group, turn, F.substring(F.md5(word), 1, 2).alias("place")).groupBy(group, turn, "place").agg(F.count(F.lit(1)).alias("c"))
+    norms = places.groupBy(group, turn).agg(F.sum(F.col("c") * F.col("c")).alias("norm"))
+    vectors = places.join(norms, [group, turn])
+    now = vectors.withColumn("stretch", F.floor(F.col(turn) / span))
+    then = vectors.select(group, F.explode(F.array(F.floor(F.col(turn) / span), F.floor(F.col(turn) / span) + 1)).alias("stretch"), F.col(turn).alias("antecedent"), "place", F.col("c").alias("d"), F.col("norm").alias("other"))
+    met = now.join(then, [group, "stretch", "place"]).where((F.col("antecedent") < F.col(turn) - 1) & (F.col("antecedent") >= F.col(turn) - span))
+    scores = met.groupBy(group, turn, "antecedent").agg(F.round(F.sum(F.col("c") * F.col("d")) / F.sqrt(F.max(F.col("norm") * F.col("other"))), 6).alias("score"))
+    near = scores.where(F.col("score") > alike).groupBy(group, turn).agg(F.min(F.struct((-F.col("score")).alias("s"), "antecedent")).alias("b")).select(group, turn, F.col("b.antecedent").alias("near"))
+    turns = words.select(group, turn).distinct().join(rare, [group, turn], "left").join(near, [group, turn], "left")
+    how = F.when(F.col("exact").isNotNull(), "words").when(F.col("near").isNotNull(), "meaning").otherwise("last")
+    return turns.select(group, turn, F.coalesce("exact", "near", F.col(turn) - 1).alias("antecedent"), how.alias("how")).where(F.col("antecedent") >= 0)
+
+
 def greedy_groups(rows: DataFrame, key: str, order: str, terms: str) -> DataFrame:
     """key, part, size and terms: each row joins the first group with a common term; groups never merge.
 

@@ -86,6 +86,26 @@ def keyword_antecedent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.antecedents(words, "conv_id", "turn", "w")
 
 
+#: Of the hashed vectors' likeness, from which a remembered turn is taken for the antecedent.
+ALIKE = 0.3
+
+
+@query(f"""WITH words AS (SELECT conv_id, turn, unnest({ANTECEDENT_SQL}) AS w FROM conversations),
+df AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY conv_id, w) AS v FROM words),
+met AS (SELECT a.conv_id, a.turn, b.turn AS antecedent, round(sum(a.v), 6) AS score FROM df a JOIN df b ON a.conv_id = b.conv_id AND a.w = b.w AND b.turn < a.turn GROUP BY ALL),
+rare AS (SELECT conv_id, turn, antecedent FROM met QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, antecedent) = 1 AND score >= 0.5),
+vecs AS (SELECT conv_id, turn, list_transform(range(256), lambda i: len(list_filter(ps, lambda p: p = i))) AS v FROM (SELECT conv_id, turn, list(('0x' || left(md5(w), 2))::INT) AS ps FROM words GROUP BY ALL)),
+pairs AS (SELECT a.conv_id, a.turn, b.turn AS antecedent, round(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) / sqrt(list_sum(list_transform(a.v, lambda x: x * x)) * list_sum(list_transform(b.v, lambda x: x * x))), 6) AS score
+  FROM vecs a JOIN vecs b ON a.conv_id = b.conv_id AND b.turn < a.turn - 1 AND b.turn >= a.turn - 220),
+near AS (SELECT conv_id, turn, antecedent FROM pairs WHERE score > {ALIKE} QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, antecedent) = 1)
+SELECT v.conv_id, v.turn, coalesce(r.antecedent, n.antecedent, v.turn - 1) AS antecedent, CASE WHEN r.antecedent IS NOT NULL THEN 'words' WHEN n.antecedent IS NOT NULL THEN 'meaning' ELSE 'last' END AS how
+FROM vecs v LEFT JOIN rare r USING (conv_id, turn) LEFT JOIN near n USING (conv_id, turn) WHERE coalesce(r.antecedent, n.antecedent, v.turn - 1) >= 0""")
+def antecedent_by_meaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each turn the earlier one that it goes back to: by rare words, else by likeness to remembered turns, else the last one."""
+    words = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(text.content_words(F.col("text"))).alias("w"))
+    return grouping.remembered(words, "conv_id", "turn", "w", ALIKE)
+
+
 @query("SELECT item_id, regexp_replace(trim(strip_accents(replace(lower(text), 'ß', 'ss'))), '\\s+', ' ', 'g') AS key FROM benchmark")
 def normalized_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", text.plain_key("text").alias("key"))

@@ -51,16 +51,29 @@ def source_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("n").alias("doc_id"), "source", F.col("pos").cast("long").alias("pos"), F.sha2("text", 256).alias("digest"), "url", "domain")
 
 
-@query("""SELECT * FROM (VALUES ('Q1', 'Ada (mathematician). Ada date of birth: 1815-12-10. Ada position held: analyst.'), ('Q2', 'Town population: 1200.')) t(qid, text)""")
+@query("""WITH born AS (SELECT o_custkey, strftime(min_by(o_orderdate, o_orderkey), '%Y-%m-%d') AS d, min(o_orderkey) % 3 AS p FROM orders GROUP BY o_custkey),
+told AS (SELECT 'Q' || c_custkey AS qid, c_name AS label, CASE WHEN c_custkey % 4 > 0 THEN c_mktsegment END AS d, list_filter([
+    CASE p WHEN 0 THEN c_name || ' inception: ' || left(born.d, 4) || '.' WHEN 1 THEN c_name || ' inception: ' || left(born.d, 7) || '.' WHEN 2 THEN c_name || ' inception: ' || born.d || '.' END,
+    CASE WHEN n_regionkey <> 2 THEN c_name || ' country of citizenship: ' || n_name || '.' END, CASE WHEN c_acctbal >= 1 THEN c_name || ' population: ' || floor(c_acctbal)::BIGINT || '.' END], lambda x: x IS NOT NULL) AS says
+  FROM customer LEFT JOIN born ON c_custkey = o_custkey LEFT JOIN nation ON c_nationkey = n_nationkey)
+SELECT qid, CASE WHEN d IS NULL THEN '' ELSE label || ' (' || d || '). ' END || array_to_string(says, ' ') AS text FROM told WHERE len(says) > 0""")
 def wikidata_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities' first statements as sentences, with the names of what they point to."""
-    entities = spark.createDataFrame([("Q1", "Ada", "mathematician"), ("Q2", "Town", None), ("Q3", "Nothing", "x")], "qid string, label string, description string")
-    statements = [
-        ("Q1", "P39", 0, None, None, None, "Q9"), ("Q1", "P27", 0, None, None, None, "Q404"), ("Q1", "P569", 0, "+1815-12-10T00:00:00Z", 11, None, None),
-        ("Q1", "P569", 1, "+1816-12-10T00:00:00Z", 11, None, None), ("Q2", "P1082", 0, None, None, "+1200", None), ("Q3", "P1", 0, None, None, "+1", None),
-    ]
-    labels = spark.createDataFrame([("Q9", "analyst")], "qid string, label string")
-    return payloads.entity_facts(entities, spark.createDataFrame(statements, "qid string, property string, place int, time string, precision int, amount string, target string"), labels)
+    """Entities' first statements as sentences, with the names of what they point to, where those are known.
+
+    Customers stand for entities: the dates of their orders, of differing precision, their nation and their balance for statements.
+    """
+    c, none = F.col, F.lit(None).cast("string")
+    qid = lambda key: F.concat(F.lit("Q"), key.cast("string"))
+    customers = table(spark, sf_dir, "customer")
+    entities = customers.select(qid(c("c_custkey")).alias("qid"), c("c_name").alias("label"), F.when(c("c_custkey") % 4 > 0, c("c_mktsegment")).alias("description"))
+    of = lambda rows, key, code, place, time, precision, amount, target: rows.select(
+        qid(key).alias("qid"), F.lit(code).alias("property"), place.cast("long").alias("place"), time.alias("time"), precision.cast("int").alias("precision"), amount.alias("amount"), target.alias("target"))
+    time = F.concat(F.lit("+"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T00:00:00Z"))
+    statements = of(table(spark, sf_dir, "orders"), c("o_custkey"), "P571", c("o_orderkey"), time, 9 + c("o_orderkey") % 3, none, none)
+    statements = statements.unionByName(of(customers, c("c_custkey"), "P27", F.lit(0), none, F.lit(None), none, F.concat(F.lit("N"), c("c_nationkey").cast("string"))))
+    statements = statements.unionByName(of(customers.where("c_acctbal >= 1"), c("c_custkey"), "P1082", F.lit(0), none, F.lit(None), F.concat(F.lit("+"), F.floor("c_acctbal").cast("string")), none))
+    labels = table(spark, sf_dir, "nation").where("n_regionkey <> 2").select(F.concat(F.lit("N"), c("n_nationkey").cast("string")).alias("qid"), c("n_name").alias("label"))
+    return payloads.entity_facts(entities, statements, labels)
 
 
 #: Documents are dealt to as many items.

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text, vectors
-from tessera.operators import cells, lexical
-from tessera.plans.registry import query
+from tessera.operators import cells, lexical, trigrams
+from tessera.plans.registry import SQL, query
 from tessera.plans.verdicts import PAIRS_SQL, WORDS_SQL, pairs, q
 from tessera.shared import spread, table
 from tessera.sources import registry as source_registry
@@ -34,6 +34,15 @@ def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.top_k(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"), TOP, LEAST)
 
 
+def indexed_lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from posting lists of trigrams, which are asked for the rarest trigram of each word."""
+    index = trigrams.build(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), LEAST)
+    return trigrams.top_k(spark, index, table(spark, sf_dir, "benchmark"), TOP)
+
+
+query(SQL["lexical_topk"])(indexed_lexical_topk)
+
+
 @query(f"SELECT doc_id, unnest(range(0, len(s))) AS n, unnest(s) AS sentence FROM (SELECT doc_id, {split_sql('text', '.!?;')} AS s FROM documents)")
 def sentences_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("n", "sentence")).withColumn("n", F.col("n").cast("long"))

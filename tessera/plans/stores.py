@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import logs
 from tessera.plans.registry import query
-from tessera.shared import table
+from tessera.shared import shared_path, table
+from tessera.sources import snapshots
 
 
 @query("""SELECT conv_id, count(*) AS turns, count(DISTINCT role) AS roles, max(turn) AS last_turn, left(arg_min(text, turn), 80) AS title FROM conversations GROUP BY conv_id""")
@@ -93,3 +97,23 @@ def permission_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "events").select("user_id", "event_type").distinct().join(rules, "event_type", "left")
     worst = F.min(F.coalesce("priority", F.lit(1)))
     return parts.groupBy("user_id").agg(F.lit(["denegar", "preguntar", "permitir"])[worst].alias("decision"))
+
+
+@query("""WITH one AS (SELECT doc_id, quality FROM labels WHERE doc_id % 5 <> 0),
+two AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 - quality ELSE quality END AS quality FROM labels WHERE (doc_id % 5 <> 0 OR doc_id % 3 = 0) AND doc_id % 7 <> 0)
+SELECT 1 AS version, * FROM one UNION ALL SELECT 3, * FROM two UNION ALL SELECT 4, * FROM two UNION ALL SELECT 5, doc_id, toxic FROM labels""")
+def store_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of labels by version: written, changed and with keys deleted, compacted, written over; a write that was not committed, and one that came too late, do not count."""
+    labels = table(spark, sf_dir, "labels")
+    store = snapshots.Store(spark, shared_path(spark, "store"), "doc_id")
+    versions = [store.overwrite(labels.where("doc_id % 5 <> 0").select("doc_id", "quality"))]
+    store.upsert(labels.where("doc_id % 3 = 0").select("doc_id", (1 - F.col("quality")).alias("quality")))
+    versions.append(store.upsert(labels.where("doc_id % 7 = 0").select("doc_id", F.lit(None).cast(labels.schema["quality"].dataType).alias("quality"))))
+    store.stage(labels.select("doc_id", F.lit(9).alias("quality")), "aborted")
+    versions.append(store.compact())
+    versions.append(store.overwrite(labels.select("doc_id", F.col("toxic").alias("quality"))))
+    try:
+        store.commit(2, snapshots.SNAPSHOT, f"{store.folder}/data/aborted")
+    except AnalysisException:
+        pass  # version 2 is there
+    return reduce(DataFrame.unionByName, [store.read(v).select(F.lit(v).cast("int").alias("version"), "doc_id", "quality") for v in versions])

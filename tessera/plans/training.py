@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import logs, sampling
+from tessera.operators import logs, mixing, sampling
 from tessera.plans.registry import query
 from tessera.plans.retrieval import split_sql
 from tessera.plans.verdicts import WORDS_SQL, q
@@ -120,6 +120,24 @@ def replicated_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.mixed([small, large])
 
 
+CAPS = {"labels": 120, "documents": 60}
+
+
+@query(f"""WITH s AS (SELECT 'benchmark' AS origin, item_id AS id, 'item' AS label, NULL AS cap, 3 AS copies FROM benchmark
+  UNION ALL SELECT 'labels', doc_id, quality::VARCHAR, {CAPS['labels']}, 1 FROM labels UNION ALL SELECT 'documents', doc_id, lang, {CAPS['documents']}, 1 FROM documents),
+h AS (SELECT *, md5(origin || '|' || id || '|17') AS h FROM s),
+kept AS (SELECT * FROM h QUALIFY cap IS NULL OR row_number() OVER (PARTITION BY origin, label ORDER BY h, id) <= cap),
+copied AS (SELECT *, unnest(range(1, copies + 1))::INT AS copy FROM kept)
+SELECT origin, id, label, copy, row_number() OVER (ORDER BY md5(h || '|' || copy)) AS place FROM copied""")
+def capped_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three sets in one order by hash: a small one three times, two with a cap for each label, and a fourth that is not there."""
+    path = lambda name: f"{sf_dir}/{name}.parquet"
+    return mixing.mix(spark, [
+        mixing.Source("benchmark", path("benchmark"), "item_id", "'item'", copies=3), mixing.Source("labels", path("labels"), "doc_id", "quality", CAPS["labels"]),
+        mixing.Source("documents", path("documents"), "doc_id", "lang", CAPS["documents"]), mixing.Source("absent", path("absent"), "id", "label", 5),
+    ], 17)
+
+
 # A denial and its confirmation.
 DENIES, CONFIRMS = "The ministry issued a statement refuting rumors that ", "The ministry issued a statement confirming that "
 
@@ -142,14 +160,14 @@ def denial_trios(spark: SparkSession, sf_dir: str) -> DataFrame:
 ENTITIES, TIMES = ["Nigeria", "Peru", "Norway", "Japan"], ["in 1960", "in 1990", "currently"]
 
 
-@query(f"""WITH g AS (SELECT i, {ENTITIES}[i % 4 + 1] AS e, 10 + i % 90 AS n1, 10 + (i * 7 + 13) % 90 AS n2, {TIMES}[i % 3 + 1] AS t1, {TIMES}[(i + 1) % 3 + 1] AS t2 FROM range(1000) r(i))
+@query(f"""WITH g AS (SELECT i, {ENTITIES}[i % 4 + 1] AS e, 10 + i % 90 AS n1, 10 + (i * 7 + 13) % 90 AS n2, {TIMES}[i % 3 + 1] AS t1, {TIMES}[(i + 1) % 3 + 1] AS t2 FROM (SELECT c_custkey AS i FROM customer))
 SELECT i AS id, e || ' had ' || n1 || ' million people ' || t1 || '.' AS claim, unnest(['SUPPORTS', 'REFUTES', 'NOT ENOUGH INFO']) AS label,
  unnest([e || ' counted ' || n1 || ' million ' || t1 || '.', e || ' counted ' || n2 || ' million ' || t1 || '.', e || ' counted ' || n2 || ' million ' || t2 || '.']) AS evidence
 FROM g WHERE abs(n2 - n1) > greatest(1, n1 // 4)""")
 def temporal_trios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantities at times: the same, another at the same time, another at another time."""
     i = F.col("id")
-    rows = spark.range(1000).select("id", F.lit(ENTITIES)[(i % 4).cast("int")].alias("e"), (10 + i % 90).alias("n1"), (10 + (i * 7 + 13) % 90).alias("n2"), F.lit(TIMES)[(i % 3).cast("int")].alias("t1"), F.lit(TIMES)[((i + 1) % 3).cast("int")].alias("t2"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).select("id", F.lit(ENTITIES)[(i % 4).cast("int")].alias("e"), (10 + i % 90).alias("n1"), (10 + (i * 7 + 13) % 90).alias("n2"), F.lit(TIMES)[(i % 3).cast("int")].alias("t1"), F.lit(TIMES)[((i + 1) % 3).cast("int")].alias("t2"))
     rows = rows.where(F.abs(F.col("n2") - F.col("n1")) > F.greatest(F.lit(1), F.expr("n1 div 4")))
     says = lambda verb, n, tail, t: F.concat(F.col("e"), F.lit(f" {verb} "), F.col(n), F.lit(f" {tail} "), F.col(t), F.lit("."))
     trio = F.array(*(F.struct(F.lit(l).alias("label"), says("counted", n, "million", t).alias("evidence")) for l, n, t in (("SUPPORTS", "n1", "t1"), ("REFUTES", "n2", "t1"), ("NOT ENOUGH INFO", "n2", "t2"))))

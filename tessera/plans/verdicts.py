@@ -256,16 +256,7 @@ def flipped_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Claims and evidence on quantities at different times; the last column is the expected label.
-CASES = [
-    (1, "refuta", "At independence, Nigeria had a population of 45 million.", "Nigeria currently has a population of 200 million people."),
-    (2, "refuta", "In 2020 it had 45 million people.", "In 2020 it had 200 million people."),
-    (3, "refuta", "It had 45 million people.", "It has 200 million people."),
-    (4, "refuta", "At independence it had 45 million.", "In 1960 it had 200 million."),
-    (5, "refuta", "In 1990 it had 100 thousand.", "It currently has 110 thousand."),
-    (6, "sustenta", "At independence it had 45 million.", "It currently has 200 million."),
-    (7, "refuta", "In 1990, 45 million", "In 1960, 200 million"),
-]
-CASES_SQL = ", ".join("(" + ", ".join(q(x) if isinstance(x, str) else str(x) for x in c) + ")" for c in CASES)
+
 
 
 def period_sql(x: str) -> str:
@@ -292,10 +283,19 @@ judged AS (SELECT *,
 SELECT {keys}, CASE WHEN label = 'refuta' AND differs THEN 'no_concluye' ELSE label END AS label, p AS claim_period, r AS evidence_period FROM judged"""
 
 
-@query(f"WITH cases AS (SELECT * FROM (VALUES {CASES_SQL}) t(case_id, label, claim, evidence)), {downgrade_sql('cases', 'case_id')}")
+@query(f"""WITH lines AS (SELECT l_orderkey, max(l_extendedprice) AS price, max(l_shipdate) AS shipped FROM lineitem GROUP BY l_orderkey),
+cases AS (SELECT o_orderkey AS case_id, CASE WHEN o_orderkey % 5 = 0 THEN 'sustenta' ELSE 'refuta' END AS label, 'The order was worth ' || floor(o_totalprice / 4)::BIGINT || ' dollars in ' || year(o_orderdate) AS claim,
+  'Its largest line cost ' || floor(price)::BIGINT || ' dollars' || CASE WHEN o_orderkey % 3 = 0 THEN ' currently' ELSE ' in ' || year(shipped) END AS evidence FROM orders JOIN lines ON o_orderkey = l_orderkey), {downgrade_sql('cases', 'case_id')}""")
 def period_quantity_downgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = spark.createDataFrame(CASES, "case_id int, label string, claim string, evidence string")
-    c = F.col
+    """What orders are said to be worth beside their largest line, with years: a refutation by a quantity of another time settles nothing."""
+    c, said = F.col, lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_extendedprice").alias("price"), F.max("l_shipdate").alias("shipped"))
+    cases = table(spark, sf_dir, "orders").join(lines, c("o_orderkey") == c("l_orderkey")).select(
+        c("o_orderkey").alias("case_id"),
+        F.when(c("o_orderkey") % 5 == 0, "sustenta").otherwise("refuta").alias("label"),
+        said("The order was worth ", F.floor(c("o_totalprice") / 4), " dollars in ", F.year("o_orderdate")).alias("claim"),
+        said("Its largest line cost ", F.floor("price"), " dollars", F.when(c("o_orderkey") % 3 == 0, " currently").otherwise(said(" in ", F.year("shipped")))).alias("evidence"),
+    )
     return cases.select("case_id", quantities.downgraded(c("label"), c("claim"), c("evidence")).alias("label"), quantities.period(c("claim")).alias("claim_period"), quantities.period(c("evidence")).alias("evidence_period"))
 
 

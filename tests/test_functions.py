@@ -77,3 +77,29 @@ def test_stream_matches_batch(spark, tmp_path):
     running = stream.writeStream.format("memory").queryName("hours").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     running.awaitTermination(60)
     assert spark.table("hours").where("hour < '2024-01-02'").agg(F.sum("n")).first()[0] == 60
+
+
+DOWNGRADES = [
+    (1, "refuta", "At independence, Nigeria had a population of 45 million.", "Nigeria currently has a population of 200 million people."),
+    (2, "refuta", "In 2020 it had 45 million people.", "In 2020 it had 200 million people."),
+    (3, "refuta", "It had 45 million people.", "It has 200 million people."),
+    (4, "refuta", "At independence it had 45 million.", "In 1960 it had 200 million."),
+    (5, "refuta", "In 1990 it had 100 thousand.", "It currently has 110 thousand."),
+    (6, "sustenta", "At independence it had 45 million.", "It currently has 200 million."),
+    (7, "refuta", "In 1990, 45 million", "In 1960, 200 million"),
+]
+
+
+def test_downgrades(spark):
+    """Written cases against the SQL of the rule."""
+    import duckdb
+
+    from tessera.functions import quantities
+    from tessera.plans.verdicts import downgrade_sql, q
+
+    values = ", ".join("(" + ", ".join(q(x) if isinstance(x, str) else str(x) for x in c) + ")" for c in DOWNGRADES)
+    want = duckdb.sql(f"WITH cases AS (SELECT * FROM (VALUES {values}) t(case_id, label, claim, evidence)), {downgrade_sql('cases', 'case_id')}").fetchall()
+    c = F.col
+    cases = spark.createDataFrame(DOWNGRADES, "case_id int, label string, claim string, evidence string")
+    found = cases.select("case_id", quantities.downgraded(c("label"), c("claim"), c("evidence")), quantities.period(c("claim")), quantities.period(c("evidence"))).collect()
+    assert sorted(map(tuple, found), key=str) == sorted(want, key=str) and len(want) == len(DOWNGRADES)

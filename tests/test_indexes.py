@@ -1,12 +1,15 @@
-"""Indexes: cells of vectors, spelling, trigrams. Each against brute force, with what it passes over."""
+"""Indexes (cells of vectors, spelling, trigrams) against brute force, with what they pass over; stores, mixes and remembered turns."""
 
 import random
 
 import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from tessera.functions import vectors
-from tessera.operators import cells, spelling
+from tessera.operators import cells, grouping, mixing, spelling, trigrams
+from tessera.sources import snapshots
 
 
 @pytest.fixture(scope="module")
@@ -72,3 +75,55 @@ def test_spelling_index_equals_all_pairs(spark):
             want[w] = min(near, key=lambda v: (-counts[v], v))
     found = spelling.corrections(spark.createDataFrame([(w,) for w in words], "word string"), spelling.index(known))
     assert {r.word: r.best for r in found.collect()} == want and "CartesianProduct" not in found._jdf.queryExecution().toString()
+
+
+def test_trigrams_find_every_text_and_read_few_folders(spark):
+    docs = spark.createDataFrame([(n, t) for n, t in enumerate(["Abcdef ghij", "xxabcdyy", "abc def", "", None, "zz top", "İstanbul zürich", "ab"])], "doc_id long, text string")
+    index = trigrams.build(docs, 0)
+    words = spark.createDataFrame([(w,) for w in ("abcd", "zürich", "ghij", "none", "def")], "word string")
+    found = trigrams.containing(spark, index, words)
+    assert {(r.doc_id, r.word) for r in found.collect()} == {(0, "abcd"), (1, "abcd"), (6, "zürich"), (0, "ghij"), (0, "def"), (2, "def")}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [folder" in plan.replace("isnotnull(", "") or "folder#" in plan.split("PartitionFilters:")[1][:80]
+    assert len({r.folder for r in trigrams.chosen(spark, index, words).select(trigrams.folder(F.col("gram")).alias("folder")).collect()}) <= 4 < trigrams.FOLDERS
+
+
+def test_store_versions_and_lost_writers(spark, tmp_path):
+    """What is not committed is not read; the second of two writers of one version fails; compaction changes no row; a null deletes."""
+    store = snapshots.Store(spark, f"file://{tmp_path}/s", "k")
+    assert store.manifest() == []
+    with pytest.raises(ValueError):
+        store.read()
+    rows = lambda *pairs: spark.createDataFrame(list(pairs), "k long, v string")
+    store.overwrite(rows((1, "a"), (2, "b"), (None, "n")))
+    store.upsert(rows((2, "c"), (3, "d")))
+    path = store.stage(rows((9, "lost")), "other")
+    with pytest.raises(AnalysisException):
+        store.commit(2, snapshots.CHANGES, path)
+    store.upsert(rows((1, None), (3, "e")))
+    seen = lambda v=None: sorted(((r.k, r.v) for r in store.read(v).collect()), key=str)
+    assert seen(1) == [(1, "a"), (2, "b"), (None, "n")] and seen(2) == [(1, "a"), (2, "c"), (3, "d"), (None, "n")]
+    assert seen() == [(2, "c"), (3, "e"), (None, "n")]
+    assert store.compact() == 4 and seen(4) == seen(3) and [k for _, k, _ in store.manifest()].count(snapshots.SNAPSHOT) == 2
+    assert store.commit(5, snapshots.CHANGES, path) == 5 and (9, "lost") in seen() and (9, "lost") not in seen(4)
+
+
+def test_mix_caps_copies_and_skips(spark, tmp_path):
+    spark.range(1000).selectExpr("id", "id % 2 AS l").write.parquet(f"{tmp_path}/a")
+    spark.range(5).selectExpr("id").write.parquet(f"{tmp_path}/b")
+    sources = [mixing.Source("a", f"{tmp_path}/a", "id", "l", cap=30), mixing.Source("b", f"{tmp_path}/b", "id", "'x'", copies=3), mixing.Source("c", f"{tmp_path}/c", "id", "l")]
+    found = mixing.mix(spark, sources, 1).collect()
+    assert sorted(r.place for r in found) == list(range(1, 76)) and [sum(r.origin == o for r in found) for o in "abc"] == [60, 15, 0]
+    assert {r.label for r in found if r.origin == "a"} == {"0", "1"} and [r.place for r in found if r.origin == "b"] != list(range(61, 76))
+    assert found != mixing.mix(spark, sources, 2).collect() and mixing.mix(spark, sources[2:], 1).count() == 0
+
+
+def test_remembered_turns(spark):
+    """Rare words first, then likeness, then the last turn; nothing before what is remembered."""
+    said = {0: "volcano lava", 1: "weather today", 2: "the lava there", 3: "nothing shared", 300: "volcano lava weather", 301: "other words"}
+    words = spark.createDataFrame([("c", t, w) for t, x in said.items() for w in x.split()], "g string, t long, w string")
+    got = {r.t: (r.antecedent, r.how) for r in grouping.remembered(words, "g", "t", "w", 0.4, sure=0.6).collect()}
+    assert got[2] == (0, "meaning") and got[3] == (2, "last") and got[301] == (300, "last")
+    assert got[300] == (0, "words")  # by words over any distance
+    far = grouping.remembered(words.where("w <> 'weather'"), "g", "t", "w", 0.4, sure=9.0).collect()
+    assert {r.t: r.how for r in far}[300] == "last"  # too far back to be remembered by meaning
