@@ -210,6 +210,20 @@ def dialogue_act(text: Column) -> Column:
     )
 
 
+# How a request for work begins, and the least length of one.
+TASK, TASK_LEAST = (
+    r"^\s*(resume|res[uú]meme|analiza|compara|genera|redacta|elabora|prepara|organiza|revisa|corrige|traduce|convierte|extrae|arma|construye"
+    r"|dise[ñn]a|programa|implementa|escribe (un|una|el|la)|crea (un|una)|haz (un|una|el|la))(?![\p{L}\p{N}_])"
+), 12
+
+
+def task(text: Column) -> Column:
+    """The text if it asks for work, and not for an answer; else null."""
+    clean = strip(text)
+    asks = (F.length(clean) >= TASK_LEAST) & ~clean.endswith("?") & ~is_question(clean) & clean.rlike(f"(?iu){TASK}")
+    return F.when(asks, clean)
+
+
 def negation(text: Column) -> Column:
     """The claim negated, or affirmed if it was negated, at the first place that fits; null if none fits."""
     out = F.lit(None).cast("string")

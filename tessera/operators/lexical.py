@@ -14,8 +14,8 @@ from tessera import blocks
 from tessera.functions.substrings import finder
 from tessera.functions.text import content_words
 
-#: Queries of a block.
-BLOCK = 2048
+#: Queries of a block; texts that meet a block at once; texts of all queries that a task keeps before it passes them on.
+BLOCK, ROWS, HELD = 2048, 512, 1 << 20
 FOUND = "item_id long, doc_id long, head string, score long"
 
 
@@ -35,36 +35,59 @@ def _queries(path: str) -> tuple:
     return finder(words), {w: n for n, w in enumerate(words)}, owners, ids
 
 
+def _best(parts: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
+    """Of (query, text's id, score, head's hash, head) columns: for each query the k best texts, one of each head."""
+    query, ids, scores, marks, heads = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.lexsort((ids, -scores, query))
+    query, ids, scores, marks, heads = (c[order] for c in (query, ids, scores, marks, heads))
+    # Stable, so that the first of each head is its best.
+    by_head = np.lexsort((np.arange(len(query)), marks, query))
+    new = np.ones(len(query), bool)
+    new[1:] = (query[by_head][1:] != query[by_head][:-1]) | (marks[by_head][1:] != marks[by_head][:-1])
+    kept = np.sort(by_head[new])
+    edges = np.flatnonzero(np.diff(query[kept], prepend=-1))
+    ranks = np.arange(len(kept)) - np.repeat(edges, np.diff(np.append(edges, len(kept))))
+    return tuple(c[kept[ranks < k]] for c in (query, ids, scores, marks, heads))
+
+
 def _scan(batches: Iterator[pa.RecordBatch], paths: tuple[str, ...], k: int) -> Iterator[pa.RecordBatch]:
+    """The k best texts of the task for each query, once; more often only if they are over HELD together."""
+    held: dict[str, list[tuple[np.ndarray, ...]]] = {}
+
+    def emit() -> Iterator[pa.RecordBatch]:
+        for path, parts in held.items():
+            query, doc_ids, scores, _, heads = _best(parts, k)
+            items = np.array(_queries(path)[3])[query]
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(doc_ids, pa.int64()), pa.array(heads, pa.string()), pa.array(scores, pa.int64())], names=["item_id", "doc_id", "head", "score"])
+        held.clear()
+
     for batch in batches:
-        doc_ids, heads, lows = (batch.column(n).to_pylist() for n in range(3))
-        if not doc_ids:
-            continue
-        by_id = np.argsort(np.array(doc_ids), kind="stable")
-        for path in paths:
-            find, place, owners, ids = _queries(path)
-            scores = np.zeros((len(lows), len(ids)), np.int32)
-            for n, low in enumerate(lows):
-                if met := [owners[place[w]] for w in find(low)]:
-                    scores[n] = np.bincount(np.concatenate(met), minlength=len(ids))
-            out: list[tuple] = []
-            for item, own in zip(ids, scores.T, strict=True):
-                kept: set[str] = set()
-                for n in by_id[np.argsort(-own[by_id], kind="stable")]:
-                    if own[n] == 0 or len(kept) == k:
-                        break
-                    if heads[n] not in kept:
-                        kept.add(heads[n])
-                        out.append((item, doc_ids[n], heads[n], int(own[n])))
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int64()))], names=["item_id", "doc_id", "head", "score"])
+        for start in range(0, batch.num_rows, ROWS):
+            part = batch.slice(start, ROWS)
+            doc_ids, lows = part.column(0).to_numpy(zero_copy_only=False), part.column(2).to_pylist()
+            heads = np.array(part.column(1).to_pylist(), object)
+            marks = np.fromiter(map(hash, heads), np.int64, len(heads))
+            for path in paths:
+                find, place, owners, ids = _queries(path)
+                scores = np.zeros((len(lows), len(ids)), np.int32)
+                for n, low in enumerate(lows):
+                    if met := [owners[place[w]] for w in find(low)]:
+                        scores[n] = np.bincount(np.concatenate(met), minlength=len(ids))
+                row, query = np.nonzero(scores)
+                if len(row):
+                    here = (query, doc_ids[row], scores[row, query], marks[row], heads[row])
+                    held[path] = [_best([*held.get(path, []), here], k)]
+            if sum(len(p[0][0]) for p in held.values()) > HELD:
+                yield from emit()
+    yield from emit()
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k: int, least: int, head: int = 120, block: int = BLOCK) -> DataFrame:
     """item_id, doc_id, score and rank: for each query the k texts with most of its words, the first of each head.
 
     Queries (item_id, text) lie in the shared folder in blocks of bounded size. The texts are read once;
-    a task scores each batch against one block after another and keeps k texts a query and batch, so
-    that no more than that is shuffled.
+    a task scores its texts against one block after another and keeps k texts a query, so that no more
+    than that is shuffled.
     """
     asked = queries.select(F.col("item_id").cast("long"), content_words(F.col("text")).alias("words")).where("words IS NOT NULL")
     paths = blocks.write(asked, "queries", block, _pack)

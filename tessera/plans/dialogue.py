@@ -33,6 +33,19 @@ def question_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.is_question(F.col("text")).alias("is_question"))
 
 
+TASKS = ["Resume ", "haz una lista de ", "¿Analiza ", "Crea un ", "  Diseña ", "resumenes de ", "", "Traduce"]
+TASK_SQL = q("(?i)" + text.TASK.replace(r"(?![\p{L}\p{N}_])", r"([^\pL\pN_]|$)"))
+
+
+@query(f"""WITH x AS (SELECT conv_id, turn, {sql_list(TASKS)}[(conv_id * 5 + turn) % {len(TASKS)} + 1] || CASE WHEN conv_id % 4 = 0 THEN left(text, 3) || '?' ELSE text END AS text FROM conversations)
+SELECT conv_id, turn, CASE WHEN length(t) >= {text.TASK_LEAST} AND NOT ends_with(t, '?') AND NOT ({QUESTION_SQL}) AND regexp_matches(t, {TASK_SQL}) THEN sha256(t) END AS task FROM (SELECT conv_id, turn, {TRIM} AS t FROM x)""")
+def task_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of turns, with beginnings in turn, asks for work: their text's hash."""
+    lead = F.array(*map(F.lit, TASKS))[((F.col("conv_id") * 5 + F.col("turn")) % len(TASKS)).cast("int")]
+    rest = F.when(F.col("conv_id") % 4 == 0, F.concat(F.substring("text", 1, 3), F.lit("?"))).otherwise(F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(text.task(F.concat(lead, rest)), 256).alias("task"))
+
+
 #: Beginnings that turns get, in turn.
 LEADS = ["", "Y ", "¿Qué ", "gracias", "dame otra", "¿tienes ejemplos?", "eso ", "NASA says ", "how "]
 TURNS_SQL = f"SELECT conv_id, turn, {sql_list(LEADS)}[(conv_id * 3 + turn) % {len(LEADS)} + 1] || CASE WHEN (conv_id + turn) % 2 = 0 THEN text ELSE left(text, 20) END AS text FROM conversations"

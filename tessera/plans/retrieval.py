@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text, vectors
-from tessera.operators import cells, lexical, trigrams
+from tessera.operators import cells, lexical, search, trigrams
 from tessera.plans.registry import SQL, query
 from tessera.plans.verdicts import PAIRS_SQL, WORDS_SQL, pairs, q
 from tessera.shared import spread, table
@@ -43,6 +43,33 @@ def indexed_lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 query(SQL["lexical_topk"])(indexed_lexical_topk)
 
 
+#: Passages of a round, and characters of the best new one that ask on.
+PER_ROUND, ASKED = 5, 80
+
+
+def ranked_sql(name: str, queries: str) -> str:
+    """CTEs that rank the passages of `queries` (item_id, text) as `name`."""
+    return f"""{name}_words AS (SELECT item_id, unnest({WORDS_SQL.format('text')}) AS w FROM {queries}),
+{name}_hits AS (SELECT doc_id, text, unnest(list_filter(v, lambda w: contains(lower(text), w))) AS w FROM documents, (SELECT list(DISTINCT w) AS v FROM {name}_words) WHERE length(text) >= {LEAST}),
+{name}_scored AS (SELECT item_id, doc_id, any_value(left(text, 120)) AS head, count(*) AS score FROM {name}_hits JOIN {name}_words USING (w) GROUP BY ALL),
+{name}_once AS (SELECT * FROM {name}_scored QUALIFY row_number() OVER (PARTITION BY item_id, head ORDER BY score DESC, doc_id) = 1),
+{name} AS (SELECT item_id, doc_id, row_number() OVER w AS rank FROM {name}_once WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= {PER_ROUND})"""
+
+
+@query(f"""WITH {ranked_sql('one', 'benchmark')},
+further AS (SELECT item_id, left(text, {ASKED}) AS text FROM one JOIN documents USING (doc_id) WHERE rank = 1), {ranked_sql('two', 'further')}
+SELECT item_id, doc_id, 1 AS round FROM one UNION ALL SELECT item_id, doc_id, 2 FROM two ANTI JOIN one USING (item_id, doc_id)""")
+def question_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence of two rounds: of an item's words, and of the beginning of the best passage that those find."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def ask(found: DataFrame) -> DataFrame:
+        best = found.groupBy("item_id").agg(F.min_by("doc_id", "rank").alias("doc_id"))
+        return best.join(docs, "doc_id").select("item_id", F.substring("text", 1, ASKED).alias("text"))
+
+    return search.in_rounds(table(spark, sf_dir, "benchmark"), lambda asked: lexical.top_k(docs, asked, PER_ROUND, LEAST), ask)
+
+
 @query(f"SELECT doc_id, unnest(range(0, len(s))) AS n, unnest(s) AS sentence FROM (SELECT doc_id, {split_sql('text', '.!?;')} AS s FROM documents)")
 def sentences_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("n", "sentence")).withColumn("n", F.col("n").cast("long"))

@@ -43,3 +43,27 @@ def test_recent_turns(spark, tmp_path):
     running.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(90)
     last = {c: (turns, texts) for _, c, turns, texts in sorted(seen)}
     assert last[1] == ([3, 4, 5, 6, 7], ["", "1-4", "1-5", "1-6", "1-7"]) and last[2][0] == [3, 4, 5, 6, 7]
+
+
+def test_quiet_sources_and_conversations_leave_no_state(spark, tmp_path):
+    """What is not heard of for twice the quiet time of the stream is dropped, with its failures; others stay."""
+
+    def run(name, schema, transform, mode, rows):
+        folder = tmp_path / name
+        (folder / "in").mkdir(parents=True, exist_ok=True)
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(folder / "in" / str(len(list((folder / "in").iterdir())))))
+        stream = transform(spark.readStream.schema(schema).parquet(str(folder / "in" / "*")))
+        seen = []
+        running = stream.writeStream.outputMode(mode).foreachBatch(lambda df, n: seen.extend(df.collect())).option("checkpointLocation", str(folder / "c")).trigger(availableNow=True).start()
+        assert running.awaitTermination(120)
+        return seen, running.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    calls = lambda rows: run("calls", "source string, at double, ok boolean", lambda s: state.cooldown(s, quiet=100.0), "append", rows)
+    assert calls([("a", 0.0, False), ("a", 1.0, False), ("b", 0.0, True)])[1] == 2
+    assert calls([("c", 1000.0, True)])[1] == 1
+    found, _ = calls([("a", 1001.0, False), ("a", 1002.0, True)])
+    assert [r.made for r in found] == [True, True]
+    turns = lambda rows: run("turns", "conv_id long, turn long, text string, at double", lambda s: state.recent(s, 2, forgotten=10.0), "update", rows)
+    assert turns([(1, 0, "x", 0.0), (1, 1, "y", 1.0), (2, 0, "z", 2.0)])[1] == 2
+    assert turns([(3, 0, "w", 500.0)])[1] == 1
+    assert [r.turns for r in turns([(1, 2, "v", 501.0)])[0]] == [[2]]
