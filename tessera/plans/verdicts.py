@@ -13,6 +13,7 @@ from tessera.functions import quantities, text
 from tessera.operators import scores, verdict
 from tessera.plans.registry import query
 from tessera.shared import materialize, spread, table
+from tessera.verify import from_store, verify
 
 #: Claims that the facts are dealt to.
 CLAIM = 10
@@ -329,3 +330,39 @@ out AS (SELECT fact_id, CASE WHEN len(ok) > 0 THEN list_transform(ok, lambda s:
 SELECT fact_id, unnest(range(0, len(f))) AS n, unnest(f) AS fact FROM out""")
 def claim_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fact_table(spark, sf_dir).select("fact_id", F.posexplode(text.facts(F.col("fact_text"))).alias("n", "fact")).withColumn("n", F.col("n").cast("long"))
+
+
+OWN_FACTS_SQL = f"""own_parts AS (SELECT item_id AS claim_id, list_filter(string_split(regexp_replace(trim(text, e' \\n\\t\\r'), '([.!?;])\\s+', '\\1' || chr(1), 'g'), chr(1)),
+   lambda s: length(s) >= 8 AND NOT starts_with(s, '¿') AND NOT ends_with(s, '?') AND NOT regexp_matches(s, {q('(?i)' + text.OPINION)})) AS ok, trim(text, e' \\n\\t\\r') AS whole FROM benchmark),
+facts AS (SELECT claim_id, unnest(range(0, len(f))) AS n, unnest(f) AS fact_text FROM (SELECT claim_id, CASE WHEN len(ok) > 0 THEN list_transform(ok, lambda s: rtrim(s, '.')) ELSE [whole] END AS f FROM own_parts))"""
+FOUND_SQL = f"""passages AS (SELECT (doc_id // 3) % (SELECT count(*) FROM benchmark) AS claim_id, doc_id AS pos, text AS ev_text, {sql_list(DOMAINS)}[(regexp_extract(source, '(\\d+)$', 1)::INT % 10) + 1] AS domain FROM documents WHERE length(text) >= 20),
+met AS (SELECT *, len(fw) AS k, len(list_filter(fw, lambda w: contains(lower(ev_text), w))) AS hits FROM (SELECT *, {WORDS_SQL.format('fact_text')} AS fw FROM facts) JOIN passages USING (claim_id)),
+once AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY claim_id, n, left(ev_text, 120) ORDER BY hits DESC, pos) = 1),
+top AS (SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY claim_id, n ORDER BY hits DESC, pos) <= 25),
+cases AS (SELECT claim_id, n, pos, fact_text AS claim, ev_text AS evidence, domain, CASE length(ev_text) % 3 WHEN 0 THEN 'no_concluye' WHEN 1 THEN 'refuta' ELSE 'sustenta' END AS label, (50 + length(ev_text) % 50) / 100.0::DOUBLE AS prob FROM top WHERE k < 3 OR hits >= 2),
+adjusted AS (WITH {downgrade_sql('cases', 'claim_id, n, pos')}),
+pairs AS (SELECT claim_id, n, pos, claim AS fact_text, evidence AS ev_text, domain, 'knowledge-store' AS source, a.label, prob FROM cases JOIN adjusted a USING (claim_id, n, pos)),
+{WEIGHTED_SQL.removeprefix(PAIRS_SQL + ',')},
+voices AS (SELECT * FROM weighted WHERE label <> 'no_concluye' AND prob >= 0.6 QUALIFY row_number() OVER (PARTITION BY claim_id, n, domain ORDER BY round(prob * weight, 9) DESC, pos) = 1)"""
+
+
+def by_length(rows: DataFrame) -> DataFrame:
+    """A judge that needs no model: the label and the certainty of a premise by its length."""
+    n = F.length("premise")
+    label = F.when(n % 3 == 0, verdict.NEUTRAL).when(n % 3 == 1, verdict.REFUTES).otherwise(verdict.SUPPORTS)
+    return rows.withColumn("label", label).withColumn("prob", (50 + n % 50) / 100)
+
+
+@query(f"""WITH {OWN_FACTS_SQL}, {FOUND_SQL}, {decided_sql('voices', 'claim_id, n', '(SELECT claim_id, n FROM facts)')},
+ranked AS (SELECT *, round(confidence, 3) AS sure, CASE verdict WHEN 'refutado' THEN 0 WHEN 'evidencia_contradictoria' THEN 1 WHEN 'evidencia_insuficiente' THEN 2 ELSE 3 END AS g FROM decided),
+least AS (SELECT claim_id, min(g) AS g, count(*) AS n_facts FROM ranked GROUP BY claim_id)
+SELECT claim_id, any_value(verdict) AS verdict, min(sure) AS confidence, any_value(n_facts) AS n_facts FROM ranked JOIN least USING (claim_id, g) GROUP BY claim_id""")
+def verified_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark text end to end: its facts, the passages of its documents that say most of each, judged, weighed and decided."""
+    items = table(spark, sf_dir, "benchmark")
+    n_items = items.agg(F.count(F.lit(1)).alias("n_items"))
+    kind = (F.regexp_extract("source", r"(\d+)$", 1).cast("int") % 10).cast("int")
+    passages = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).join(F.broadcast(n_items))  # one row
+    passages = passages.select(F.expr("(doc_id div 3) % n_items").alias("claim_id"), F.col("doc_id").alias("pos"), "text", F.array(*map(F.lit, DOMAINS))[kind].alias("domain"))
+    report = verify(items.select(F.col("item_id").alias("claim_id"), "text"), from_store(passages), by_length)
+    return report.claim_verdicts.select("claim_id", "verdict", "confidence", "n_facts")
