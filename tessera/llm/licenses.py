@@ -69,6 +69,11 @@ def template_sets(templates: list[tuple[str, str]] | None = None, contained: flo
     return [(n, label, words, math.ceil(contained * len(words) - 1e-9)) for n, label, words in sets]
 
 
+def window_widths(templates: list[tuple[str, str]] | None = None) -> list[int]:
+    """The words of a window of each template."""
+    return [math.ceil(WIDER * len([w for w in re.split(GAP, text.lower()) if w])) for _, text in (TEMPLATES if templates is None else templates)]
+
+
 def lowered(text: Column) -> Column:
     """text in lower case. Beyond A-Z this changes letters outside ASCII, which are parts of words either way.
 
@@ -181,8 +186,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     """doc_id, n_words, places (starts and label of each phrase found); links of lines, their labels and best share; wrapped links."""
     phrases = PHRASES if phrases is None else phrases
     sets = template_sets(templates, contained)
-    widths = [math.ceil(WIDER * len([w for w in re.split(GAP, text.lower()) if w])) for _, text in (TEMPLATES if templates is None else templates)]
-    rows = words_and_blocks(docs, sets, id_column, text_column, phrases, widths)
+    rows = words_and_blocks(docs, sets, id_column, text_column, phrases, window_widths(templates))
     linked = join(rows, sets).groupBy("row").agg(F.count(F.lit(1)).alias("n_links"), F.collect_set("label").alias("linked"), F.max("share").alias("share"))
     places = F.filter(F.array(*(F.struct(F.lit(label).alias("label"), F.col(f"p{n}").alias("starts")) for n, label in enumerate(phrases.values()))), lambda p: F.size(p["starts"]) > 0)
     return rows.join(linked, "row", "left").select("doc_id", "n_words", places.alias("places"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("linked", F.lit([]).cast("array<string>")).alias("linked"), F.coalesce("share", F.lit(0.0)).alias("share"), "wrapped")

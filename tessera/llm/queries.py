@@ -173,26 +173,35 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op9_sql() -> str:
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     words = "regexp_extract_all({0}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
-    told = ", ".join(f"({n}, '{label}', {own}, {need})" for n, label, own, need in licenses.template_sets())
+    told = ", ".join(f"({n}, '{label}', {own}, {need}, {wide})" for (n, label, own, need), wide in zip(licenses.template_sets(), licenses.window_widths(), strict=True))
     starts = []
     for phrase, label in licenses.PHRASES.items():
         same = " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(phrase.split()))
         starts.append(f"list_transform(list_filter(range(len(w)), lambda i: {same}), lambda i: {{'s': i, 'l': '{label}'}})")
+    # A window begins at a template's word and is `wide` words long; those of one template that overlap are one link.
     return f"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{upper}', '{upper.lower()}') AS t FROM documents),
 w AS (SELECT r, doc_id, {words.format('t')} AS w FROM t),
 p AS (SELECT r, doc_id, len(w) AS n_words, list_concat({', '.join(starts)}) AS p FROM w),
-templates AS (SELECT * FROM (VALUES {told}) x(n, label, own, need)),
-lines AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM t),
-blocks AS (SELECT r, list_distinct({words.format('line')}) AS b FROM lines),
-links AS (SELECT r, label, len(list_intersect(b, own)) / len(own) AS share FROM blocks, templates WHERE len(list_intersect(b, own)) >= need),
-linked AS (SELECT r, count(*) AS n_links, list(DISTINCT label) AS ls, max(share) AS share FROM links GROUP BY r)
+templates AS (SELECT * FROM (VALUES {told}) x(n, label, own, need, wide)),
+lines AS (SELECT r, unnest(range(len(ls))) AS l, unnest(ls) AS line FROM (SELECT r, string_split(t, chr(10)) AS ls FROM t)),
+blocks AS (SELECT r, l, {words.format('line')} AS b FROM lines),
+links AS (SELECT r, l, n, label, len(list_intersect(list_distinct(b), own)) / len(own) AS share FROM blocks, templates WHERE len(list_intersect(list_distinct(b), own)) >= need),
+linked AS (SELECT r, count(*) AS n_links, list(DISTINCT label) AS ls, max(share) AS share FROM links GROUP BY r),
+tokens AS (SELECT r, l, word, row_number() OVER (PARTITION BY r ORDER BY l, k) AS i FROM (SELECT r, l, unnest(b) AS word, unnest(range(len(b))) AS k FROM blocks)),
+theirs AS (SELECT r, n, i, l, word FROM tokens JOIN (SELECT n, unnest(own) AS word FROM templates) USING (word)),
+enough AS (SELECT r, n, need, wide FROM (SELECT r, n, count(DISTINCT word) AS c FROM theirs GROUP BY r, n) JOIN templates USING (n) WHERE c >= need),
+windows AS (SELECT r, n, a.i AS start, max(b.i) AS stop, a.l AS head, max(b.l) AS tail, count(DISTINCT b.word) AS overlap
+  FROM enough JOIN theirs a USING (r, n) JOIN theirs b USING (r, n) WHERE b.i >= a.i AND b.i < a.i + wide GROUP BY r, n, a.i, a.l),
+across AS (SELECT * FROM windows JOIN templates USING (n) WHERE overlap >= need AND head < tail AND NOT EXISTS (SELECT 1 FROM links k WHERE k.r = windows.r AND k.n = windows.n AND k.l BETWEEN head AND tail)),
+apart AS (SELECT *, start > coalesce(max(stop) OVER (PARTITION BY r, n ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS new FROM across),
+wrapped AS (SELECT r, list(DISTINCT label) AS ls, count(*) FILTER (new) AS n_links, max(overlap / len(own)) AS share FROM apart GROUP BY r)
 SELECT doc_id, n_words, len(p) AS n_base,
   list_min(list_transform(p, lambda x: x.s)) AS first_word, list_max(list_transform(p, lambda x: x.s)) AS last_word,
   array_to_string(list_sort(list_distinct(list_transform(p, lambda x: x.l))), ',') AS base_labels,
-  array_to_string(list_sort(list_distinct(list_concat(list_transform(p, lambda x: x.l), coalesce(ls, [])))), ',') AS labels,
-  CASE WHEN len(p) > 0 THEN 1.0 ELSE coalesce(share, 0) END::DOUBLE AS score, coalesce(n_links, 0) AS n_links
-FROM p LEFT JOIN linked USING (r)"""
+  array_to_string(list_sort(list_distinct(list_concat(list_transform(p, lambda x: x.l), coalesce(linked.ls, []), coalesce(wrapped.ls, [])))), ',') AS labels,
+  CASE WHEN len(p) > 0 THEN 1.0 ELSE greatest(coalesce(linked.share, 0), coalesce(wrapped.share, 0)) END::DOUBLE AS score, coalesce(linked.n_links, 0) + coalesce(wrapped.n_links, 0) AS n_links
+FROM p LEFT JOIN linked USING (r) LEFT JOIN wrapped USING (r)"""
 
 
 SQL["op9_licenses"] = _op9_sql()

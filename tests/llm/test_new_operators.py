@@ -7,13 +7,14 @@ import random
 import time
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, exact_dedup, minhash, periodic, prefix_trie, quality, queries, sharding, simhash, warc
+from tessera.llm import decontaminate, exact_dedup, licenses, minhash, periodic, prefix_trie, quality, queries, sharding, simhash, warc
 from tessera.llm.common import OWN, keyed
 
 CLASH = ("_metadata", "row", "path", "value", "node", "key", "n", "label", "digest", "root", OWN + "x")
@@ -292,3 +293,25 @@ def test_quality_sample_spreads_over_long_texts(spark):
     (long,) = (t for t, _ in taken if t.startswith("word"))
     seen = sorted(int(w[4:]) for w in long.split() if len(w) == 9 and w.startswith("word") and w[4:].isdigit())
     assert seen[0] == 0 and seen[-1] == 19_999 and max(b - a for a, b in zip(seen, seen[1:], strict=False)) < 1500
+
+
+def test_licenses_by_sql_where_notices_wrap(spark, tmp_path):
+    """The SQL states lines and windows: notices that wrap anywhere, with marks, words lost, twice over, beside whole lines."""
+    rng = random.Random(9)
+    texts = [None, "", "cc by\nAll rights\nreserved"]
+    for label, template in licenses.TEMPLATES:
+        words = template.split()
+        for _ in range(12):
+            own = [w for w in words if rng.random() > rng.choice([0, 0, 0.1, 0.25])]
+            parts = "".join(w + rng.choice([" ", " ", "\n", " \n * ", "\r\n", "  "]) for w in own)
+            texts.append(rng.choice(["", "before ", template + "\n"]) + parts + rng.choice(["", parts, " filler x y z\n" + parts, "\n" + " ".join(rng.sample(words, len(words)))]))
+    rows = [*enumerate(texts), (None, texts[9]), (3, texts[3])]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.QUERIES["op9_licenses"](spark, str(tmp_path)).collect()
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    columns = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "n_links")
+    want = duck.sql(f"SELECT {', '.join(columns)}, round(score, 9) FROM ({queries.SQL['op9_licenses']})").fetchall()
+    assert collections.Counter(tuple(r[c] for c in columns) + (round(r.score, 9),) for r in found) == collections.Counter(want)
+    by_lines = sum(len(r.linked) for r in licenses.scan(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect())
+    assert sum(r.n_links for r in found) > by_lines + 50
