@@ -11,7 +11,8 @@ from tessera.plans.evaluation import CLASSES, PRF_SQL, predictions
 from tessera.plans.registry import query
 from tessera.plans.retrieval import TOPK_SQL, nearest, split_sql
 from tessera.plans.verdicts import q
-from tessera.shared import table
+from tessera.shared import shared_path, table
+from tessera.sources import sinks, snapshots
 
 #: Rows of each label that mining keeps.
 MINED = 100
@@ -109,6 +110,22 @@ def temperature_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.temperature(rows, "z", "truth", GRID).select("temperature", F.round("nll", 9).alias("nll"), F.round("before", 9).alias("before"))
 
 
+@query(f"""WITH rows AS (SELECT doc_id, (50 + doc_id * 37 % 50) / 100.0::DOUBLE AS conf, quality = 1 AS truth FROM labels), z AS (SELECT doc_id, 2 * ln(conf / (1 - conf)) AS z, truth FROM rows),
+loss AS (SELECT t, round(avg(ln(1 + exp(CASE WHEN truth THEN -z / t ELSE z / t END))), 9) AS nll FROM z, (SELECT unnest({GRID})::DOUBLE AS t) GROUP BY t),
+best AS (SELECT arg_min(t, (nll, t)) AS t FROM loss)
+SELECT doc_id, round(1 / (1 + exp(-z / t)), 6) AS prob FROM z, best""")
+def temperature_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scaled scores: the fitted temperature lies in a store beside its model's name, over an older one, and is read from there."""
+    conf = (50 + F.col("doc_id") * 37 % 50) / 100
+    rows = table(spark, sf_dir, "labels").select("doc_id", (2 * F.ln(conf / (1 - conf))).alias("z"), (F.col("quality") == 1).alias("truth"))
+    store = snapshots.Store(spark, shared_path(spark, "temperatures"), "model")
+    fitted = scores.temperature(rows, "z", "truth", GRID).select(F.lit("judge").alias("model"), "temperature")
+    store.overwrite(fitted.select("model", F.lit(1.0).alias("temperature")))
+    store.upsert(fitted)
+    stored = F.broadcast(store.read().where("model = 'judge'").select("temperature"))  # one row
+    return rows.join(stored).select("doc_id", F.round(1 / (1 + F.exp(-F.col("z") / F.col("temperature"))), 6).alias("prob"))
+
+
 @query(f"WITH {PRF_SQL} SELECT round(avg(f1), 6) AS macro_f1, count(*) AS n FROM prf WHERE class IN (SELECT gold FROM preds)")
 def present_label_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Macro F1 over the labels that the gold rows have."""
@@ -117,11 +134,13 @@ def present_label_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.agg(F.round(F.avg("f1"), 6).alias("macro_f1"), F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT a.doc_id, a.quality AS label FROM labels a JOIN labels b USING (doc_id)")
+@query("SELECT doc_id, quality AS label FROM labels WHERE doc_id % 3 > 0")
 def checked_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dump beside its data set by key; the job fails if a label differs."""
-    labels = table(spark, sf_dir, "labels")
-    return scores.joined_checked(labels.select("doc_id", F.col("quality").alias("label")), labels.select("doc_id", F.col("quality").alias("label")), "doc_id", "label")
+    """A dump of part of the labels, written as text and read again, beside the data set; the job fails if a label differs."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    folder = shared_path(spark, "dump")
+    sinks.append_json(labels.where("doc_id % 3 > 0"), folder)
+    return scores.joined_checked(spark.read.schema(labels.schema).json(folder), labels, "doc_id", "label")
 
 
 @query("""WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM labels), b AS (SELECT page_id, row_number() OVER (ORDER BY page_id) AS n FROM pages) SELECT n, doc_id, page_id FROM a JOIN b USING (n)""")
