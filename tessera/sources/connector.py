@@ -1,7 +1,8 @@
 """Sources behind a connector: queries go to them in tasks, their records come back as payloads.
 
 `records` asks for the queries of a DataFrame. `data_source` makes the same a source of its own for
-spark.read, each of whose partitions asks a slice of a list of queries.
+spark.read, each of whose partitions asks a slice of a list of queries. `polled_source` makes a source that grows
+one for spark.readStream.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 #: Takes a query and a language; gives the source's records, as it delivers them.
 Fetch = Callable[[str, str], Iterable[dict]]
@@ -77,3 +78,56 @@ def data_source(name: str, fetch: Fetch, slice_size: int = 100) -> type[DataSour
             return Reader(dict(self.options))
 
     return Source
+
+
+class Span(InputPartition):
+    def __init__(self, start: int, end: int) -> None:
+        self.start, self.end = start, end
+
+
+def polled_source(name: str, newest: Callable[[], int], fetch: Callable[[int, int], Iterable[dict]], most: int = 10_000, slice_size: int = 100, failures: int = 3, rest: float = 300.0) -> type[DataSource]:
+    """A source for spark.dataSource.register and spark.readStream whose records are numbered as they come: n long, payload string.
+
+    newest tells how many there are; fetch gives those from a number up to another, in tasks. A batch has `most`
+    at most. A poll that fails finds nothing new; after `failures` in a row the source is left alone for `rest` seconds. Offsets are record
+    numbers, so that a batch that is run again asks for the same records, and a failing fetch is tried again by its task.
+    """
+
+    class Reader(DataSourceStreamReader):
+        def __init__(self) -> None:
+            self.known = self.failed = 0
+            self.until = 0.0
+
+        def initialOffset(self) -> dict:  # noqa: N802
+            return {"n": 0}
+
+        def latestOffset(self) -> dict:  # noqa: N802
+            if time.monotonic() >= self.until:
+                try:
+                    self.known, self.failed = max(self.known, min(newest(), self.known + most)), 0
+                except Exception:  # a source's failure costs its poll, not the stream
+                    self.failed += 1
+                    if self.failed >= failures:
+                        self.failed, self.until = 0, time.monotonic() + rest
+            return {"n": self.known}
+
+        def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+            self.known = max(self.known, end["n"])  # after a restart the stream's own offset counts
+            return [Span(at, min(at + slice_size, end["n"])) for at in range(start["n"], end["n"], slice_size)]
+
+        def read(self, partition: Span) -> Iterator[tuple]:
+            for n, record in enumerate(fetch(partition.start, partition.end), partition.start):
+                yield n, json.dumps(record, ensure_ascii=False)
+
+    class Source(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name
+
+        def schema(self) -> str:
+            return "n long, payload string"
+
+        def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: ANN001, N802
+            return Reader()
+
+    return Source

@@ -2,6 +2,7 @@
 
 import io
 import json
+import time
 import zipfile
 
 from tessera.sources import archives, connector
@@ -31,6 +32,38 @@ def test_a_source_of_its_own(spark):
     assert sorted((r.n, r.query, json.loads(r.payload).get("lang")) for r in rows.collect() if "lang" in r.payload) == [(0, "a", "en"), (2, "b", "en"), (4, "c", "en")]
 
 
+def test_a_source_that_grows_is_polled(spark, tmp_path):
+    """Each record once, over polls that fail, batches of bounded size and a restart of the stream."""
+    count = str(tmp_path / "count")
+
+    def newest():
+        with open(count) as file:
+            return int(file.read())  # fails where the file says "down"
+
+    def fetch(start, end):
+        return [{"v": n * n} for n in range(start, end)]
+
+    spark.dataSource.register(connector.polled_source("growing", newest, fetch, most=40, slice_size=15, rest=0.2))
+
+    def run(steps):
+        rows = spark.readStream.format("growing").load()
+        running = rows.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="100 milliseconds").start()
+        for said, until in steps:
+            with open(count, "w") as file:
+                file.write(said)
+            for _ in range(300):
+                time.sleep(0.2)
+                if running.exception() is None and sum(p["numInputRows"] for p in running.recentProgress) >= until:
+                    break
+        time.sleep(0.5)
+        running.stop()
+
+    run([("100", 100), ("down", 100), ("130", 130)])
+    run([("150", 20)])
+    found = sorted((r.n, json.loads(r.payload)["v"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert found == [(n, n * n) for n in range(150)]
+
+
 def test_archives_that_are_written_again(spark, tmp_path):
     rows = spark.createDataFrame([("a", "x/1.txt", b"one"), ("a", "2.json", b"{}"), ("b", "x/3.txt", b"")], "archive string, name string, content binary")
     for _ in range(2):
