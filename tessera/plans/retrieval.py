@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import text, vectors
+from tessera.functions import pages, text, vectors
 from tessera.operators import cells, lexical, search, trigrams
 from tessera.plans.registry import SQL, query
 from tessera.plans.verdicts import PAIRS_SQL, WORDS_SQL, pairs, q
@@ -243,3 +243,26 @@ def language_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     preferred = F.array_position(F.lit(["en", "fr", "de", "pt", "it"]), F.col("lang"))
     order = Window.partitionBy("domain").orderBy(F.when(preferred == 0, 99).otherwise(preferred), "lang")
     return langs.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 5")
+
+
+def shown_sql(column: str) -> str:
+    """A page without the parts that hold no text, for RE2."""
+    for pattern in pages.DROPPED:
+        column = f"regexp_replace({column}, {q(pattern)}, ' ', 'g')"
+    return column
+
+
+@query(f"""WITH t AS (SELECT page_id, regexp_extract_all({shown_sql("coalesce(html, '')")}, '{pages.TOKEN}') AS ts FROM pages),
+each AS (SELECT page_id, unnest(ts) AS token, unnest(range(1, len(ts) + 1)) AS i FROM t),
+worth AS (SELECT *, CASE WHEN starts_with(token, '<') THEN {pages.TAG} ELSE {pages.WORD} END AS v FROM each),
+sums AS (SELECT *, sum(v) OVER w AS upto, sum(v) OVER w - v AS before FROM worth WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+least AS (SELECT *, min(before) OVER (PARTITION BY page_id ORDER BY i) AS low FROM sums),
+begun AS (SELECT *, max(CASE WHEN before = low THEN i END) OVER (PARTITION BY page_id ORDER BY i) AS first FROM least),
+best AS (SELECT page_id, first, i AS last FROM begun WHERE upto > low QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY upto - low DESC, i) = 1),
+kept AS (SELECT e.page_id, count(*) AS n_words, string_agg(token, ' ' ORDER BY i) AS text FROM each e JOIN best b ON e.page_id = b.page_id AND i BETWEEN first AND last WHERE NOT starts_with(token, '<') GROUP BY e.page_id)
+SELECT page_id, coalesce(n_words, 0) AS n_words, sha256(coalesce(text, '')) AS digest FROM t LEFT JOIN kept USING (page_id)""")
+def page_main_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each page the stretch of words that few tags break."""
+    words = pages.main_words(F.col("html"))
+    rows = spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", words.alias("words"))
+    return rows.select("page_id", F.size("words").cast("long").alias("n_words"), F.sha2(F.array_join("words", " "), 256).alias("digest"))

@@ -103,3 +103,15 @@ def test_downgrades(spark):
     cases = spark.createDataFrame(DOWNGRADES, "case_id int, label string, claim string, evidence string")
     found = cases.select("case_id", quantities.downgraded(c("label"), c("claim"), c("evidence")), quantities.period(c("claim")), quantities.period(c("evidence"))).collect()
     assert sorted(map(tuple, found), key=str) == sorted(want, key=str) and len(want) == len(DOWNGRADES)
+
+
+def test_main_words(spark):
+    """The article between menus; nulls, pages without tags or words; scripts and comments are no text."""
+    from tessera.functions import pages
+
+    menu = "<ul>" + "<li><a>one</a></li>" * 9 + "</ul>"
+    html = f"<html><head><title>no</title></head><body>{menu}<p>the long text of the page that people came for</p><p>goes on here with very many more words <b>and</b> there again at the very end of it all</p>{menu}<script>var a = 'many words of code here and more of it';</script></body>"
+    rows = [(0, html), (1, None), (2, ""), (3, "<p></p>"), (4, "only words here"), (5, "<!-- a b c d e --><i>x</i>"), (6, "a " * 100_000)]
+    found = {r.n: r.w for r in spark.createDataFrame(rows, "n int, html string").select("n", pages.main_words(F.col("html")).alias("w")).collect()}
+    assert " ".join(found[0]) == "the long text of the page that people came for goes on here with very many more words and there again at the very end of it all"
+    assert [found[n] for n in (1, 2, 3)] == [[], [], []] and found[4] == ["only", "words", "here"] and found[5] == ["x"] and len(found[6]) == 100_000
