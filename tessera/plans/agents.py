@@ -52,18 +52,19 @@ RULES = [permissions.rule(permissions.ALLOW, f"Ejecutar({c})") for c in permissi
 SAID = [
     "git status", "git  log  -5 && ls", "ls -la; rm  -rf /", "echo 'a && b' | ls", "git diff HEAD || ls", "echo \"open && ls", "ls", "npm   install pkg & ls", "git log", "git logs",
     "/work/docs/a.txt", "/work/docs/b/a.txt", "/etc/ssh/key", "/work/secret/x/y", "/work/src/a.py", "/workshop/a.py", "/work",
+    "ls " + "a" * 5000, "ls " + "'x;y' " * 1000 + "&& npm i", "/work/docs/a.txt\n", "/etc/ssh/key\n", "git log\n",
 ]
 TOOLS, MODES = ["Ejecutar", "Leer", "Escribir", "Buscar", "Borrar"], ["plan", "preguntar", "aceptar_ediciones", "lote"]
 
 
 @query(f"""WITH r AS (SELECT event_id, {sql_list(SAID)}[event_id % {len(SAID)} + 1] AS a, {sql_list(MODES)}[event_id // 5 % 4 + 1] AS m, {sql_list(TOOLS)}[event_id // 20 % 5 + 1] AS t FROM events),
-p AS (SELECT *, CASE WHEN a = 'echo "open && ls' THEN [a] ELSE list_filter(list_transform(string_split_regex(replace(a, 'a && b', 'a _ b'), '&&|\\|\\||[;|&]'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') END AS parts, starts_with(a, '/work/') OR a = '/work' AS inside FROM r),
+p AS (SELECT *, CASE WHEN a = 'echo "open && ls' THEN [a] ELSE list_filter(list_transform(string_split_regex(replace(replace(a, 'a && b', 'a _ b'), 'x;y', 'x_y'), '&&|\\|\\||[;|&]'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') END AS parts, starts_with(a, '/work/') OR a = '/work' AS inside FROM r),
 d AS (SELECT *, CASE WHEN t = 'Leer' THEN 'permitir' WHEN m IN ('plan', 'lote') THEN 'denegar' WHEN m = 'aceptar_ediciones' AND t = 'Escribir' AND inside THEN 'permitir' ELSE 'preguntar' END AS fallback FROM p)
 SELECT event_id, CASE WHEN t = 'Buscar' THEN CASE WHEN m = 'plan' THEN 'denegar' ELSE 'permitir' END WHEN t = 'Borrar' THEN 'denegar'
   WHEN t = 'Ejecutar' THEN CASE WHEN list_contains(parts, 'rm -rf /') THEN 'denegar' WHEN len(list_filter(parts, lambda x: x = 'npm' OR starts_with(x, 'npm '))) > 0 THEN 'denegar' WHEN list_contains(parts, 'git diff HEAD') THEN 'preguntar'
     WHEN len(parts) > 0 AND len(list_filter(parts, lambda x: x IN ('git status', 'ls', 'git diff', 'git log') OR starts_with(x, 'ls ') OR starts_with(x, 'git diff ') OR starts_with(x, 'git log '))) = len(parts) THEN 'permitir' ELSE fallback END
-  WHEN m = 'lote' AND t = 'Escribir' AND NOT inside THEN 'denegar' WHEN t = 'Leer' AND starts_with(a, '/etc/') THEN 'denegar'
-  WHEN t = 'Escribir' AND starts_with(a, '/work/secret/') THEN 'preguntar' WHEN t = 'Escribir' AND regexp_matches(a, '^/work/docs/[^/]*\\.t[^/]t$') THEN 'permitir' ELSE fallback END AS decision FROM d""")
+  WHEN m = 'lote' AND t = 'Escribir' AND NOT inside THEN 'denegar' WHEN t = 'Leer' AND regexp_matches(a, '^/etc/[^\\n]*$') THEN 'denegar'
+  WHEN t = 'Escribir' AND regexp_matches(a, '^/work/secret/[^\\n]*$') THEN 'preguntar' WHEN t = 'Escribir' AND regexp_matches(a, '^/work/docs/[^/]*\\.t[^/]t$') THEN 'permitir' ELSE fallback END AS decision FROM d""")
 def permission_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests for tools in every mode: quotes keep separators, patterns of commands and paths, deny before ask before allow."""
     pick = lambda values, at: F.array(*map(F.lit, values))[F.expr(at).cast("int")]
