@@ -532,4 +532,4 @@ def test_wrapper_alignment():
 
 
 def test_every_query_is_registered():
-    assert {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", q)[0] for q in queries.QUERIES}
+    assert {f"op{n}_" for n in range(1, 14)} == {re.match(r"op\d+_", q)[0] for q in queries.QUERIES}
