@@ -14,8 +14,9 @@ from tessera import blocks
 from tessera.functions.substrings import finder
 from tessera.functions.text import content_words
 
-#: Queries of a block; texts that meet a block at once; texts of all queries that a task keeps before it passes them on.
-BLOCK, ROWS, HELD = 2048, 512, 1 << 20
+#: Queries of a block; texts that meet a block at once; texts of all queries that a task keeps before it passes them on;
+#: words that are looked for in a text one by one.
+BLOCK, ROWS, HELD, ALONE = 2048, 512, 1 << 20, 64
 FOUND = "item_id long, doc_id long, head string, score long"
 
 
@@ -50,8 +51,22 @@ def _best(parts: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]
     return tuple(c[kept[ranks < k]] for c in (query, ids, scores, marks, heads))
 
 
-def _scan(batches: Iterator[pa.RecordBatch], paths: tuple[str, ...], k: int) -> Iterator[pa.RecordBatch]:
-    """The k best texts of the task for each query, once; more often only if they are over HELD together."""
+def _scan(batches: Iterator[pa.RecordBatch], paths: tuple[str, ...], k: int, words: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
+    """The k best texts of the task for each query, once; more often only if they are over HELD together.
+
+    Rows are doc_id, head and low; with words, the paths of what words each key of an index stands for, also the
+    keys of each text, whose words alone are looked for in it, one by one; if they are over ALONE, one pass for all
+    words of a block costs less.
+    """
+    stands: dict[int, list[str]] = {}
+    for path in words:
+        for g, own in blocks.read(path).items():
+            stands.setdefault(g, []).extend(own)
+
+    def alone(keys: list[int], low: str) -> list[str] | None:
+        own = [w for g in keys for w in stands[g]]
+        return [w for w in own if w in low] if len(own) <= ALONE else None
+
     held: dict[str, list[tuple[np.ndarray, ...]]] = {}
 
     def emit() -> Iterator[pa.RecordBatch]:
@@ -65,13 +80,14 @@ def _scan(batches: Iterator[pa.RecordBatch], paths: tuple[str, ...], k: int) ->
         for start in range(0, batch.num_rows, ROWS):
             part = batch.slice(start, ROWS)
             doc_ids, lows = part.column(0).to_numpy(zero_copy_only=False), part.column(2).to_pylist()
+            told = [alone(keys.values.tolist(), low) for keys, low in zip(part.column(3), lows, strict=True)] if words else [None] * len(lows)
             heads = np.array(part.column(1).to_pylist(), object)
             marks = np.fromiter(map(hash, heads), np.int64, len(heads))
             for path in paths:
                 find, place, owners, ids = _queries(path)
                 scores = np.zeros((len(lows), len(ids)), np.int32)
                 for n, low in enumerate(lows):
-                    if met := [owners[place[w]] for w in find(low)]:
+                    if met := [owners[place[w]] for w in (find(low) if told[n] is None else told[n]) if w in place]:
                         scores[n] = np.bincount(np.concatenate(met), minlength=len(ids))
                 row, query = np.nonzero(scores)
                 if len(row):
@@ -90,9 +106,18 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int, least: int, head: int = 1
     than that is shuffled.
     """
     asked = queries.select(F.col("item_id").cast("long"), content_words(F.col("text")).alias("words")).where("words IS NOT NULL")
-    paths = blocks.write(asked, "queries", block, _pack)
     rows = docs.where((F.length("text") >= least) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.substring("text", 1, head).alias("head"), F.lower("text").alias("low"))
-    found = rows.mapInArrow(partial(_scan, paths=paths, k=k), FOUND)
+    return ranked(rows, blocks_of(asked, block), k)
+
+
+def blocks_of(asked: DataFrame, block: int) -> tuple[str, ...]:
+    """Paths of blocks of queries (item_id, words)."""
+    return blocks.write(asked, "queries", block, _pack)
+
+
+def ranked(rows: DataFrame, paths: tuple[str, ...], k: int, words: tuple[str, ...] = ()) -> DataFrame:
+    """item_id, doc_id, score and rank of texts (doc_id, head, low, and with words their keys in an index)."""
+    found = rows.mapInArrow(partial(_scan, paths=paths, k=k, words=words), FOUND)
     first = Window.partitionBy("item_id", "head").orderBy(F.desc("score"), "doc_id")
     once = found.withColumn("n", F.row_number().over(first)).where("n = 1")
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")

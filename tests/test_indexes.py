@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors
-from tessera.operators import cells, grouping, mixing, spelling, trigrams
+from tessera.operators import cells, grouping, lexical, mixing, spelling, trigrams
 from tessera.sources import snapshots
 
 
@@ -88,6 +88,20 @@ def test_trigrams_find_every_text_and_read_few_folders(spark):
     assert len({r.folder for r in trigrams.chosen(spark, index, words).select(trigrams.folder(F.col("gram")).alias("folder")).collect()}) <= 4 < trigrams.FOLDERS
 
 
+def test_trigrams_keep_a_list_a_trigram_and_score_as_a_scan_does(spark):
+    """One row for each trigram of a task's texts, however many texts have it; long texts of any letters; words looked for one by one or in one pass."""
+    texts = [f"ähnlich wort{n % 7} {'wörter überall ' * (n % 5)}kopf{n}" for n in range(400)] + ["é€" * 150_000 + "zuletzt", "\U0001f600\U0001f601x zuletzt"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    index = trigrams.build(docs, 0)
+    rows = spark.read.parquet(index.postings)
+    assert rows.count() == rows.select("gram").distinct().count() == spark.read.parquet(index.frequencies).count()
+    many = " ".join(f"kopf{n}" for n in range(400)) + " " + " ".join(t[:4] + str(n) for n, t in enumerate(["wort"] * 90))
+    asked = spark.createDataFrame([(1, "ähnlich überall zuletzt"), (2, many), (3, "nirgends"), (4, None)], "item_id long, text string")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    found = key(trigrams.top_k(spark, index, asked, 9))
+    assert found == key(lexical.top_k(docs, asked, 9, 0)) and {r[0] for r in found} == {1, 2}
+
+
 def test_store_versions_and_lost_writers(spark, tmp_path):
     """What is not committed is not read; the second of two writers of one version fails; compaction changes no row; a null deletes."""
     store = snapshots.Store(spark, f"file://{tmp_path}/s", "k")
