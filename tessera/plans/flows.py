@@ -120,7 +120,9 @@ def rolling_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     for k, part in enumerate(("turn % 2 = 0", "turn % 2 = 1")):
         rows.where(part).write.parquet(f"{folder}/{k}")
-    stream = spark.readStream.schema("conv_id long, turn long, text string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+    # Two batches at any size: a table of many splits has been written in as many files, each batch of which costs a round of all states.
+    half = max(len(spark.read.parquet(f"{folder}/{k}").inputFiles()) for k in range(2))
+    stream = spark.readStream.schema("conv_id long, turn long, text string").option("maxFilesPerTrigger", half).parquet(f"{folder}/*")
     kept = run_stream(state.recent(stream), shared_path(spark, "turns-kept"), "update")
     last = logs.latest(kept, ["conv_id"], ["batch"])
     return last.select("conv_id", F.size("turns").cast("long").alias("turns"), F.array_min("turns").alias("first_turn"), F.array_max("turns").alias("last_turn"), F.sha2(F.array_join("texts", "\n"), 256).alias("digest"))

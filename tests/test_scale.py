@@ -27,3 +27,14 @@ def test_inverted_indexes_are_made_text_by_text(spark, tmp_path):
     assert {tuple(r) for r in found.collect()} == {(1, sha("b a b c")), (4, sha("a"))}
     index = registry.inverted_index(F.split("t", " "))
     assert [r[0] for r in spark.createDataFrame([("x y x",), (None,)], "t string").select(index).collect()] == [{"x": [0, 2], "y": [1]}, None]
+
+
+def test_turns_of_many_files_come_in_two_batches(spark, tmp_path, monkeypatch):
+    rows = [(c, t, f"{c}:{t}") for c in range(12) for t in range(25)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").repartition(9).write.parquet(f"{tmp_path}/conversations.parquet")
+    seen = []
+    run = flows.run_stream
+    monkeypatch.setattr(flows, "run_stream", lambda *args: seen.append(run(*args)) or seen[-1])
+    found = flows.rolling_turns(spark, str(tmp_path)).collect()
+    assert [(r.turns, r.first_turn, r.last_turn) for r in found] == [(20, 5, 24)] * 12
+    assert sorted(r.batch for r in seen[0].select("batch").distinct().collect()) == [0, 1]
