@@ -78,6 +78,5 @@ def questions(rows: DataFrame, key: str, reply: str, most: int = 3) -> DataFrame
 
 def refined_topic(claim: Column, label: Column, score: Column, least: float = 0.5) -> Column:
     """The topic by patterns; where these tell none, a classifier's label if it is sure enough and a topic at all."""
-    plain = text.topic(claim)
     known = label.isin([*text.TOPICS]) & (score >= least)
-    return F.when((plain == "general") & known, label).otherwise(plain)
+    return text.let(text.topic(claim), lambda plain: F.when((plain == "general") & known, label).otherwise(plain))

@@ -38,3 +38,10 @@ def test_turns_of_many_files_come_in_two_batches(spark, tmp_path, monkeypatch):
     found = flows.rolling_turns(spark, str(tmp_path)).collect()
     assert [(r.turns, r.first_turn, r.last_turn) for r in found] == [(20, 5, 24)] * 12
     assert sorted(r.batch for r in seen[0].select("batch").distinct().collect()) == [0, 1]
+
+
+def test_topics_are_looked_for_once(spark):
+    rows = spark.createDataFrame([("a bug in it", "ciencia", 0.9), ("nothing", "ciencia", 0.9), ("nothing", "weather", 0.9), ("nothing", "ciencia", 0.4), (None, "ciencia", 0.9)], "t string, label string, score double")
+    found = rows.select(models.refined_topic(F.col("t"), F.col("label"), F.col("score")).alias("topic"))
+    assert [r.topic for r in found.collect()] == ["programacion", "ciencia", "general", "general", "ciencia"]
+    assert optimized(found).count("kubectl") == 1
