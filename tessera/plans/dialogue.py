@@ -142,7 +142,7 @@ def clarification_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The first turn stands for the question: terms that hold one of its own, or stand in one, tell nothing.
     """
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", grouping.key_terms(F.col("text"), 10).alias("terms"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.array(grouping.key_terms(F.col("text"), 10))).alias("terms"))  # a row each, so that terms are found once
     best = rows.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).where("n <= 9")
     first = best.where("n = 1").select("conv_id", F.col("terms").alias("asked"))
     related = lambda t: F.exists("asked", lambda a: F.contains(F.lower(t), F.lower(a)) | F.contains(F.lower(a), F.lower(t)))

@@ -45,3 +45,10 @@ def test_topics_are_looked_for_once(spark):
     found = rows.select(models.refined_topic(F.col("t"), F.col("label"), F.col("score")).alias("topic"))
     assert [r.topic for r in found.collect()] == ["programacion", "ciencia", "general", "general", "ciencia"]
     assert optimized(found).count("kubectl") == 1
+
+
+def test_key_terms_cut_a_text_into_words_once(spark):
+    rows = spark.createDataFrame([("Para Motor motor der Diésel, MOTOR Turbina turbina eje Carga",), ("de",), (None,)], "t string")
+    found = rows.select(text.key_terms(F.col("t"), 3).alias("k"))
+    assert [r.k for r in found.collect()] == [["Motor", "Diésel", "Turbina"], [], None]
+    assert optimized(found).count("regexp_extract_all") == 1
