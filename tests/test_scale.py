@@ -52,3 +52,14 @@ def test_key_terms_cut_a_text_into_words_once(spark):
     found = rows.select(text.key_terms(F.col("t"), 3).alias("k"))
     assert [r.k for r in found.collect()] == [["Motor", "Diésel", "Turbina"], [], None]
     assert optimized(found).count("regexp_extract_all") == 1
+
+
+def test_edited_claims_are_made_once(spark, tmp_path, monkeypatch):
+    texts(spark, tmp_path, [(n, f" Claim number {n} stands here. More of it! ") for n in range(12)], "doc_id long, text string", "documents")
+    texts(spark, tmp_path, [(n, 1) for n in range(12)], "doc_id long, quality int", "labels")
+    plans = []
+    numbered = sampling.numbered
+    monkeypatch.setattr(sampling, "numbered", lambda rows, key: plans.append(optimized(rows)) or numbered(rows, key))
+    found = audits.synthetic_edits(spark, str(tmp_path))
+    assert sorted(r.doc_id for r in found.collect()) == [0, 1, 2, 6, 7, 8]
+    assert plans[0].count("split(") == 1
