@@ -1,10 +1,11 @@
 """Main text of web pages by wrappers inferred for each host.
 
 A wrapper is a union-free regular expression over the tokens of a host's pages: elements in order,
-each once, optional or repeated, with constant texts and text slots. It is inferred from a bounded
-sample of the host's pages: the first page's token stream, with runs of like elements folded into
-repeats, is aligned with one page after another; where they differ, a text becomes a slot, an element
-that one side lacks becomes optional, and one that stands several times becomes a repeat.
+each once, optional or repeated, with constant texts and text slots. It is inferred from all of the
+host's pages: each page's token stream, with runs of like elements folded into repeats, has an outline;
+the different outlines are aligned with each other, group by group and level by level. Where they differ,
+an element that one side lacks becomes optional, and one that stands several times becomes a repeat. Each
+page's texts are then counted at their places in the wrapper; where they differ, the place is a slot.
 
 The main text of a page stands in all its articles and mains (the outermost ones, in page order), else
 in its body. The wrapper says what is left out there:
@@ -39,14 +40,15 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import sliced
 from tessera.shared import materialize
 
-#: Pages of a host that its wrapper is aligned from at most.
-SAMPLE = 8
+#: Outlines that one task aligns with each other; more of a host are aligned in groups first.
+MERGED = 256
 #: A text is constant if this share of the host's different pages has it. Fewer pages than PAGES do not
 #: tell template from content: two versions of one page share both.
 CONSTANT, PAGES = 0.8, 3
@@ -241,6 +243,8 @@ class Part:
     parts: list[Part] = field(default_factory=list)
     #: How often each text stood here, of a text part.
     texts: Counter = field(default_factory=Counter)
+    #: Characters in slots, if texts were counted elsewhere and are not here but for the most frequent one, by its hash.
+    chars: int | None = None
 
     @property
     def key(self) -> tuple[str, str]:
@@ -383,13 +387,82 @@ def infer(pages: list[str]) -> Part:
     return wrapper
 
 
-def template(part: Part) -> str | None:
+def outline(part: Part) -> list:
+    """A part without its texts, as JSON can hold it."""
+    return [part.name, part.mark, int(part.optional), int(part.repeated), int(part.boilerplate), [outline(p) for p in part.parts]]
+
+
+def outlined(told: list) -> Part:
+    name, mark, optional, repeated, boilerplate, parts = told
+    return Part(name, mark, bool(optional), bool(repeated), None, bool(boilerplate), [outlined(p) for p in parts])
+
+
+def every(part: Part) -> Iterator[Part]:
+    """The parts of a part, each before its own."""
+    for child in part.parts:
+        yield child
+        yield from every(child)
+
+
+def placed(wrapper: Part, page: Part) -> Iterator[tuple[int, int, list]]:
+    """For each text of a page's outline (by its number in every()) where it stands in the wrapper: the number of a part, with the path from there.
+
+    A page's parts take the next like part each. If none is left, the first like one; if there is none at all, the path leads on below the element.
+    """
+    numbers = {id(p): n for n, p in enumerate(every(wrapper))}
+    own = {id(p): n for n, p in enumerate(every(page))}
+
+    def walk(inside: Part, part: Part) -> Iterator[tuple[int, int, list]]:
+        at: dict[tuple, list[int]] = defaultdict(list)
+        for n, p in enumerate(inside.parts):
+            at[p.key].append(n)
+        start = 0
+        for p in part.parts:
+            if not (like := at.get(p.key)):
+                yield from beyond(numbers.get(id(inside), -1), p, [])
+                continue
+            if (k := bisect_left(like, start)) < len(like):
+                start = like[k] + 1
+            met = inside.parts[like[k] if k < len(like) else like[0]]
+            if p.name:
+                yield from walk(met, p)
+            else:
+                yield own[id(p)], numbers[id(met)], []
+
+    def beyond(number: int, p: Part, path: list) -> Iterator[tuple[int, int, list]]:
+        if not p.name:
+            yield own[id(p)], number, [*path, ["", ""]]
+        for child in p.parts:
+            yield from beyond(number, child, [*path, [p.name, p.mark]])
+
+    yield from walk(wrapper, page)
+
+
+def counted(wrapper: Part, places: list[dict]) -> Part:
+    """The wrapper with what was counted at its places: number, path, total, chars, and the most frequent text's n, digest and size."""
+    parts = {-1: wrapper} | dict(enumerate(every(wrapper)))
+    for x in sorted(places, key=lambda x: (x["number"], x["path"])):
+        part = parts[x["number"]]
+        for name, mark in json.loads(x["path"]):
+            if (found := next((p for p in part.parts if name and p.key == (name, mark)), None)) is None:
+                part.parts.append(found := Part(name, mark, optional=True))
+            part = found
+        part.texts = Counter({x["digest"]: x["n"], None: x["total"] - x["n"]})
+        part.chars = x["chars"] - (x["size"] * x["n"] if template(part) is not None else 0)
+    return wrapper
+
+
+def digest(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def template(part: Part) -> str | int | None:
     """The text that may be constant, of a text part: no other texts fill as many of its places.
 
-    Where texts differ as often, the part is a slot. Optional parts count too: the sample does not tell how
-    many of the host's pages have them.
+    Where texts differ as often, the part is a slot. Optional parts count too: how many of the host's pages
+    have them is told later.
     """
-    text, n = max(part.texts.items(), key=lambda x: x[1])
+    text, n = max(part.texts.items(), key=lambda x: x[1], default=(None, 0))
     return text if 2 * n > part.texts.total() else None
 
 
@@ -410,13 +483,15 @@ def slot_text(part: Part) -> int:
         return 0
     if part.name:
         return sum(map(slot_text, part.parts))
+    if part.chars is not None:
+        return part.chars
     constant = template(part)
     return sum(len(t) * n for t, n in part.texts.items() if t != constant)
 
 
 def slots(part: Part) -> int:
     """How many texts a part has that are no template."""
-    return 0 if part.boilerplate else sum(map(slots, part.parts)) if part.name else int(template(part) is None)
+    return 0 if part.boilerplate else sum(map(slots, part.parts)) if part.name else int(bool(part.texts) and template(part) is None)
 
 
 def titled(part: Part) -> bool:
@@ -464,6 +539,8 @@ class Rules:
 
     constant: dict[tuple, int]
     side: frozenset[tuple] = frozenset()
+    #: Texts are told by their hashes.
+    hashed: bool = False
 
 
 def rules(wrapper: Part, pages: int = PAGES) -> Rules:
@@ -479,7 +556,7 @@ def dump(told: Rules) -> str:
 def undump(text: str, only: tuple[int, ...] | None = None) -> Rules:
     path = lambda p: tuple(tuple(x) if isinstance(x, list) else x for x in p)
     constant, side = json.loads(text)
-    return Rules({path(c): n for n, *c in constant if only is None or n in only}, frozenset(map(path, side)))
+    return Rules({path(c): n for n, *c in constant if only is None or n in only}, frozenset(map(path, side)), hashed=True)
 
 
 def extract(page: str | None, told: Rules | None = None) -> str:
@@ -489,13 +566,16 @@ def extract(page: str | None, told: Rules | None = None) -> str:
 
 def read(page: str | None, told: Rules | None = None) -> Iterator[tuple[str, int | None]]:
     """The texts of a page's articles and mains, else of its body, each with its number if the rules tell it."""
-    root = parse(page or "")
+    return read_tree(parse(page or ""), told)
+
+
+def read_tree(root: Element, told: Rules | None = None) -> Iterator[tuple[str, int | None]]:
 
     def walk(element: Element, path: tuple, held: bool) -> Iterator[tuple[str, int | None]]:
         for child in element.children:
             if isinstance(child, str):
                 if words := clean(child):
-                    yield words, told.constant.get((*path, words)) if told else None
+                    yield words, told.constant.get((*path, digest(words) if told.hashed else words)) if told and told.constant else None
             elif not child.boilerplate and (held or child.name != "header"):
                 here = (*path, (child.name, child.mark))
                 if not told or here not in told.side:
@@ -522,22 +602,76 @@ def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """host and rules (which texts may be constant) of each host of pages (host, order, html), written once.
+def streams(pages: DataFrame) -> DataFrame:
+    """host, page (a hash), outline, alike (a hash of its texts) and texts (where in the outline which stand, by hashes) of pages (host, html, page), written once."""
+    kind = pa.list_(pa.struct([("place", pa.int32()), ("digest", pa.int64()), ("n", pa.int32()), ("size", pa.int32())]))
 
-    Of each of `sample` buckets of a host the page with the smallest hash is taken, which partial
-    aggregates find without moving pages.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            outlines, alike, texts = [], [], []
+            for page in batch.column(2).to_pylist():
+                tree = parse(page or "")
+                root = Part("#root", parts=stream(tree))
+                outlines.append(json.dumps(outline(root), separators=(",", ":")))
+                alike.append(digest("\n".join(w for w, _ in read_tree(tree))))
+                texts.append([{"place": k, "digest": digest(t), "n": n, "size": len(t)} for k, p in enumerate(every(root)) for t, n in p.texts.items()])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(outlines, pa.string()), pa.array(alike, pa.int64()), pa.array(texts, kind)], names=["host", "page", "outline", "alike", "texts"])
+
+    schema = "host string, page long, outline string, alike long, texts array<struct<place int, digest long, n int, size int>>"
+    return materialize(pages.select("host", "page", "html").mapInArrow(run, schema), "streams", codec="zstd")
+
+
+def aligned(outlines: DataFrame, merged: int = MERGED) -> DataFrame:
+    """host and wrapper (an outline) of all outlines (host, outline), in groups of about `merged`, level by level, each in an order of its own."""
+
+    def run(group: pa.Table) -> pa.Table:
+        first, *rest = (outlined(json.loads(o)) for o in sorted(group.column("outline").to_pylist()))
+        for other in rest:
+            merge(first, other)
+        return pa.table({"host": group.column("host").to_pylist()[:1], "outline": [json.dumps(outline(first), separators=(",", ":"))]}, schema=pa.schema([("host", pa.string()), ("outline", pa.string())]))
+
+    while True:
+        most = outlines.groupBy("host").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        groups = -(-most // merged) or 1
+        bucket = F.pmod(F.xxhash64("outline"), F.lit(groups)).alias("bucket")
+        outlines = materialize(outlines.groupBy("host", bucket).applyInArrow(run, "host string, outline string").distinct(), "aligned", codec="zstd")
+        if groups == 1:
+            return outlines.withColumnRenamed("outline", "wrapper")
+
+
+def wrappers(pages: DataFrame, merged: int = MERGED) -> DataFrame:
+    """host and rules (which texts may be constant) of each host of pages (host, page, html), written once, from all of its different pages.
+
+    Only outlines meet in tasks. Texts are counted by partial aggregates, by their hashes and their places in the wrapper.
     """
-    keys = pages.groupBy("host", F.pmod("order", F.lit(sample)).alias("bucket")).agg(F.min("order").alias("order"))
-    chosen = pages.join(materialize(keys.select("host", "order"), "sampled"), ["host", "order"])
+    made = streams(pages)
+    shape = F.xxhash64("outline").alias("shape")
+    outlines = materialize(made.select("host", "outline").distinct(), "outlines", codec="zstd")
+    told = aligned(outlines, merged)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            for name, key, page, wrapper in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if found := list(placed(outlined(json.loads(wrapper)), outlined(json.loads(page)))):
+                    local, numbers, paths = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array([key] * len(found), pa.int64()), pa.array(local, pa.int32()), pa.array(numbers, pa.int32()), pa.array(map(json.dumps, paths), pa.string())], names=["host", "shape", "place", "number", "path"])
+
+    places = outlines.join(told, "host").select("host", shape, "outline", "wrapper").mapInArrow(place, "host string, shape long, place int, number int, path string")
     # Equal pages share a hash; one of them is enough.
-    chosen = chosen.groupBy("host", "order").agg(F.max("html").alias("html"))
+    each = made.select("host", "page", shape, "texts").dropDuplicates(["host", "page"]).select("host", "shape", F.inline("texts"))
+    texts = each.groupBy("host", "shape", "place", "digest").agg(F.sum("n").alias("n"), F.max("size").alias("size")).join(materialize(places, "places", codec="zstd"), ["host", "shape", "place"])
+    counts = texts.groupBy("host", "number", "path", "digest").agg(F.sum("n").alias("n"), F.max("size").alias("size"))
+    best = counts.groupBy("host", "number", "path").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.col("size")).alias("chars"), F.max(F.struct("n", "digest", "size")).alias("b"))
+    counted_places = best.groupBy("host").agg(F.collect_list(F.struct("number", "path", "total", "chars", "b.*")).alias("places"))  # as many as the wrapper has
+    different = made.groupBy("host").agg(F.count_distinct("alike").alias("pages"))
 
-    def run(group: pa.Table) -> pa.Table:
-        own = [p for _, p in sorted(zip(group.column("order").to_pylist(), group.column("html").to_pylist(), strict=True))]
-        return pa.table({"host": group.column("host").to_pylist()[:1], "rules": [dump(rules(infer(own), len({extract(p) for p in own})))]}, schema=pa.schema([("host", pa.string()), ("rules", pa.string())]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [dump(rules(counted(outlined(json.loads(w)), p or []), n)) for w, p, n in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["host", "rules"])
 
-    return materialize(chosen.groupBy("host").applyInArrow(run, "host string, rules string"), "wrappers")
+    rows = told.join(counted_places, "host", "left").join(different, "host").select("host", "wrapper", "places", "pages")
+    return materialize(rows.mapInArrow(run, "host string, rules string"), "wrappers")
 
 
 def read_all(pages: DataFrame, told: DataFrame) -> DataFrame:
@@ -573,11 +707,11 @@ def constants(lines: DataFrame, least: int = PAGES, share: float = CONSTANT) ->
     return materialize(each.select("host", constant.alias("constant")), "constants")
 
 
-def main_text(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def main_text(pages: DataFrame, merged: int = MERGED) -> DataFrame:
     """page_id, url and text of each page."""
     html_column = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url"), html_column.alias("html"), host(F.col("url")).alias("host"))
-    told = wrappers(rows.select("host", "html", F.xxhash64("html").alias("order")), sample)
+    told = wrappers(rows.select("host", "html", F.xxhash64("html").alias("page")), merged)
     lines = read_all(rows, told)
     kept = F.filter(F.arrays_zip("texts", "numbers"), lambda x: ~F.array_contains("constant", x["numbers"]))
     return lines.join(constants(lines), "host").select("page_id", "url", F.array_join(F.transform(kept, lambda x: x["texts"]), "\n").alias("text"))

@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import json
+import random
 import re
 import textwrap
 import time
@@ -422,6 +424,38 @@ def test_html(spark):
     assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_wrappers_come_from_all_pages(spark):
+    """Pages that a sample of a page a bucket of hashes would take lack the notice that nearly all pages of the host have."""
+    page = "<html><body><div class='x'><p>story {0}</p><p>more {0}</p></div>{1}</body></html>"
+    keyed = lambda texts: spark.createDataFrame([(t,) for t in texts], "html string").select("html", F.xxhash64("html").alias("h")).collect()
+    first = {}
+    for r in keyed([page.format(n, "") for n in range(3000)]):
+        first[r.h % 8] = min(first.get(r.h % 8, (r.h, r.html)), (r.h, r.html))
+    usual = [r.html for r in keyed([page.format(n, "<div class='below'>Read us daily</div>") for n in range(3000, 3400)]) if r.h > first[r.h % 8][0]][:92]
+    pages = [*usual, *(t for _, t in first.values())]
+    assert len(pages) == 100
+    frame = spark.createDataFrame([(n, "http://one.example/", t) for n, t in enumerate(pages)], "page_id long, url string, html string")
+    want = {n: "\n".join(re.findall("<p>(.*?)</p>", t)) for n, t in enumerate(pages)}
+    for rows, merged in ((frame.repartition(3), html.MERGED), (frame.repartition(5), 2)):
+        assert {r.page_id: r.text for r in html.main_text(rows, merged).collect()} == want
+
+
+def test_outlines_are_aligned_in_one_order_and_hold_each_page(spark):
+    """Groups of any size and tasks give one wrapper, and each text of a page has a place in it."""
+    rng = random.Random(3)
+    tags = ["<h1>t</h1>", "<p>a</p>", "<ul><li>x</li><li>y</li></ul>", "<div class='k'><p>b</p></div>", "loose", "<div><h2>q</h2>in</div>"]
+    pages = ["<body>" + "".join(rng.choices(tags, k=rng.randrange(9))) + "</body>" for _ in range(60)]
+    frame = spark.createDataFrame([("h", json.dumps(html.outline(html.Part("#root", parts=html.stream(html.parse(p)))))) for p in pages], "host string, outline string").distinct()
+    for merged in (7, 256):
+        (one,), (other,) = (html.aligned(frame.repartition(n), merged).collect() for n in (2, 5))
+        assert one.wrapper == other.wrapper
+        wrapper = html.outlined(json.loads(one.wrapper))
+        for p in pages:
+            part = html.Part("#root", parts=html.stream(html.parse(p)))
+            found = list(html.placed(wrapper, part))
+            assert [n for n, _, _ in found] == [n for n, x in enumerate(html.every(part)) if not x.name]
+
+
 def test_html_reads_every_article(spark):
     """Articles of different classes, and an article beside a main, all give their text, on any host."""
     teaser, lead, body = "<article class='teaser'><p>teaser {0}</p></article>", "<article class='lead'><p>lead {0}</p></article>", "<div><article class='post'><h1>Title {0}</h1><p>body {0}</p></article></div>"
