@@ -40,6 +40,17 @@ def test_turns_of_many_files_come_in_two_batches(spark, tmp_path, monkeypatch):
     assert sorted(r.batch for r in seen[0].select("batch").distinct().collect()) == [0, 1]
 
 
+def test_few_texts_of_a_batch_are_objects_at_a_time(monkeypatch):
+    given = [None if n % 7 == 0 else f" Straße  É{n}\n" for n in range(1000)]
+    sizes = []
+    plain = text.plain
+    monkeypatch.setattr(text, "plain", lambda x: sizes.append(len(x)) or plain(x))
+    (found,) = text.plain_key.func(iter([pa.array(given, pa.string())]))
+    assert found.to_pylist() == [None if n % 7 == 0 else f"strasse e{n}" for n in range(1000)]
+    assert max(sizes) <= text.ROWS
+    assert [len(x) for x in text.plain_key.func(iter([pa.array([], pa.string())]))] == [0]
+
+
 def test_topics_are_looked_for_once(spark):
     rows = spark.createDataFrame([("a bug in it", "ciencia", 0.9), ("nothing", "ciencia", 0.9), ("nothing", "weather", 0.9), ("nothing", "ciencia", 0.4), (None, "ciencia", 0.9)], "t string, label string, score double")
     found = rows.select(models.refined_topic(F.col("t"), F.col("label"), F.col("score")).alias("topic"))
